@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bits import build, holds
 from .common import materialize
 from .components import connected_components
-from .textnp import mix, span_hashes, words_of
+from .textnp import span_hashes, words_of
 
 #: Common shingles that are ordered last: at most so many (1 MB), those in most documents.
 MAX_COMMON = 1 << 17
@@ -36,7 +37,6 @@ COMMON_FROM = 48
 COUNTED = 0.3
 #: Bits of the filter on ids whose sets verification needs (1 MB); more ids only make it weaker.
 FILTER_BITS = 1 << 23
-_SEED = np.uint64(0x5851F42D4C957F2D)
 
 
 def _sets(batch: pa.RecordBatch, k: int, ids: np.ndarray, wanted=None) -> Iterator[tuple[int, np.ndarray]]:
@@ -125,37 +125,17 @@ def shingle_prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, n long, sig binary, pkey binary, prefix array<long>")
 
 
-def _bit(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64) ^ _SEED) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bit set of fixed size that holds every id of a table, built by aggregation."""
-
-    def emit(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bit(batch.column(0).to_numpy())) + 1)], ["p"])
-
-    bits = ids.mapInArrow(emit, "p long").groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)  # bitmap_bucket_number counts bits and buckets from 1
-    for row in bits.collect():  # FILTER_BITS / 32768 rows at most
-        at = (row.b - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(row.m, np.uint8)
-    return out
-
-
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets have a Jaccard similarity of num / den or more."""
     pairs = materialize(pairs, "pairs")
-    bits = _filter_of(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
+    bits = build(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), FILTER_BITS)
     if not bits.any():
         return pairs
 
     def emit(batches):
         for batch in batches:
             ids = _ids(batch)
-            at = _bit(ids)
-            wanted = (bits[at >> 3] >> (at & 7)) & 1
+            wanted = holds(bits, ids, FILTER_BITS)
             rows, out = [], []
             for row, s in _sets(batch, k, None, wanted):
                 rows.append(row)

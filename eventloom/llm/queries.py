@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard
+from . import jaccard, substring
 from .common import table
 
 
@@ -12,5 +13,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
-QUERIES = {"op6_ngram_jaccard": op6_ngram_jaccard}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup_substrings(table(spark, sf_dir, "documents"), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+QUERIES = {"op10_substring_dedup": op10_substring_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
 ORACLE: dict[str, str] = {}

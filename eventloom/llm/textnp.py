@@ -19,6 +19,8 @@ _rng = np.random.Generator(np.random.PCG64(20240611))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: White space and all other ASCII but letters and digits: what parts terms.
+_NO_TERM = np.array([not (b > 127 or chr(b).isalnum()) for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
@@ -110,14 +112,16 @@ def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Iterator[Words]:
-    """The words of each slice of a text column.  lower: A-Z as a-z before hashing."""
+def words_of(column: pa.Array, lower: bool = False, terms: bool = False) -> Iterator[Words]:
+    """The words of each slice of a text column.  lower: A-Z as a-z before hashing; terms: runs of
+    letters, digits and other characters beyond ASCII instead of runs of anything but white space."""
+    apart = _NO_TERM if terms else _SPACE
     offsets, raw = text_bytes(column)
     for lo, hi in slices(offsets):
         at = offsets[lo : hi + 1] - offsets[lo]
         data = raw[offsets[lo] : offsets[hi]]
         inside = np.zeros(len(data) + 2, bool)
-        inside[1:-1] = ~_SPACE[data]
+        inside[1:-1] = ~apart[data]
         begins, ends = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
         edge = at[(at > 0) & (at < len(data))]  # a word never runs on into the next text
         edge = edge[inside[edge + 1] & inside[edge]]
