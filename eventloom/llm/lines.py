@@ -28,7 +28,7 @@ def line_hashes(text: Column) -> Column:
     """Hash of every line of a text, null for blank ones."""
 
     def one(line):
-        flat = F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+        flat = F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
         return F.when(flat != "", F.xxhash64(flat))
 
     return F.transform(F.split(text, "\n"), one)

@@ -1,22 +1,84 @@
-"""The thin queries of the operators: contract columns over whole tables."""
+"""The thin queries of the operators: contract columns over whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, substring
+from . import decontaminate, jaccard, langid, lines, mixing, quality, secrets, substring, toxicity, urls
 from .common import table
+from .oracle import ORACLE
+
+#: The rules of the url query, (host, path, action); a host without a dot is a top-level domain.
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest_columns(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2
+    model = langid.fit_languages(docs.where(~held_out), label="lang")
+    found = langid.predict_languages(docs, model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.dedup_substrings(table(spark, sf_dir, "documents"), window=50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op10_substring_dedup": op10_substring_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_secret_scans": op2_secret_scans,
+    "op3_source_mixing": op3_source_mixing,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_language_id": op5_language_id,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_toxicity": op9_toxicity,
+    "op10_substring_dedup": op10_substring_dedup,
+}
+__all__ = ["ORACLE", "QUERIES", "URL_RULES"]

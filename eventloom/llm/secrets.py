@@ -17,7 +17,7 @@ document has.  Matches never cross a bin's row, so neither hot scopes nor long t
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +29,14 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),  # runs of 24 or more: the matches of [0-9a-f]+ that are kept
 }
-#: Weak parts, reported only together.
+#: Weak parts, reported only together: (pattern, group, least length), and what else a match must hold.
 WEAK = {
     "ident": (r"(?i:client_?id|access_?key_?id|account_?id|user_?name|user|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.@=-]{3,}", 0, 0),
-    "value": (r"(?<![A-Za-z0-9+/_=-])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,128}(?![A-Za-z0-9+/_=-])", 0, 0),
-    "endpoint": (r"(?i:https?|s3|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftp)://[^\s\"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.])", 0, 0),
+    "value": (r"[A-Za-z0-9+/_=-]{16,}", 0, 0),
+    "endpoint": (r"(?i:https?|s3|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftp)://[^\s\"'<>]+|(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?", 0, 0),
 }
+HOLDS = {"value": ("[A-Z]", "[a-z]", "[0-9]")}
+MAX_VALUE = 128
 KINDS = [*BASE, *WEAK]
 #: What the weak parts need: which kinds are identifiers and which secret values.
 IDENTIFIERS, VALUES = ("access", "ident"), ("assign", "hex", "value")
@@ -53,6 +55,8 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
         kept = F.length(F.regexp_extract(x["hit"], pattern, group)) >= least if group else F.length(x["hit"]) >= least
+        if kind in HOLDS:
+            kept = reduce(and_, (x["hit"].rlike(p) for p in HOLDS[kind]), F.length(x["hit"]) <= MAX_VALUE)
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), kept.alias("keep")))).alias("out"))
 
     spans = F.aggregate(pairs, zero, add, lambda acc: acc["out"])
@@ -101,7 +105,7 @@ def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     docs = docs.withColumn("base", base)
     # weak parts matter only in texts that hold an identifier and a value, base or weak
     has = lambda kinds: F.lit(False) if not kinds else F.exists("base", lambda s: s["kind"].isin(*kinds))
-    may_link = (has([k for k in IDENTIFIERS if k in BASE]) | F.col("text").rlike(WEAK["ident"][0])) & (has([k for k in VALUES if k in BASE]) | F.col("text").rlike(WEAK["value"][0]))
+    may_link = (has([k for k in IDENTIFIERS if k in BASE]) | F.col("text").rlike(WEAK["ident"][0])) & (has([k for k in VALUES if k in BASE]) | F.col("text").rlike(WEAK["value"][0]))  # the pattern alone: a first sieve
     apart = lambda spans, *others: F.filter(spans, lambda s: ~reduce(or_, (F.exists(o, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) for o in others)))
     candidates = docs.where(may_link).select(F.struct("doc_id", F.sha2("text", 256).alias("sha")).alias("key"), "base", *(_spans(F.col("text"), k, *v).alias(k) for k, v in WEAK.items()))
     # what overlaps a span of an earlier kind is part of that one

@@ -50,7 +50,8 @@ def node_of(url: Column) -> Column:
 def resolve(base: Column, href: Column) -> Column:
     """An absolute url for a link: absolute, scheme-relative, host-relative or path-relative."""
     origin = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_extract(base, r"^([^?#]*)", 1), r"(?<![:/])/[^/]*$", "")
+    folder = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*(?:/[^/?#]*)*)/[^/?#]*", 1)
+    folder = F.when(folder == "", origin).otherwise(folder)
     href = F.replace(href, F.lit("&amp;"), F.lit("&"))
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
