@@ -5,13 +5,13 @@
    x <= y with a Jaccard similarity of t or more share a shingle among the first y - ceil(t*y) + 1.
 3. Classes with the same prefix and the same size are one group (Bouros, Ge and Mamoulis, 2012).
 4. Groups that share a prefix shingle are paired in two rounds.  The first pairs a group with one
-   leader only, the smallest group under each shared shingle: linear in the index, and enough to
-   connect nearly every group of copies.  The second pairs what is left, that is groups under one
+   leader only, the one under each shared shingle that has the least of its own: linear in the
+   index, and enough to connect nearly every group of copies with what they are copies of.  The second pairs what is left, that is groups under one
    shingle that are not yet in one component, whatever their number, and expands group pairs into
    members.  A pair within a component can't change a component, so no link is lost.
 5. Every pair is verified on the whole sets.
 
-What is common is counted over all documents; the order has no influence on results.
+Which shingles count as common has no influence on results, only on how many pairs are tried.
 """
 
 from __future__ import annotations
@@ -30,16 +30,16 @@ from .components import connected_components
 from .textnp import span_hashes, words_of
 
 #: Common shingles that are ordered last: at most so many (1 MB), those in most documents.
-MAX_COMMON = 1 << 17
-#: A shingle in so many documents is common.
-COMMON_FROM = 48
-#: Shingles with a hash below this share are counted; most prefixes consist of them.
-COUNTED = 0.3
+MAX_COMMON = 1 << 18
+#: A shingle that so many documents are known to hold is common.
+COMMON_FROM = 24
+#: Shingles that a task counts together (32 MB).
+BLOCK = 1 << 23
 #: Bits of the filter on ids whose sets verification needs (1 MB); more ids only make it weaker.
 FILTER_BITS = 1 << 23
 
 
-def _sets(batch: pa.RecordBatch, k: int, ids: np.ndarray, wanted=None) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, k: int, wanted=None) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of each text; a text of fewer words is one shingle."""
     for w in words_of(batch.column("text"), lower=True):
         at, h = w.windows(k)
@@ -71,16 +71,29 @@ def _short(h: np.ndarray) -> np.ndarray:
 
 
 def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """32-bit hashes of the most common shingles, sorted."""
-    zone = np.uint64(int(COUNTED * 2**64))
+    """32-bit hashes of the most common shingles, sorted.
+
+    Tasks count the shingles of all their documents in blocks of about ``BLOCK`` and send on those that
+    a block holds twice or more: what stands in a large share of all documents does so in every block,
+    and what is rare everywhere is never shuffled."""
+
+    def counted(parts):
+        t, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(t[n > 1]), pa.array(n[n > 1], pa.int64())], ["t", "n"])
 
     def emit(batches):
+        parts, size = [], 0
         for batch in batches:
-            out = [_short(s[s < zone]) for _, s in _sets(batch, k, None) if len(s) > 1]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], ["t"])
-
-    counts = docs.select("text").mapInArrow(emit, "t int").groupBy("t").count().where(F.col("count") >= COMMON_FROM)
+            for _, s in _sets(batch, k):
+                parts.append(_short(s))
+                size += len(s)
+                if size >= BLOCK:
+                    yield counted(parts)
+                    parts, size = [], 0
+        if parts:
+            yield counted(parts)
+
+    counts = docs.select("text").mapInArrow(emit, "t int, n long").groupBy("t").agg(F.sum("n").alias("count")).where(F.col("count") >= COMMON_FROM)
     counts = materialize(counts, "common")
     level = F.floor(F.log2("count") * 8).cast("int")
     kept, least = 0, None
@@ -94,15 +107,16 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def shingle_prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, sig, pkey, prefix) of every text: set size, digest of the set, digest of size
-    and prefix, and the prefix.  Sets too small to be like another set have no prefix."""
+    """(doc_id, n, sig, pkey, prefix, own) of every text: set size, digest of the set, digest of size
+    and prefix, the prefix, and the percentage of shingles that are not common.  Sets too small to be
+    like another set have no prefix."""
     common = common_shingles(docs, k)
 
     def emit(batches):
         for batch in batches:
-            ids, rows, n, sig, pkey, prefix, cut = _ids(batch), [], [], [], [], [], [0]
-            for row, s in _sets(batch, k, None):
-                first = np.zeros(0, np.uint64)
+            ids, rows, n, sig, pkey, prefix, cut, own = _ids(batch), [], [], [], [], [], [0], []
+            for row, s in _sets(batch, k):
+                first, late = np.zeros(0, np.uint64), np.zeros(0, bool)
                 if num * (len(s) + 1) <= den * len(s) and len(s):  # else only an equal set is like it
                     length = _prefix_length(len(s), num, den)
                     short = _short(s)
@@ -112,17 +126,19 @@ def shingle_prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 n.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 pkey.append(hashlib.blake2b(first.tobytes() + len(s).to_bytes(8, "big"), digest_size=16).digest() if len(first) else None)
+                own.append(100 - int(100 * late.mean()) if len(late) else 100)
                 prefix.append(first.view(np.int64))
                 cut.append(cut[-1] + len(first))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[rows], pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(pkey, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))),
+                    pa.array(own, pa.int32()),
                 ],
-                ["doc_id", "n", "sig", "pkey", "prefix"],
+                ["doc_id", "n", "sig", "pkey", "prefix", "own"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, n long, sig binary, pkey binary, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, n long, sig binary, pkey binary, prefix array<long>, own int")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -137,7 +153,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> D
             ids = _ids(batch)
             wanted = holds(bits, ids, FILTER_BITS)
             rows, out = [], []
-            for row, s in _sets(batch, k, None, wanted):
+            for row, s in _sets(batch, k, wanted):
                 rows.append(row)
                 out.append(s.tobytes())
                 if sum(map(len, out)) > 1 << 24:
@@ -185,11 +201,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     leaders = keyed.where("pkey IS NOT NULL").select("doc_id", "sig", "n", "pkey").join(rep_of.withColumnRenamed("rep", "doc_id"), ["doc_id", "sig"]).distinct()
     group_of = leaders.groupBy("pkey").agg(F.min("doc_id").alias("gid"))
     members = materialize(leaders.join(group_of, "pkey").select("gid", "doc_id", "n"), "groups")
-    heads = keyed.where("pkey IS NOT NULL").select("doc_id", F.col("n").cast("int").alias("n"), "prefix")
+    heads = keyed.where("pkey IS NOT NULL").select("doc_id", F.col("n").cast("int").alias("n"), "prefix", "own")
     firsts = members.where("gid = doc_id").select("doc_id").distinct()
-    index = heads.join(firsts, "doc_id", "left_semi").select(F.col("doc_id").alias("gid"), "n", F.explode("prefix").alias("t"))
-    shared = index.groupBy("t").agg(F.min(F.struct("gid", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
-    index = materialize(index.join(shared, "t").select("t", "gid", "n", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("lead_n")), "index")
+    index = heads.join(firsts, "doc_id", "left_semi").select(F.col("doc_id").alias("gid"), "n", "own", F.posexplode("prefix").alias("at", "t"))
+    shared = index.groupBy("t").agg(F.min(F.struct("own", "gid", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
+    index = materialize(index.drop("own").join(shared, "t").select("t", "at", "gid", "n", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("lead_n")), "index")
 
     # round 1: each group with the leader it shares most shingles with, each member with its group
     stars = index.where(f"gid != lead AND {_alike('n', 'lead_n', num, den)}").groupBy("gid", "lead").agg(F.count("*").alias("c"))
@@ -202,11 +218,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     place = members.select("gid", "doc_id", "n").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     place = materialize(place, "places")
     span = place.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_index = index.select("t", "gid", "n").join(span, "gid")
+    open_index = index.select("t", "at", "gid", "n").join(span, "gid")
     mixed = open_index.groupBy("t").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select("t")
     left = materialize(open_index.join(mixed, "t", "left_semi"), "open")
-    other = left.select("t", *(F.col(c).alias(f"{c}2") for c in ("gid", "n", "lo", "hi")))
-    pairs = left.join(other, "t").where(f"gid < gid2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2) AND {_alike('n', 'n2', num, den)}")
+    other = left.select("t", *(F.col(c).alias(f"{c}2") for c in ("at", "gid", "n", "lo", "hi")))
+    # all that two sets share stands at or after their first shared shingle, which meets this bound
+    most = "least(n - at, n2 - at2)"
+    near = f"{_alike('n', 'n2', num, den)} AND {den} * {most} >= {num} * (n + n2 - {most})"
+    pairs = left.join(other, "t").where(f"gid < gid2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2) AND {near}")
     pairs = materialize(_possible(pairs.select("gid", "gid2").distinct(), heads, num, den), "group-pairs")
     inner = span.where("lo != hi").select("gid", F.col("gid").alias("gid2"))
     side = lambda c, s: place.select(F.col("gid").alias(f"gid{s}"), F.col("doc_id").alias(c), F.col("component").alias(f"component{s}"))
@@ -222,7 +241,7 @@ def _possible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFra
     """The group pairs that their prefixes don't rule out.  Say x's last prefix shingle comes first
     in the order.  Up to it, what x and y share is in both prefixes; after it, x has n - size(prefix)
     shingles and y has at most those outside the shared part.  Either set may be that x."""
-    heads = heads.withColumnRenamed("doc_id", "gid")
+    heads = heads.select(F.col("doc_id").alias("gid"), "n", "prefix")
     two = pairs.join(heads, "gid").join(heads.select(F.col("gid").alias("gid2"), F.col("n").alias("n2"), F.col("prefix").alias("prefix2")), "gid2")
     both = F.size(F.array_intersect("prefix", "prefix2"))
     most = both + F.greatest(
