@@ -53,7 +53,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of every document: doc_id, source, size, source_size, target, copies, taken."""
-    return mixing.mix_sources(docs).drop("row")
+    return mixing.mix_sources(docs)
 
 
 STAGES = [

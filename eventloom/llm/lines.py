@@ -68,11 +68,16 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     each = hashes.select("doc_id", F.explode(F.array_distinct(F.array_compact("lines"))).alias("line"))
     gone = each.join(found, "line").where("doc_id IS NULL OR first_doc IS NULL OR doc_id != first_doc").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
     gone = materialize(gone, "lines-to-remove").select(F.col("doc_id").alias("gone_id"), "gone")
-    both = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left")
-    kept = F.filter(F.arrays_zip(F.split("text", "\n").alias("t"), line_hashes(F.col("text")).alias("h")), lambda x: ~F.coalesce(F.array_contains(F.col("gone"), x["h"]), F.lit(False)))
-    some = F.col("gone").isNotNull()
-    both = both.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"))
-    both = both.withColumn("kept", F.when(some, F.transform(kept, lambda x: x["t"])))
-    both = both.withColumn("n_removed", F.when(some & F.col("text").isNotNull(), F.col("n_lines") - F.size("kept")).otherwise(F.lit(0)).cast("long"))
-    out = both.withColumn("text", F.when(some, F.array_join("kept", "\n")).otherwise(F.col("text")))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # whatever docs' columns are called
+    both = rows.join(gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left")
+    text = F.col("row.text")
+    pairs = F.arrays_zip(F.split(text, "\n").alias("t"), line_hashes(text).alias("h"))
+    kept = F.transform(F.filter(pairs, lambda x: ~F.coalesce(F.array_contains(F.col("gone"), x["h"]), F.lit(False))), lambda x: x["t"])
+    some = F.col("gone").isNotNull() & text.isNotNull()
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    out = both.select("row", n_lines.alias("n_lines"), F.when(some, kept).alias("kept"))
+    cut = F.col("kept").isNotNull()
+    new_text = F.when(cut, F.array_join("kept", "\n")).otherwise(text)
+    removed = F.when(cut, F.col("n_lines") - F.size("kept")).otherwise(0).cast("long")
+    columns = [new_text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*columns, "n_lines", removed.alias("n_removed"))

@@ -50,10 +50,10 @@ def _indexed(sources: DataFrame) -> DataFrame:
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """(source, source_size, target) from (source, source_size): capped shares of the total."""
+    """(key, source_size, target) from (key, source, source_size): capped shares of the total."""
     weights = F.array(*map(F.lit, WEIGHTS))
     table = _indexed(sizes).withColumn("weight", F.element_at(weights, (F.col("k") % len(WEIGHTS) + 1).cast("int")).cast("double"))
-    table = materialize(table.drop("k"), "sources")
+    table = materialize(table.select("key", "source_size", "weight"), "sources")
     cap = F.lit(float(MAX_COPIES)) * F.col("source_size")
     total = (table.agg(F.sum("source_size")).first()[0] or 0) * TOTAL_PERCENT / 100
     level = 0.0
@@ -61,33 +61,30 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         full = cap <= F.lit(level) * F.col("weight")
         rest = table.agg(F.sum(F.when(full, cap)).alias("capped"), F.sum(F.when(~full, F.col("weight"))).alias("weights")).first()
         if rest.weights is None:
-            level = float("inf")
+            level = None
             break
         new = (total - (rest.capped or 0.0)) / rest.weights
         if new <= level:
             break
         level = new
-    target = cap if level == float("inf") else F.least(cap, F.lit(level) * F.col("weight"))
-    return table.select("source", "source_size", target.alias("target"))
+    target = cap if level is None else F.least(cap, F.lit(level) * F.col("weight"))
+    return table.select("key", "source_size", target.alias("target"))
 
 
 def _expected(classes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, class, expected): copies of a document of each length class, capped at MAX_COPIES.
-
-    Classes are put in order of weight; the first j are capped, for the least j that leaves the others
+    """(key, class, source_size, target, expected): copies of a document of each length class, capped at
+    MAX_COPIES.  Classes are put in order of weight; the first are capped, as few as leave the others
     below the cap.  A source has at most 64 classes."""
-    by_source = Window.partitionBy("source").orderBy("class")
-    weight = F.pow(F.lit(LENGTH_FACTOR), F.col("class"))
-    t = classes.join(targets, classes["source"].eqNullSafe(targets["source"])).drop(targets["source"]).withColumn("w", weight)
-    capped = F.coalesce(F.sum("words").over(by_source.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum(F.col("words") * F.col("w")).over(Window.partitionBy("source").orderBy(F.desc("class")))
-    t = t.withColumn("rate", (F.col("target") - MAX_COPIES * capped) / rest)
-    good = F.col("rate") * F.col("w") <= MAX_COPIES
-    first = F.min(F.when(good, F.col("class"))).over(Window.partitionBy("source"))
-    t = t.withColumn("from", first)
-    rate = F.max(F.when(F.col("class") == F.col("from"), F.col("rate"))).over(Window.partitionBy("source"))
-    expected = F.when(F.col("from").isNull() | (F.col("class") < F.col("from")), F.lit(float(MAX_COPIES))).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(float(MAX_COPIES)), rate * F.col("w"))))
-    return t.select("source", "class", "source_size", "target", expected.alias("expected"))
+    by_source = Window.partitionBy("key")
+    t = classes.join(targets, "key").withColumn("w", F.pow(F.lit(LENGTH_FACTOR), F.col("class")))
+    capped = F.coalesce(F.sum("words").over(by_source.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("words") * F.col("w")).over(by_source.orderBy(F.desc("class")))
+    t = t.withColumn("rate", F.when(rest > 0, (F.col("target") - MAX_COPIES * capped) / rest))
+    t = t.withColumn("from", F.min(F.when(F.col("rate") * F.col("w") <= MAX_COPIES, F.col("class"))).over(by_source))
+    rate = F.max(F.when(F.col("class") == F.col("from"), F.col("rate"))).over(by_source)
+    free = F.greatest(F.lit(0.0), F.least(F.lit(float(MAX_COPIES)), rate * F.col("w")))
+    expected = F.when(F.col("from").isNull() | (F.col("class") < F.col("from")), float(MAX_COPIES)).otherwise(free)
+    return t.select("key", "class", "source_size", "target", expected.alias("expected"))
 
 
 def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -99,49 +96,45 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
     and are ordered by size and text hash; equal rows may be told apart by chance only, with the same
     set of rows as the result.  No documents give no rows.  Other columns are ignored.
     """
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
+    base = docs.select("doc_id", "source", key.alias("key"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
     base = base.withColumns({"class": F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(0).cast("int"), "row": F.monotonically_increasing_id()})
-    base = materialize(base, "sizes")
-    classes = materialize(base.groupBy("source", "class").agg(F.sum("size").alias("words")), "classes")
-    targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")))
-    plan = materialize(_expected(classes, targets), "plan")  # 64 rows for each source at most
+    base = materialize(base, "sizes")  # and with it the numbers of rows
+    classes = materialize(base.groupBy("key", "class").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "classes")
+    targets = source_targets(classes.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")))
+    plan = materialize(_expected(classes.drop("source"), targets), "plan")  # 64 rows for each source at most
 
-    same = lambda x, y: x["source"].eqNullSafe(y["source"])
-    both = base.join(plan, same(base, plan) & (base["class"] == plan["class"])).drop(plan["source"], plan["class"])
     certain = F.floor(F.col("expected")).cast("int")
     u = uniform(F.col("doc_id"), seed)
     p = F.col("expected") - certain
     rank = (u / (1 - u)) / (p / (1 - p))
-    both = both.withColumns({"certain": certain, "rank": F.when((p > 1e-12) & (F.col("size") > 0), rank / (1 + rank))})
-    both = both.withColumn("bucket", F.floor(F.col("rank") * BUCKETS).cast("int")).drop("class", "expected")
-    both = materialize(both, "ranked")
-
-    taken = both.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("certain") * F.col("size")).alias("done"))
-    sums = both.where("bucket IS NOT NULL").groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    sums = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words"))
-    sums = sums.join(taken, same(sums, taken)).drop(taken["source"]).withColumn("need", F.col("target") - F.col("done"))
-    edge = sums.where("before <= need AND need < before + words").groupBy("source").agg(F.min("bucket").alias("edge"), F.min("before").alias("before"), F.min("need").alias("need"))
-    # a source that ends below its need takes all: no edge
-    edge = taken.join(edge, same(taken, edge), "left").drop(edge["source"])
-    edge = materialize(edge.select("source", F.coalesce("edge", F.when(F.col("target") - F.col("done") >= 0, F.lit(BUCKETS + 1)).otherwise(F.lit(-1))).alias("edge"), F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("need", F.lit(0.0)).alias("need")), "edges")
-
-    placed = both.join(edge, same(both, edge)).drop(edge["source"])
-    inner = Window.partitionBy("source").orderBy("rank", "doc_id", "size", "tie", "row")
-    at_edge = placed.where("bucket = edge").withColumn("sum", F.col("before") + F.sum("size").over(inner))
-    # in order, as long as the target isn't passed
-    chosen = at_edge.where("sum <= need").select("row", "source", "size", "sum")
-    reached = edge.select("source", "edge", "need", "before").where(f"edge >= 0 AND edge <= {BUCKETS}")
-    top = chosen.groupBy("source").agg(F.max("sum").alias("sum"))
-    gap = reached.join(top, same(reached, top), "left").drop(top["source"]).select("source", "edge", (F.col("need") - F.coalesce("sum", "before")).alias("gap"))
+    ranked = base.join(plan, ["key", "class"]).withColumns({"certain": certain, "rank": F.when((p > 1e-12) & (F.col("size") > 0), rank / (1 + rank))})
+    ranked = ranked.withColumn("bucket", F.floor(F.col("rank") * BUCKETS).cast("int")).drop("class", "expected")
+    ranked = materialize(ranked, "ranked")
+
+    needs = ranked.groupBy("key").agg(F.first("target").alias("target"), F.sum(F.col("certain") * F.col("size")).alias("done"))
+    needs = materialize(needs.select("key", (F.col("target") - F.col("done")).alias("need")), "needs")
+    sums = ranked.where("bucket IS NOT NULL").groupBy("key", "bucket").agg(F.sum("size").alias("words"))
+    sums = sums.withColumn("before", F.sum("words").over(Window.partitionBy("key").orderBy("bucket")) - F.col("words"))
+    edge = sums.join(needs, "key").where("before <= need AND need < before + words").select("key", F.col("bucket").alias("edge"), "before")
+    # a source that ends before its need is taken whole
+    edge = needs.join(edge, "key", "left").select("key", "need", F.coalesce("edge", F.lit(BUCKETS + 1)).alias("edge"), F.coalesce("before", F.lit(0)).alias("before"))
+    edge = materialize(edge, "edges")
+
+    placed = ranked.join(edge, "key")
+    order = Window.partitionBy("key").orderBy("rank", "doc_id", "size", "tie", "row")
+    at_edge = placed.where("bucket = edge").withColumn("sum", F.col("before") + F.sum("size").over(order))
+    chosen = materialize(at_edge.where("sum <= need").select("key", "row", "sum"), "chosen")  # while the target isn't passed
+    top = chosen.groupBy("key").agg(F.max("sum").alias("sum"))
+    gap = edge.where(f"edge <= {BUCKETS}").join(top, "key", "left").select("key", "edge", (F.col("need") - F.coalesce("sum", "before")).alias("gap"))
     gap = materialize(gap, "gaps")
-    chosen = materialize(chosen.select("row"), "chosen")
-    # then the one other document that comes nearest to what is left, if it comes nearer than none
-    open_docs = both.join(gap, same(both, gap)).drop(gap["source"]).where("bucket >= edge").join(chosen, "row", "left_anti")
-    best = open_docs.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("miss"), F.col("rank"), F.col("doc_id"), F.col("tie"), F.col("row"))).alias("best"), F.first("gap").alias("gap"))
-    last = best.where("best.miss < gap").select(F.col("best.row").alias("row"))
-    picked = chosen.unionByName(last).withColumn("picked", F.lit(1))
+    # then the one other document that comes nearest to what is left, if that is nearer than none
+    free = ranked.join(gap, "key").where("bucket >= edge").join(chosen.select("row"), "row", "left_anti")
+    best = free.groupBy("key").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("miss"), "rank", "doc_id", "tie", "row", "gap")).alias("best"))
+    last = best.where("best.miss < best.gap").select(F.col("best.row").alias("row"))
+    picked = chosen.select("row").unionByName(last).withColumn("picked", F.lit(1))
 
     out = placed.join(picked, "row", "left")
     extra = F.when(F.col("bucket") < F.col("edge"), 1).otherwise(F.coalesce("picked", F.lit(0)))
     copies = (F.col("certain") + F.when(F.col("bucket").isNotNull(), extra).otherwise(0)).cast("int")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "row")
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
