@@ -1,0 +1,7 @@
+"""Registered queries of the library and the SQL that states their results."""
+
+from . import filters, ranking, search, state, streams
+
+_MODULES = (search, filters, ranking, state, streams)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

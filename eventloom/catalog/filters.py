@@ -171,7 +171,7 @@ SELECT p_partkey, CASE m WHEN 0 THEN regexp_replace(i, ' +konseri?$', '') WHEN 1
 def promotion_price(spark, sf_dir):
     line = load(spark, sf_dir, "lineitem")
     kind = F.element_at(F.array(*map(F.lit, ("percentage", "fixed", "buy_get", "cashback"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+    price = numeric.money(F.col("l_extendedprice") / F.col("l_quantity"))
     tickets = F.col("l_quantity").cast("int")
     qualifying = F.when(F.col("l_orderkey") % 5 != 0, F.floor(tickets / 2).cast("int"))
     fee = F.when(F.col("l_partkey") % 11 != 0, F.lit(2.5))
@@ -182,20 +182,20 @@ def promotion_price(spark, sf_dir):
 
 _PROMOTION = """
 WITH i AS (
-  SELECT l_orderkey, l_linenumber, ['percentage', 'fixed', 'buy_get', 'cashback'][l_linenumber % 4 + 1] AS kind, round(l_extendedprice / l_quantity, 2) AS price,
+  SELECT l_orderkey, l_linenumber, ['percentage', 'fixed', 'buy_get', 'cashback'][l_linenumber % 4 + 1] AS kind, floor(l_extendedprice / l_quantity * 100 + 0.5000001::DOUBLE) / 100 AS price,
     l_quantity::INT AS n, CASE WHEN l_orderkey % 5 <> 0 THEN floor(l_quantity::INT / 2.0)::INT END AS qn, CASE WHEN l_partkey % 11 <> 0 THEN 2.5::DOUBLE END AS fee,
     CASE WHEN l_suppkey % 3 = 0 THEN 40.0::DOUBLE END AS cap FROM lineitem),
 d AS (
-  SELECT *, round(price * n, 2) AS base_total, round(fee * n, 2) AS fees,
-    CASE WHEN cap IS NULL THEN round(price * qn * 3.0::DOUBLE / 100, 2) ELSE round(least(price * qn * 3.0::DOUBLE / 100, cap), 2) END AS share,
+  SELECT *, floor(price * n * 100 + 0.5000001::DOUBLE) / 100 AS base_total, floor(fee * n * 100 + 0.5000001::DOUBLE) / 100 AS fees,
+    floor(CASE WHEN cap IS NULL THEN price * qn * 3.0::DOUBLE / 100 ELSE least(price * qn * 3.0::DOUBLE / 100, cap) END * 100 + 0.5000001::DOUBLE) / 100 AS share,
     floor(qn / 4.0::DOUBLE) AS free FROM i),
 f AS (
   SELECT *, CASE WHEN qn IS NULL THEN NULL WHEN kind = 'percentage' THEN share
-      WHEN kind = 'fixed' THEN round(CASE WHEN cap IS NULL THEN 3.0::DOUBLE * qn ELSE least(3.0::DOUBLE * qn, cap) END, 2)
-      WHEN kind = 'buy_get' THEN round(price * CASE WHEN cap IS NULL THEN free ELSE least(free, cap) END, 2) ELSE 0.0::DOUBLE END AS discount,
+      WHEN kind = 'fixed' THEN floor(CASE WHEN cap IS NULL THEN 3.0::DOUBLE * qn ELSE least(3.0::DOUBLE * qn, cap) END * 100 + 0.5000001::DOUBLE) / 100
+      WHEN kind = 'buy_get' THEN floor(price * CASE WHEN cap IS NULL THEN free ELSE least(free, cap) END * 100 + 0.5000001::DOUBLE) / 100 ELSE 0.0::DOUBLE END AS discount,
     CASE WHEN kind = 'cashback' AND qn IS NOT NULL THEN share END AS cashback FROM d)
 SELECT l_orderkey, l_linenumber, kind, round(base_total, 6) AS base_total, round(discount, 6) AS discount, round(cashback, 6) AS cashback,
-  round(round(base_total - discount + fees, 2), 6) AS checkout_total, CASE WHEN qn IS NULL OR fee IS NULL THEN 'conditional' ELSE 'verified' END AS status,
+  round(floor((base_total - discount + fees) * 100 + 0.5000001::DOUBLE) / 100, 6) AS checkout_total, CASE WHEN qn IS NULL OR fee IS NULL THEN 'conditional' ELSE 'verified' END AS status,
   round(price * 100, 0)::BIGINT AS minor FROM f
 """
 

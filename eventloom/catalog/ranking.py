@@ -13,16 +13,21 @@ from ..operators import ranking, resolve
 from .base import load, r6, sql_identity
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared checkpoint folder and read it: a durable end of the lineage."""
-    spark = df.sparkSession
+def scratch(spark) -> str:
+    """Shared folder for intermediate tables: spark.checkpoint.dir, or a folder of this machine's own where
+    it is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='eventloom-')}")
         root = spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/eventloom-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/eventloom-{spark.sparkContext.applicationId}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it: a durable end of the lineage."""
+    path = f"{scratch(df.sparkSession)}/cut-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def first_per_key(spark, sf_dir):

@@ -9,8 +9,8 @@ EARTH_METRES = 6_371_000.0
 
 
 def money(value: Column) -> Column:
-    """Rounded to hundredths, halves up."""
-    return F.round(value, 2)
+    """Rounded to hundredths, halves up; what is a hair below a half by its binary form counts as a half."""
+    return F.floor(value * 100 + 0.5000001) / 100.0
 
 
 def minor_units(value: Column) -> Column:

@@ -24,7 +24,8 @@ def bm25(docs: DataFrame, key: str, tokens: Column, query: Sequence[str]) -> Dat
     task: document frequencies come from the same counts, not from an explosion of all tokens."""
     terms = list(dict.fromkeys(query))
     own = docs.select(key, tokens.alias("tokens"))
-    counts = [F.size(F.filter("tokens", lambda t, w=w: t == w)).alias(f"tf{i}") for i, w in enumerate(terms)]
+    count = lambda term: F.size(F.filter("tokens", lambda t: t == F.lit(term)))
+    counts = [count(w).alias(f"tf{i}") for i, w in enumerate(terms)]
     own = own.select(key, F.size("tokens").alias("len"), *counts)
     stats = own.agg(
         F.count("*").alias("n"), F.avg("len").alias("avg_len"),
