@@ -21,8 +21,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: White space and all other ASCII but letters and digits: what parts terms.
 _NO_TERM = np.array([not (b > 127 or chr(b).isalnum()) for b in range(256)])
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -128,5 +128,5 @@ def words_of(column: pa.Array, lower: bool = False, terms: bool = False) -> Iter
         begins[edge] = True
         ends[edge] = True
         start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-        values = _BYTE[_LOWER[data] if lower else data]
+        values = _BYTE[LOWER[data] if lower else data]
         yield Words(lo, hi, data, at, start, end, span_hashes(values, _BASE, start, end), np.searchsorted(start, at))

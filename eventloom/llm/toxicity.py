@@ -1,10 +1,11 @@
 """Toxicity grades by cumulative-link ordinal regression (operator 9).
 
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector is shared by all ordered thresholds.  x are
-sparse text features, the logarithms of the counts of the terms that screening found: those whose
-share of toxic labelled documents is above that of others by ``MIN_Z`` standard errors or more, at
-most ``MAX_TERMS``.  Labels are 0 or 1, so grades are made from them: 0 is not toxic; toxic rows are
-graded 1 to 3 by thirds of their screened terms per hundred.  Screening counts are a Spark
+sparse text features, the logarithms of the counts of the terms that screening found.  Terms are
+words, and beginnings of words of ``PREFIXES`` bytes, for languages that build words; screening keeps
+those whose share of toxic labelled documents is above that of others by ``MIN_Z`` standard errors
+or more, at most ``MAX_TERMS``.  Labels are 0 or 1, so grades are made from them: 0 is not toxic; toxic rows are
+graded 1 to 3 by thirds of the sum of their features.  Screening counts are a Spark
 aggregation over the labelled sample, at most ``MAX_FIT_ROWS`` rows, those with the least hash of
 doc_id.  Scoring looks up terms in Arrow batches; nothing is shuffled.
 """
@@ -19,12 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import _sigmoid, labelled_sample
-from .textnp import Words, words_of
+from .textnp import LOWER, Words, span_hashes, words_of
 
-MAX_FIT_ROWS = 20_000
+MAX_FIT_ROWS = 8000
 MAX_TERMS = 4096
-MIN_Z, MIN_DOCS = 5.0, 4
+PREFIXES = (4, 5, 6, 7, 8)
+MIN_Z, MIN_DOCS = 5.0, 6
 GRADES = 3
+_SIEVE = np.uint64((1 << 18) - 1)
+_BASE = 0xA0761D6478BD642F
+_LETTER = np.random.Generator(np.random.PCG64(20240615)).integers(1, 1 << 63, 256, dtype=np.uint64)[LOWER]
 
 
 @dataclass
@@ -36,7 +41,7 @@ class ToxicityModel:
     theta: np.ndarray
 
     def score(self, w: Words) -> np.ndarray:
-        row, term, n = _counts(w, self.terms)
+        row, term, n = _counts(w, self.terms, _sieve(self.terms))
         return np.bincount(row, self.weights[term] * np.log1p(n), w.hi - w.lo)
 
     def at_least(self, score: np.ndarray) -> np.ndarray:
@@ -44,17 +49,36 @@ class ToxicityModel:
         return _sigmoid(score[:, None] - self.theta[None, :])
 
 
-def _counts(w: Words, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, count) for each term that stands in a text."""
-    if not len(terms) or not len(w.hashes):
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    at = np.minimum(np.searchsorted(terms, w.hashes), len(terms) - 1)
-    hit = terms[at] == w.hashes
-    key, n = np.unique(w.text_of()[hit] * len(terms) + at[hit], return_counts=True)
+def _terms(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(text, hash) of the words of a slice, and of their beginnings of each length."""
+    text = w.text_of()
+    out = [(text, w.hashes)]
+    size = w.end - w.start
+    values = _LETTER[w.data]
+    for n in PREFIXES:
+        at = np.flatnonzero(size >= n)
+        out.append((text[at], span_hashes(values, _BASE, w.start[at], w.start[at] + n)))
+    return out
+
+
+def _counts(w: Words, terms: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) for each term that stands in a text, by text."""
+    keys = []
+    for text, h in _terms(w):
+        hit = np.flatnonzero(sieve[(h & _SIEVE).astype(np.int64)])
+        at = np.minimum(np.searchsorted(terms, h[hit]), len(terms) - 1)
+        same = terms[at] == h[hit]
+        keys.append(text[hit][same] * len(terms) + at[same])
+    key, n = np.unique(np.concatenate(keys), return_counts=True)
     return key // len(terms), key % len(terms), n
 
 
+def _sieve(terms: np.ndarray) -> np.ndarray:
+    out = np.zeros(int(_SIEVE) + 1, bool)
+    out[(terms & _SIEVE).astype(np.int64)] = True
+    return out
+
+
 def _screen(sample: DataFrame) -> np.ndarray:
     """Hashes of the terms that mark toxic rows."""
 
@@ -62,9 +86,12 @@ def _screen(sample: DataFrame) -> np.ndarray:
         for batch in batches:
             y = batch.column("y").to_numpy()
             for w in words_of(batch.column("text"), lower=True, terms=True):
-                pair = np.unique(np.rec.fromarrays([w.text_of(), w.hashes]))
-                if len(pair):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair["f1"]).view(np.int64)), pa.array(y[pair["f0"] + w.lo], pa.int32())], ["h", "y"])
+                text, h = (np.concatenate(x) for x in zip(*_terms(w)))
+                order = np.lexsort((h, text))
+                text, h = text[order], h[order]
+                first = np.ones(len(h), bool)
+                first[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(y[text[first] + w.lo], pa.int32())], ["h", "y"])
 
     total = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     a, b = total.get(1, 0), total.get(0, 0)
@@ -77,7 +104,7 @@ def _screen(sample: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.h for r in top.collect()], np.int64).view(np.uint64))
 
 
-def _fit(row, term, value, grade, n_terms, rounds=400, rate=0.05, l2=1e-4) -> tuple[np.ndarray, np.ndarray]:
+def _fit(row, term, value, grade, n_terms, rounds=400, rate=0.05, l2=1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds by Adam on the ordinal likelihood."""
     n, k = len(grade), int(grade.max())
     share = np.array([(grade >= j).mean() for j in range(1, k + 1)])
@@ -117,22 +144,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = MAX_FIT_ROWS)
         for batch in batches:
             y = batch.column("y").to_numpy()
             for w in words_of(batch.column("text"), lower=True, terms=True):
-                row, term, n = _counts(w, terms)
+                row, term, n = _counts(w, terms, _sieve(terms))
                 cut = np.searchsorted(row, np.arange(w.hi - w.lo + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(y[w.lo : w.hi], pa.int32()), pa.array(w.counts(), pa.int64()),
+                        pa.array(y[w.lo : w.hi], pa.int32()),
                         pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(term, pa.int64())), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(n, pa.int64())),
                     ],
-                    ["y", "words", "term", "n"],
+                    ["y", "term", "n"],
                 )
 
-    got = sample.select("text", "y").mapInArrow(emit, "y int, words long, term array<long>, n array<long>").collect()
+    got = sample.select("text", "y").mapInArrow(emit, "y int, term array<long>, n array<long>").collect()
     y = np.array([r.y for r in got])
-    hits = np.array([sum(r.n) for r in got], float)
-    rate = 100 * hits / np.maximum(1, [r.words for r in got])
-    cuts = np.quantile(rate[y == 1], np.arange(1, GRADES) / GRADES)
-    grade = np.where(y == 1, 1 + np.searchsorted(cuts, rate, "right"), 0)
+    strength = np.array([np.log1p(r.n).sum() for r in got])
+    cuts = np.quantile(strength[y == 1], np.arange(1, GRADES) / GRADES)
+    grade = np.where(y == 1, 1 + np.searchsorted(cuts, strength, "right"), 0)
     grade = np.unique(grade, return_inverse=True)[1]  # grades without a row don't count
     row = np.repeat(np.arange(len(got)), [len(r.term) for r in got])
     term = np.array([t for r in got for t in r.term], np.int64)
