@@ -33,10 +33,12 @@ from .textnp import span_hashes, words_of
 MAX_COMMON = 1 << 18
 #: A shingle that so many documents are known to hold is common.
 COMMON_FROM = 24
-#: Shingles that a task counts together (32 MB).
-BLOCK = 1 << 23
+#: Shingles that a task counts together (16 MB).
+BLOCK = 1 << 22
 #: Bits of the filter on ids whose sets verification needs (1 MB); more ids only make it weaker.
 FILTER_BITS = 1 << 23
+#: Bits of the filter on prefix shingles that are indexed (16 MB); more shingles only make it weaker.
+INDEX_BITS = 1 << 27
 
 
 def _sets(batch: pa.RecordBatch, k: int, wanted=None) -> Iterator[tuple[int, np.ndarray]]:
@@ -141,6 +143,32 @@ def shingle_prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, n long, sig binary, pkey binary, prefix array<long>, own int")
 
 
+def _index(heads: DataFrame) -> DataFrame:
+    """(gid, n, own, at, t): prefix shingles that stand in two prefixes or more, and a few others: those
+    that do are looked up in a bit set of fixed size, so that single ones aren't shuffled with their ids."""
+    twice = heads.select(F.explode("prefix").alias("t")).groupBy("t").count().where("count > 1").select("t")
+    bits = build(twice, INDEX_BITS)
+
+    def emit(batches):
+        for batch in batches:
+            column = batch.column("prefix")
+            size = column.value_lengths().to_numpy()
+            t = column.flatten().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
+            keep = np.flatnonzero(holds(bits, t, INDEX_BITS))
+            row = row[keep]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(batch.column("doc_id").to_numpy()[row]), pa.array(batch.column("n").to_numpy()[row]), pa.array(batch.column("own").to_numpy()[row]),
+                    pa.array(at[keep].astype(np.int32)), pa.array(t[keep]),
+                ],
+                ["gid", "n", "own", "at", "t"],
+            )
+
+    return heads.mapInArrow(emit, "gid long, n int, own int, at int, t long")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets have a Jaccard similarity of num / den or more."""
     pairs = materialize(pairs, "pairs")
@@ -202,8 +230,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     group_of = leaders.groupBy("pkey").agg(F.min("doc_id").alias("gid"))
     members = materialize(leaders.join(group_of, "pkey").select("gid", "doc_id", "n"), "groups")
     heads = keyed.where("pkey IS NOT NULL").select("doc_id", F.col("n").cast("int").alias("n"), "prefix", "own")
-    firsts = members.where("gid = doc_id").select("doc_id").distinct()
-    index = heads.join(firsts, "doc_id", "left_semi").select(F.col("doc_id").alias("gid"), "n", "own", F.posexplode("prefix").alias("at", "t"))
+    index = _index(heads).join(members.where("gid = doc_id").select("gid").distinct(), "gid")
     shared = index.groupBy("t").agg(F.min(F.struct("own", "gid", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
     index = materialize(index.drop("own").join(shared, "t").select("t", "at", "gid", "n", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("lead_n")), "index")
 
