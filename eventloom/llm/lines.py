@@ -69,7 +69,8 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     gone = each.join(found, "line").where("doc_id IS NULL OR first_doc IS NULL OR doc_id != first_doc").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
     gone = materialize(gone, "lines-to-remove").select(F.col("doc_id").alias("gone_id"), "gone")
     rows = docs.select(F.struct(*docs.columns).alias("row"))  # whatever docs' columns are called
-    both = rows.join(gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left")
+    # texts are joined by sorting at every size, so that what a small table needs foretells a large one
+    both = rows.join(gone.hint("merge"), F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left")
     text = F.col("row.text")
     pairs = F.arrays_zip(F.split(text, "\n").alias("t"), line_hashes(text).alias("h"))
     kept = F.transform(F.filter(pairs, lambda x: ~F.coalesce(F.array_contains(F.col("gone"), x["h"]), F.lit(False))), lambda x: x["t"])
