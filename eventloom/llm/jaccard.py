@@ -116,7 +116,7 @@ def shingle_prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
-            ids, rows, n, sig, pkey, prefix, cut, own = _ids(batch), [], [], [], [], [], [0], []
+            ids, rows, n, sig, pkey, prefix, cut, own = batch.column("doc_id"), [], [], [], [], [], [0], []
             for row, s in _sets(batch, k):
                 first, late = np.zeros(0, np.uint64), np.zeros(0, bool)
                 if num * (len(s) + 1) <= den * len(s) and len(s):  # else only an equal set is like it
@@ -133,7 +133,7 @@ def shingle_prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 cut.append(cut[-1] + len(first))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[rows], pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(pkey, pa.binary()),
+                    ids.take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(pkey, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))),
                     pa.array(own, pa.int32()),
                 ],

@@ -6,10 +6,10 @@ candidates first: a language that never shows a script in training is no candida
 A Viterbi pass over the words with a switching penalty then labels spans, so mixed-language text is
 cut where evidence outweighs the penalty and single odd words don't switch.
 
-Most texts have one label.  That is decided exactly without the full pass: if no run of words gives
-any other language an advantage above the penalty (the largest sum of a run, from running sums and
-running minima), the best single language is the best path.  The others are passed through Viterbi
-together, one word position at a time.
+Most texts have one label.  That is decided exactly without the full pass: if the largest gains that
+runs of words give two other languages (from running sums and running minima) don't add up to more
+than the penalty, no path with a switch beats the best single language.  The other texts are passed
+through Viterbi together, one word position at a time.
 
 Training counts n-grams in Spark over at most about ``MAX_FIT_ROWS`` labelled rows of each language,
 those with the least hash of doc_id, whole texts; the model is a table of fixed size per language.
@@ -170,19 +170,18 @@ def fit_languages(docs: DataFrame, label: str = "lang") -> LanguageModel | None:
 
 def _constant(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """(best single language of each text, whether that is the best path)."""
-    n = len(bounds) - 1
-    sums = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(scores, 0)])
+    n, k = len(bounds) - 1, scores.shape[1]
+    sums = np.concatenate([np.zeros((1, k)), np.cumsum(scores, 0)])
     best = (sums[bounds[1:]] - sums[bounds[:-1]]).argmax(1)
-    fixed = np.ones(n, bool)
-    word_best = np.repeat(best, np.diff(bounds))
-    gain = scores - scores[np.arange(len(scores)), word_best][:, None] if len(scores) else scores
-    for k in range(scores.shape[1]):
-        # texts whose gains never add up to the penalty need no look at runs
-        high = np.concatenate([[0.0], np.cumsum(np.maximum(gain[:, k], 0))])
-        for d in np.flatnonzero(fixed & (high[bounds[1:]] - high[bounds[:-1]] > penalty)):
-            run = np.concatenate([[0.0], np.cumsum(gain[bounds[d] : bounds[d + 1], k])])
-            fixed[d] = (run - np.minimum.accumulate(run)).max() <= penalty
-    return best, fixed
+    gain = scores - np.take_along_axis(scores, np.repeat(best, np.diff(bounds))[:, None], 1) if len(scores) else scores
+    # what all gains of a language add up to bounds what a run of it can gain
+    total = np.concatenate([np.zeros((1, k)), np.cumsum(np.maximum(gain, 0), 0)])
+    most = total[bounds[1:]] - total[bounds[:-1]]
+    two = lambda m: np.sort(m, 1)[:, -2:].sum(1)
+    for d in np.flatnonzero(two(most) > penalty):
+        run = np.concatenate([np.zeros((1, k)), np.cumsum(gain[bounds[d] : bounds[d + 1]], 0)])
+        most[d] = (run - np.minimum.accumulate(run, 0)).max(0)
+    return best, two(most) <= penalty
 
 
 def _viterbi(scores: np.ndarray, bounds: np.ndarray, texts: np.ndarray, penalty: float) -> list[np.ndarray]:
