@@ -123,7 +123,7 @@ def budget_signal(price: Column, comparison: str, amount: float) -> Column:
         "gte": F.when(ratio >= 0, 1.0).otherwise(-0.5),
         "approx": F.when(F.abs(ratio) <= 0.2, 1.0).otherwise(-F.least(F.lit(1.0), F.abs(ratio))),
     }[comparison]
-    return F.coalesce(said, F.lit(0.0))
+    return F.when(price.isNull(), 0.0).otherwise(said)
 
 
 def location_signal(side: Column, district: Column, wanted_side: str, wanted_district: str | None) -> Column:

@@ -50,7 +50,7 @@ def events(objects: DataFrame, keep: list[str]) -> DataFrame:
         clean_html(_get("$.location.name", "string")).alias("venue"), _get("$.location.address.streetAddress", "string").alias("address"),
         _get("$.location.address.addressLocality", "string").alias("city"), _get("$.location.geo.latitude", "double").alias("lat"), _get("$.location.geo.longitude", "double").alias("lon"),
         F.expr(f"array_min(transform(filter(o, x -> {stock} LIKE '%InStock'), x -> {price}))").alias("price"),
-        F.expr("try_variant_get(o[0], '$.priceCurrency', 'string')").alias("currency"),
+        F.expr("try_variant_get(get(o, 0), '$.priceCurrency', 'string')").alias("currency"),
         F.when(F.size("o") == 0, "unknown").when(F.expr(f"exists(o, x -> {stock} LIKE '%InStock')"), "available").otherwise("sold_out").alias("availability"),
     )
 
