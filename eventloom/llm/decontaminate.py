@@ -30,10 +30,10 @@ from .textnp import mix, words_of
 
 BLOCK_ITEMS = 4000
 MIN_TERMS = 5
-#: (least terms of an item, steps of the walk, stride in documents) of each size class
-CLASSES = ((5, 8, 1), (12, 14, 3), (24, 24, 4))
-SAMPLES, BANDS = 3, 2
-TARGET_RECALL, MAX_REPEATS = 0.98, 12
+#: (least terms of an item, steps of the walk, stride in documents, sampled steps) of each size class
+CLASSES = ((5, 5, 1, 3), (12, 12, 2, 4), (24, 24, 4, 5))
+BANDS = 2
+TARGET_RECALL, MAX_REPEATS = 0.99, 24
 TABLE_BITS = 1 << 23
 _PAD = np.uint64(0x6A09E667F3BCC909)
 
@@ -56,7 +56,8 @@ def _walk(h: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int, wanted:
 def _bands(size_class: int, repeat: int) -> list[list[int]]:
     """Steps that each band samples: spread over the walk, at random in each of its parts."""
     rng = np.random.Generator(np.random.PCG64([20240613, size_class, repeat]))
-    cuts = np.linspace(0, CLASSES[size_class][1], SAMPLES + 1).astype(int)
+    _, steps, _, samples = CLASSES[size_class]
+    cuts = np.linspace(0, steps, samples + 1).astype(int)
     return [[int(rng.integers(a, b)) for a, b in zip(cuts[:-1], cuts[1:])] for _ in range(BANDS)]
 
 
@@ -73,6 +74,11 @@ def _keys(h: np.ndarray, start: np.ndarray, end: np.ndarray, size_class: int, re
     return out
 
 
+def _room(offset: np.ndarray, size, size_class: int) -> np.ndarray:
+    """Which terms of an item leave enough of it for a walk, which moves on at half its steps."""
+    return (size - offset >= CLASSES[size_class][1] // 2) | (offset == 0)
+
+
 def _class_of(m: int) -> int:
     return max(i for i, c in enumerate(CLASSES) if c[0] <= m)
 
@@ -103,8 +109,7 @@ class ItemIndex:
             item = np.repeat(np.array(items), size)
             offset = np.arange(len(h)) - np.repeat(first, size)
             end = np.repeat(first + size, size)
-            room = (end - np.arange(len(h)) >= min(CLASSES[c][0], CLASSES[c][1]) // 2) | (offset == 0)
-            at = np.flatnonzero(room)
+            at = np.flatnonzero(_room(offset, end - np.arange(len(h)) + offset, c))
             for r in range(self.repeats[c]):
                 for k, key in enumerate(_keys(h, at, end[at], c, r)):
                     order = np.argsort(key, kind="stable")
@@ -114,11 +119,11 @@ class ItemIndex:
         return self
 
     def _repeats(self, c: int, items: list[int], recall: float) -> int:
-        """Repetitions that find a passage at the edit limit with the wanted probability: the chance of
-        one is measured on edited items in each of their places against the stride."""
+        """Repetitions that find the wanted share of passages at the edit limit: measured on edited items
+        in each of their places against the stride."""
         rng = np.random.Generator(np.random.PCG64([20240614, c]))
-        found, trials = np.zeros(MAX_REPEATS), 0
-        for _ in range(120):
+        first = []
+        for _ in range(200):
             t = self.terms[items[int(rng.integers(len(items)))]]
             edited = list(t)
             for _ in range(len(t) * self.max_edits // 100):
@@ -129,16 +134,19 @@ class ItemIndex:
                     edited.insert(at, rng.integers(1 << 62, dtype=np.uint64))
                 elif len(edited) > 1:
                     del edited[at]
-            e, stride = np.array(edited, np.uint64), CLASSES[c][2]
-            mine = np.arange(int(rng.integers(stride)), len(e), stride)
-            own = np.arange(len(t))
-            trials += 1
+            after = rng.integers(1 << 62, size=CLASSES[c][1], dtype=np.uint64)
+            e, stride = np.concatenate([np.array(edited, np.uint64), after]), CLASSES[c][2]
+            mine, own = np.arange(int(rng.integers(stride)), len(edited), stride), np.flatnonzero(_room(np.arange(len(t)), len(t), c))
             for r in range(MAX_REPEATS):
                 a = _keys(e, mine, np.full(len(mine), len(e)), c, r)
                 b = _keys(t, own, np.full(len(own), len(t)), c, r)
-                found[r] += any(np.isin(x, y).any() for x, y in zip(a, b))
-        miss = np.clip(1 - found / trials, 1e-3, 0.999)
-        return int(min(MAX_REPEATS, max(1, np.ceil(np.log(1 - recall) / np.log(miss.mean())))))
+                if any(np.isin(x, y).any() for x, y in zip(a, b)):
+                    break
+            else:
+                r = MAX_REPEATS
+            first.append(r)
+        found = [np.mean(np.array(first) < r) for r in range(1, MAX_REPEATS + 1)]
+        return next((r for r, share in enumerate(found, 1) if share >= recall), MAX_REPEATS)
 
 
 def _candidates(index: ItemIndex, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -197,7 +205,8 @@ def _matches(index: ItemIndex, h: np.ndarray, bounds: np.ndarray):
             continue
         done.add(block)
         a, b = max(0, place - 2 * limit - 2), min(n, place + len(item) + 2 * limit + 2)
-        if b <= a:
+        # every term of the item that the stretch lacks costs an edit
+        if b <= a or len(item) - np.isin(item, h[lo + a : lo + b]).sum() > limit:
             continue
         edits, first, end = _best_stretch(h[lo + a : lo + b], item)
         if edits <= limit and (not have or edits < have[0]):
