@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import clock, numeric, spelling, text
+from ..functions import clock, location, numeric, spelling, text
 from ..operators import joins, ranking, resolve
 from .base import load, r6, sql_identity
 
@@ -285,7 +285,7 @@ def address_districts(spark, sf_dir):
     c = load(spark, sf_dir, "customer")
     names = F.array(*map(F.lit, ("Kadıköy", "ŞİŞLİ", "Beyoğlu", "Üsküdar", "Nowhere")))
     at = F.concat(F.col("c_name"), F.lit(" Sok. "), F.element_at(names, (F.col("c_custkey") % 5 + 1).cast("int")), F.when(F.col("c_custkey") % 3 == 0, "/İstanbul").when(F.col("c_custkey") % 3 == 1, "").otherwise(" Mah. No 3"))
-    return c.groupBy(F.coalesce(text.address_district(at), F.lit("none")).alias("district")).agg(F.count("*").alias("n"))
+    return c.groupBy(F.coalesce(location.address_place(at, text.DISTRICTS), F.lit("none")).alias("district")).agg(F.count("*").alias("n"))
 
 
 _DISTRICTS = """

@@ -126,18 +126,10 @@ def source_category(label: Column) -> Column:
     return reduce(lambda out, x: out.when(_word(text, x[0]), x[1]), SOURCE_CATEGORIES[1:], F.when(_word(text, SOURCE_CATEGORIES[0][0]), SOURCE_CATEGORIES[0][1]))
 
 
-def address_district(address: Column) -> Column:
-    """The one district before the city or at the end of an address; null for none or several."""
-    text = fold(F.coalesce(address, F.lit("")))
-    hits = [F.when(text.rlike(rf"(?:^|[^a-z0-9_]){d}\s*(?:[/,]\s*istanbul(?:[^a-z0-9_]|$)|$)"), F.lit(d)) for d in DISTRICTS]
-    found = F.array_compact(F.array(*hits))
-    return F.when(F.size(found) == 1, found[0])
-
-
 def sentences(text: Column) -> Column:
     """Sentences: parts that end with . ! or ?, or at a line end; blanks are dropped."""
     ended = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])[\x20\x09-\x0D]+", "$1\n")
-    return F.filter(F.transform(F.split(ended, "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(ended, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def evidence_lines(text: Column, pattern: str) -> Column:

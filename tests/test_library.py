@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.catalog.ranking import cut
-from eventloom.functions import clock, numeric, spelling, text
+from eventloom.functions import clock, location, numeric, spelling, text
 from eventloom.operators import filters, joins, ranking, resolve, revisions
 from eventloom.plans import conditions as plan
 from eventloom.sources import jsonld, publication
@@ -35,7 +35,7 @@ def test_titles_categories_districts(spark):
     df = spark.createDataFrame([("Büyük Ev Ablukada Konseri", "Konser"), ("Konser", "Müzik"), ("Hamlet Tiyatro Oyunu", "TİYATRO"), ("Deniz Stand-Up", "stand up"), ("X Konseri", "Tiyatro")], "t string, c string")
     assert [r.k for r in df.select(text.title_key(F.col("t"), F.col("c")).alias("k")).collect()] == ["buyuk ev ablukada", "konser", "hamlet", "deniz", "x konseri"]
     assert values(spark, text.source_category, ["Stand-Up", "ATÖLYELER", "Rock Müzik", "Turizm", None]) == ["Stand-up", "Workshop", "Konser", None, None]
-    assert values(spark, text.address_district, ["Moda Cd. Kadıköy/İstanbul", "Kadıköy", "Şişli Beyoğlu", "Kadıköy/İstanbul, Şişli/İstanbul", "Silem", None]) == ["kadikoy", "kadikoy", "beyoglu", None, None, None]
+    assert values(spark, lambda c: location.address_place(c, text.DISTRICTS), ["Moda Cd. Kadıköy/İstanbul", "Kadıköy", "Şişli Beyoğlu", "Kadıköy/İstanbul, Şişli/İstanbul", "Silem", None]) == ["kadikoy", "kadikoy", "beyoglu", None, None, None]
 
 
 def test_sentences_and_cleaning(spark):
