@@ -98,7 +98,7 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
     base = docs.select("doc_id", "source", key.alias("key"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-    base = base.withColumns({"class": F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(0).cast("int"), "row": F.monotonically_increasing_id()})
+    base = base.withColumns({"class": F.when(F.col("size") > 0, F.length(F.bin("size")) - 1).otherwise(0), "row": F.monotonically_increasing_id()})
     base = materialize(base, "sizes")  # and with it the numbers of rows
     classes = materialize(base.groupBy("key", "class").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "classes")
     targets = source_targets(classes.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")))
@@ -118,7 +118,7 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
     sums = sums.withColumn("before", F.sum("words").over(Window.partitionBy("key").orderBy("bucket")) - F.col("words"))
     edge = sums.join(needs, "key").where("before <= need AND need < before + words").select("key", F.col("bucket").alias("edge"), "before")
     # a source that ends before its need is taken whole
-    edge = needs.join(edge, "key", "left").select("key", "need", F.coalesce("edge", F.lit(BUCKETS + 1)).alias("edge"), F.coalesce("before", F.lit(0)).alias("before"))
+    edge = needs.join(edge, "key", "left").select("key", "need", F.coalesce("edge", F.when(F.col("need") < 0, -1).otherwise(BUCKETS + 1)).alias("edge"), F.coalesce("before", F.lit(0)).alias("before"))
     edge = materialize(edge, "edges")
 
     placed = ranked.join(edge, "key")

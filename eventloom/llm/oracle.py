@@ -126,6 +126,38 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 FROM documents d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
 """
 
+OP3 = f"""
+WITH d AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS key, len({_WORDS})::BIGINT AS size FROM documents),
+s AS (SELECT key, sum(size)::DOUBLE AS n, row_number() OVER (ORDER BY any_value(source) NULLS LAST) - 1 AS k FROM d GROUP BY key),
+w AS (SELECT *, ([5, 2, 1][k % 3 + 1])::DOUBLE AS w, 2 * n AS cap FROM s),
+o AS (
+  SELECT *, (sum(n) OVER () * 150 / 100 - (sum(cap) OVER (ORDER BY cap / w, k ROWS UNBOUNDED PRECEDING) - cap))
+    / (sum(w) OVER () - (sum(w) OVER (ORDER BY cap / w, k ROWS UNBOUNDED PRECEDING) - w)) AS level FROM w),
+l AS (SELECT arg_min(level, cap / w) AS level FROM o WHERE level <= cap / w),
+t AS (SELECT key, n, CASE WHEN l.level IS NULL THEN cap ELSE least(cap, l.level * w) END AS target FROM w CROSS JOIN l),
+c AS (SELECT key, CASE WHEN size > 0 THEN length(bin(size)) - 1 ELSE 0 END AS class, sum(size)::DOUBLE AS words FROM d GROUP BY ALL),
+r AS (
+  SELECT key, class, n, target, pow(0.9, class) AS f, (target - 2 * (sum(words) OVER (PARTITION BY key ORDER BY class) - words))
+    / nullif(sum(words * pow(0.9, class)) OVER (PARTITION BY key ORDER BY class DESC), 0) AS rate FROM c JOIN t USING (key)),
+g AS (SELECT key, min(class) AS first, arg_min(rate, class) AS rate FROM r WHERE rate * f <= 2 GROUP BY key),
+e AS (
+  SELECT r.key, class, n, target, CASE WHEN first IS NULL OR class < first THEN 2.0::DOUBLE ELSE greatest(0.0, least(2.0, g.rate * f))::DOUBLE END AS expected
+  FROM r LEFT JOIN g USING (key)),
+u AS (
+  SELECT d.doc_id, d.key, d.size, n, target, floor(expected)::INT AS certain, expected - floor(expected) AS p,
+    (('0x' || substr(md5('17:' || doc_id), 1, 12))::BIGINT + 0.5) / 281474976710656.0::DOUBLE AS u
+  FROM d JOIN e ON d.key = e.key AND e.class = CASE WHEN size > 0 THEN length(bin(size)) - 1 ELSE 0 END),
+q AS (SELECT *, CASE WHEN p > 1e-12 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds, target - sum(certain * size) OVER (PARTITION BY key) AS need FROM u),
+x AS (SELECT *, sum(size) OVER (PARTITION BY key ORDER BY odds / (1 + odds), doc_id ROWS UNBOUNDED PRECEDING) <= need AS chosen FROM q WHERE odds IS NOT NULL),
+gap AS (SELECT key, any_value(need) - coalesce(sum(size) FILTER (chosen), 0) AS gap FROM x GROUP BY key),
+z AS (
+  SELECT arg_min(doc_id, (abs(gap - size), odds / (1 + odds), doc_id)) AS doc_id, min(abs(gap - size)) AS miss, any_value(gap) AS gap
+  FROM x JOIN gap USING (key) WHERE NOT chosen GROUP BY key)
+SELECT q.doc_id, q.size, q.n::BIGINT AS source_size, q.target,
+  ((q.certain + CASE WHEN x.chosen OR z.doc_id IS NOT NULL THEN 1 ELSE 0 END) * q.size)::BIGINT AS taken
+FROM q LEFT JOIN x ON x.doc_id = q.doc_id LEFT JOIN z ON z.doc_id = q.doc_id AND z.miss < z.gap
+"""
+
 OP4 = r"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at
@@ -172,6 +204,7 @@ FROM words LEFT JOIN (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id) USI
 ORACLE = {
     "op1_url_filters": OP1,
     "op2_secret_scans": OP2,
+    "op3_source_mixing": OP3,
     "op4_line_dedup": OP4,
     "op6_ngram_jaccard": OP6,
     "op10_substring_dedup": OP10,

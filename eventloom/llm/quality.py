@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .textnp import Words, span_hashes, words_of
 
-MAX_FIT_ROWS = 4000
+MAX_FIT_ROWS = 2500
 BUCKETS = 1 << 15
 FAMILIES = ("word1", "word2", "byte1", "byte2", "byte3")
 SCALE = 8.0
@@ -80,7 +80,7 @@ def _logistic(index, value, row, y, size, rounds=200, l2=1e-4, rate=0.05):
     w, b, n = np.zeros(size), 0.0, len(y)
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     used = np.unique(index)
-    place = np.searchsorted(used, index)
+    place = np.searchsorted(used, index).astype(np.int32)
     w, m, v = w[used], m[used], v[used]
     for t in range(1, rounds + 1):
         z = np.bincount(row, value * w[place], n) + b
@@ -151,10 +151,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = MAX_FIT_ROWS) -
         return None
     lengths = np.array([len(r.i) // 4 for r in got])
     index = np.frombuffer(b"".join(bytes(r.i) for r in got), np.int32)
-    value = np.frombuffer(b"".join(bytes(r.v) for r in got), np.float32).astype(np.float64)
+    value = np.frombuffer(b"".join(bytes(r.v) for r in got), np.float32)
     del got
-    row = np.repeat(np.arange(len(y)), lengths)
-    place = np.cumsum(~held) - 1
+    row = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
+    place = (np.cumsum(~held) - 1).astype(np.int32)
     fit = ~held[row]
     weights, bias = _logistic(index[fit], value[fit], place[row[fit]], y[~held], BUCKETS * len(FAMILIES))
     z = np.bincount(row, value * weights[index], len(y)) + bias
