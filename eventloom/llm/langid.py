@@ -50,52 +50,56 @@ SCRIPTS = [
 NAMES = sorted({name for _, name in SCRIPTS})
 _FIRST = np.array([at for at, _ in SCRIPTS])
 _SCRIPT = np.array([NAMES.index(name) for _, name in SCRIPTS])
+_ASCII = _SCRIPT[np.searchsorted(_FIRST, np.arange(128), "right") - 1]
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 
 
-def _features(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, bucket) of every n-gram of the words of a slice, and of each word its script (0: no
-    letter; else that of most of its letters) and its number of letters."""
-    n = len(w.hashes)
-    size = w.end - w.start
+def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct word of a slice, which of these each word is)."""
+    _, first, which = np.unique(w.hashes, return_index=True, return_inverse=True)
+    return first, which
+
+
+def _features(w: Words, pick: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """For the picked words of a slice: (first n-gram of each word, bucket) for words and each length of
+    n-gram, by word; the script of each (that of most letters), and its number of letters."""
+    start, size = w.start[pick], (w.end - w.start)[pick]
     # the words' bytes, each between marks
     total = size + 2
     to = np.cumsum(total) - total
     data = np.zeros(int(total.sum()), np.uint64)
     within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    raw = w.data[np.repeat(w.start, size) + within]
+    raw = w.data[np.repeat(start, size) + within]
     data[np.repeat(to + 1, size) + within] = raw.astype(np.uint64) + np.uint64(1)
-    word = np.repeat(np.arange(n), total)
     left = np.repeat(to + total, total) - np.arange(len(data))
-    words, codes = [np.arange(n)], [w.hashes >> _SHIFT]
-    code = np.zeros(len(data), np.uint64)
+    out = [(np.arange(len(pick)), (w.hashes[pick] >> _SHIFT).astype(np.int64))]
+    code = data.copy()
     for k in range(MAX_ORDER):
-        code = code[: len(data) - k] * np.uint64(263) + data[k:] if k else data * np.uint64(1)
-        if not len(code):
-            break
-        ok = left[: len(code)] > k
-        if k == 0:
-            ok = ok & (data > 0)
-        words.append(word[: len(code)][ok])
-        codes.append(mix(code[ok] + np.uint64(k << 56)) >> _SHIFT)
-    script, letters = _scripts(w)
-    return np.concatenate(words), np.concatenate(codes).astype(np.int64), script, letters
-
-
-def _scripts(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    lead = np.flatnonzero((w.data & 0xC0) != 0x80)
-    text = np.frombuffer(w.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    kind = _SCRIPT[np.searchsorted(_FIRST, text, "right") - 1]
+        if k:
+            code = code[:-1] * np.uint64(263) + data[k:]
+        # single marks say nothing; every n-gram of more than k bytes lies in its word
+        ok = (data > 0) if k == 0 else left[: len(code)] > k
+        n = size if k == 0 else np.maximum(total - k, 0)
+        bucket = (mix(code[ok] + np.uint64(k << 56)) >> _SHIFT).astype(np.int64)
+        out.append((np.cumsum(n) - n, bucket))
+    script, letters = _scripts(raw, np.repeat(np.arange(len(pick)), size), len(pick))
+    return out, script, letters
+
+
+def _scripts(raw: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Script and number of letters of each word, from the words' bytes."""
+    lead = (raw & 0xC0) != 0x80
+    text = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    kind = _SCRIPT[np.searchsorted(_FIRST, text, "right") - 1] if len(text) and text.max() > 127 else _ASCII[text]
     keep = kind != NAMES.index("")
-    word = np.searchsorted(w.start, lead[keep], "right") - 1
-    counts = np.bincount(word * len(NAMES) + kind[keep], minlength=len(w.hashes) * len(NAMES)).reshape(-1, len(NAMES))
+    counts = np.bincount(word[lead][keep] * len(NAMES) + kind[keep], minlength=n * len(NAMES)).reshape(-1, len(NAMES))
     letters = counts.sum(1)
     return np.where(letters > 0, counts.argmax(1), NAMES.index("")), letters
 
 
 @dataclass
 class LanguageModel:
-    """Languages in order, log-ratio per n-gram bucket and language, and which scripts each writes."""
+    """Languages in order, log-ratio by n-gram bucket and language, and which scripts each writes."""
 
     languages: list[str]
     ratios: np.ndarray
@@ -104,19 +108,24 @@ class LanguageModel:
     def word_scores(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(score of each word and language, letters of each word).  Words without letters and words
         whose script no language writes score 0 for all."""
-        word, code, script, letters = _features(w)
-        n = len(w.hashes)
-        grams = np.maximum(np.bincount(word, minlength=n), 1)
-        out = np.empty((n, len(self.languages)))
-        for k in range(len(self.languages)):
-            out[:, k] = np.bincount(word, self.ratios[k][code], n)
+        pick, which = _distinct(w)
+        out = np.zeros((len(pick), len(self.languages)))
+        if not len(pick):
+            return out, np.zeros(0, np.int64)
+        features, script, letters = _features(w, pick)
+        grams = np.zeros(len(pick))
+        for first, bucket in features:
+            size = np.diff(np.append(first, len(bucket)))
+            some = size > 0
+            out[some] += np.add.reduceat(self.ratios[bucket], first[some], axis=0)
+            grams += size
         out *= (2.0 / np.sqrt(grams))[:, None]
         np.clip(out, -WORD_BOUND, WORD_BOUND, out=out)
         allowed = self.scripts[script]
         none = ~allowed.any(1) | (letters == 0)
         out[~allowed] = -WORD_BOUND
         out[none] = 0.0
-        return out, letters
+        return out[which], letters[which]
 
 
 def _rows(docs: DataFrame, label: str) -> DataFrame:
@@ -142,12 +151,14 @@ def fit_languages(docs: DataFrame, label: str = "lang") -> LanguageModel | None:
         for batch in batches:
             lang = np.array(batch.column("lang").to_pylist(), object)
             for w in words_of(batch.column("text"), lower=True):
-                word, code, script, _ = _features(w)
+                features, script, _ = _features(w, np.arange(len(w.hashes)))
                 of = lang[w.lo + w.text_of()] if len(w.hashes) else np.zeros(0, object)
                 for name in set(of.tolist()):
                     mine = of == name
                     both = seen.setdefault(name, [np.zeros(BUCKETS, np.int64), np.zeros(len(NAMES), np.int64)])
-                    both[0] += np.bincount(code[mine[word]], minlength=BUCKETS)
+                    for first, bucket in features:
+                        own = np.repeat(mine, np.diff(np.append(first, len(bucket))))
+                        both[0] += np.bincount(bucket[own], minlength=BUCKETS)
                     both[1] += np.bincount(script[mine], minlength=len(NAMES))
         for name, (grams, scripts) in seen.items():
             count = np.concatenate([grams, scripts])
@@ -163,7 +174,7 @@ def fit_languages(docs: DataFrame, label: str = "lang") -> LanguageModel | None:
     table[got["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(), got["f"].to_numpy()] = got["n"].to_numpy()
     grams, scripts = table[:, :BUCKETS] + SMOOTH, table[:, BUCKETS:]
     logs = np.log(grams / grams.sum(1, keepdims=True))
-    ratios = logs - logs.mean(0, keepdims=True)
+    ratios = np.ascontiguousarray((logs - logs.mean(0, keepdims=True)).T)
     total = scripts[:, [i for i, x in enumerate(NAMES) if x]].sum(1, keepdims=True)
     return LanguageModel(names, ratios, (scripts >= MIN_SCRIPT_SHARE * np.maximum(total, 1)).T)
 
