@@ -18,18 +18,26 @@ from .common import materialize
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over edges (u > v).  Large: u's larger neighbours are linked to the least of u's
-    neighbourhood; small: u's smaller neighbours and u are."""
+    neighbourhood; small: u's smaller neighbours and u are.  The least neighbours are a table of their
+    own, so that the join has two plain exchanges and a hot node's edges can be split."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
         out = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = out.unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every node is a root, or has one parent and no child: all components are stars."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge table; component is its smallest reachable node.
 
@@ -37,16 +45,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     now = materialize(pairs.where("u != v").distinct(), "edges")
-    before = None
-    while True:
-        # a star forest is left as it is: no node has two parents, and no parent has one
-        state = now.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")
-        ).first()
-        if state.n == 0 or state == before:
-            break
-        before = state
-        now = materialize(_star(_star(now, True), False), "edges")
+    while not _is_forest(now):
+        now = materialize(_star(materialize(_star(now, True), "edges"), False), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -232,6 +232,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     heads = keyed.where("pkey IS NOT NULL").select("doc_id", F.col("n").cast("int").alias("n"), "prefix", "own")
     index = _index(heads).join(members.where("gid = doc_id").select("gid").distinct(), "gid")
     shared = index.groupBy("t").agg(F.min(F.struct("own", "gid", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
+    shared = materialize(shared.select("t", "lead"), "shared")
     index = materialize(index.drop("own").join(shared, "t").select("t", "at", "gid", "n", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("lead_n")), "index")
 
     # round 1: each group with the leader it shares most shingles with, each member with its group

@@ -156,7 +156,8 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
         return start, _hashes(w, window, start)
 
     rows = _scan(two.onto(one.onto(docs)), one.columns() + two.columns(), level3)
-    return rows.join(_repeated(rows), "h").select("doc_id", "p", "first")
+    # a table of its own: the join has two plain exchanges, and the rows of a hot window can be split
+    return rows.join(materialize(_repeated(rows), "repeated"), "h").select("doc_id", "p", "first")
 
 
 def _digest(docs: DataFrame) -> DataFrame:
