@@ -18,17 +18,9 @@ from eventloom.llm.common import scratch_root, table
 MIN_LANGUAGE_SHARE = 0.5
 
 
-def _keep(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs whose doc_id is (left_semi) or isn't (left_anti) among ids; a null id is never."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", how).select(*docs.columns)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language; texts without a letter, or without a main language, go."""
-    model = langid.fit_languages(docs, label="lang")
-    found = langid.predict_languages(docs, model)
-    rejected = found.where(f"lang_pred = 'und' OR score < {MIN_LANGUAGE_SHARE}")
-    return _keep(docs, rejected, "left_anti")
+    return langid.keep_languages(docs, langid.fit_languages(docs, label="lang"), MIN_LANGUAGE_SHARE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +34,13 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each group of near-duplicates (five words, similarity 0.8): the least doc_id.
     Rows without a doc_id stay."""
     groups = jaccard.jaccard_components(docs, k=5, num=80, den=100)
-    return _keep(docs, groups.where("doc_id != component_id"), "left_anti")
+    copies = groups.where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return _keep(docs, leaks, "left_anti")
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -151,7 +151,9 @@ class ItemIndex:
 
 def _candidates(index: ItemIndex, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Distinct (text, item, place) whose windows share a key; place is where the item would start."""
-    out = []
+    out: list[np.ndarray] = []
+    if not len(h):
+        return np.zeros((0, 3), np.int64)
     counts = np.diff(bounds)
     within = np.arange(len(h)) - np.repeat(bounds[:-1], counts)
     text, end = np.repeat(np.arange(len(counts)), counts), np.repeat(bounds[1:], counts)
@@ -230,31 +232,50 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: int = 20, recal
     anywhere by chance.  Items with equal texts are all reported.  Repeated documents give equal rows.
     A null item_id or doc_id is kept as such.  Other columns are ignored.
     """
-    spark = docs.sparkSession
-    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
-    spot = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     schema = "doc_id long, item_id long, first_term int, end_term int, edits int"
     out = None
-    for k in range(blocks):
-        rows = items.where(spot == k).collect()  # about BLOCK_ITEMS items
-        index = ItemIndex(np.array([r.item_id for r in rows], object), item_terms([r.text for r in rows]), max_edits).build(recall)
-        shared = spark.sparkContext.broadcast(index)
+    for shared in _blocks(benchmark, max_edits, recall):
 
         def emit(batches, shared=shared):
             index = shared.value
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 for w in words_of(batch.column("text"), lower=True, terms=True):
-                    if len(w.hashes) and index.repeats:
-                        found = _matches(index, w.hashes, w.bounds)
-                        if found:
-                            d, q, a, b, e = zip(*found)
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([ids[w.lo + x] for x in d], pa.int64()), pa.array([index.ids[x] for x in q], pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(e, pa.int32())],
-                                ["doc_id", "item_id", "first_term", "end_term", "edits"],
-                            )
+                    found = _matches(index, w.hashes, w.bounds)
+                    if found:
+                        d, q, a, b, e = zip(*found)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([ids[w.lo + x] for x in d], pa.int64()), pa.array([index.ids[x] for x in q], pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(e, pa.int32())],
+                            ["doc_id", "item_id", "first_term", "end_term", "edits"],
+                        )
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, schema)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: int = 20, recall: float = TARGET_RECALL) -> DataFrame:
+    """The rows of docs, all columns, in which ``find_leaks`` finds no item.  Rows are judged as they are
+    read, one pass for each block of items."""
+    for shared in _blocks(benchmark, max_edits, recall):
+
+        def emit(batches, shared=shared):
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for w in words_of(batch.column("text"), lower=True, terms=True):
+                    keep[[w.lo + found[0] for found in _matches(shared.value, w.hashes, w.bounds)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(emit, docs.schema)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, max_edits: int, recall: float):
+    """Broadcast indexes of blocks of about BLOCK_ITEMS items each."""
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    spot = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    for k in range(blocks):
+        rows = items.where(spot == k).collect()
+        index = ItemIndex(np.array([r.item_id for r in rows], object), item_terms([r.text for r in rows]), max_edits)
+        yield benchmark.sparkSession.sparkContext.broadcast(index.build(recall))

@@ -243,6 +243,33 @@ def _spans(path: np.ndarray, w: Words, d: int, names: list[str]) -> list[dict]:
     return [{"first": int(a), "end": int(b), "lang": names[path[lo + a]]} for a, b in zip(cut[:-1], cut[1:])]
 
 
+def _main(model: LanguageModel, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(main language, its share of letters, letters) of each text of a slice, and each word's language."""
+    path, letters = label_words(model, w)
+    n, k = w.hi - w.lo, len(model.languages)
+    by = np.bincount(w.text_of() * k + path, letters, n * k).reshape(n, k) if len(path) else np.zeros((n, k))
+    total, top = by.sum(1), by.argmax(1)
+    return top, np.where(total > 0, by[np.arange(n), top] / np.maximum(total, 1), 0.0), total, path
+
+
+def keep_languages(docs: DataFrame, model: LanguageModel | None, min_share: float) -> DataFrame:
+    """The rows of docs, all columns, whose main language holds min_share of their letters or more.  A text
+    without a letter goes; without a model nothing does.  Rows are judged as they are read."""
+    if model is None:
+        return docs
+
+    def emit(batches):
+        for batch in batches:
+            keep = []
+            for w in words_of(batch.column("text"), lower=True):
+                _, share, letters, _ = _main(model, w)
+                keep.append((letters > 0) & (share >= min_share))
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(emit, docs.schema)
+
+
 def predict_languages(docs: DataFrame, model: LanguageModel | None, spans: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score[, spans]) of every document.
 
@@ -261,11 +288,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, spans: bool
                 if model is None:
                     names, score, found = ["und"] * n, np.zeros(n), [[]] * n
                 else:
-                    path, letters = label_words(model, w)
-                    k = len(model.languages)
-                    by = np.bincount(w.text_of() * k + path, letters, n * k).reshape(n, k) if len(path) else np.zeros((n, k))
-                    total, top = by.sum(1), by.argmax(1)
-                    score = np.where(total > 0, by[np.arange(n), top] / np.maximum(total, 1), 0.0)
+                    top, score, total, path = _main(model, w)
                     names = [model.languages[t] if x else "und" for t, x in zip(top, total)]
                     found = [_spans(path, w, d, model.languages) if total[d] else [] for d in range(n)] if spans else []
                 out = [ids.slice(w.lo, n), pa.array(names, pa.string()), pa.array(score)]
