@@ -188,6 +188,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     keyed = docs.where("doc_id IS NOT NULL")
     digests = materialize(_digest(keyed).where(f"n_words >= {int(window)}").select("doc_id", "words"), "digests")
     first = digests.groupBy("words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last")
+    first = materialize(first, "classes")
     copies = materialize(digests.join(first, "words").where("doc_id != first").select("doc_id").distinct(), "copies")
     few = copies.count() <= MAX_BROADCAST_IDS
     once = keyed.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
