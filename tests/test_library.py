@@ -14,11 +14,6 @@ from eventloom.sources import jsonld, publication
 from eventloom.streaming import streams
 
 
-def one(spark, column, **values):
-    row = spark.createDataFrame([tuple(values.values())], [f"`{k}`" if False else k for k in values]) if values else spark.range(1)
-    return row.select(column.alias("x")).first().x
-
-
 def values(spark, function, items):
     df = spark.createDataFrame(list(enumerate(items)), "i int, v string")
     return [r.x for r in df.select("i", function(F.col("v")).alias("x")).orderBy("i").collect()]
