@@ -113,7 +113,7 @@ SELECT doc_id, CASE WHEN p AND len(n) = 0 THEN 'supported' WHEN len(n) > 0 AND N
 
 def age_evidence(spark, sf_dir):
     """Numbers of line texts read as ages: whether each stated range includes 12, and whether all agree."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.slice(F.regexp_extract_all("text", F.lit(r"([0-9]{1,3})"), 1), 1, 3).alias("n"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"([0-9]{1,3})"), 1).alias("n"))
     ranges = F.transform("n", lambda x: F.when(x.cast("int") <= 120, x.cast("int")))
     ranges = F.filter(ranges, lambda x: x.isNotNull())
     ok = F.size(F.filter("r", lambda x: x <= 12))

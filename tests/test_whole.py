@@ -29,3 +29,10 @@ def test_time_versions_and_overlaps_take_every_key(spark, tmp_path):
         if hits:
             expected[w] = (len(hits), min(hits))
     assert {r["w"]: (r["n"], r["first"]) for r in catalog.QUERIES["window_overlap"](spark, str(tmp_path)).collect()} == expected
+
+
+def test_age_evidence_reads_all_numbers(spark, tmp_path):
+    texts = {1: "from 5, 6, 7 and 8 years", 2: "5 6 7 then 18", 3: "20 30 40 50 11", 4: "13 14 15 16 17", 5: "none", 6: "999 500 300 12"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: (r["rules"], r["status"]) for r in catalog.QUERIES["age_evidence"](spark, str(tmp_path)).collect()}
+    assert found == {1: (4, "supported"), 2: (4, "unknown"), 3: (5, "unknown"), 4: (5, "contradicted"), 6: (1, "supported")}
