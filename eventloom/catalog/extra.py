@@ -136,13 +136,14 @@ SELECT p_partkey, p_brand, row_number() OVER (ORDER BY p_brand = 'Brand#3', p_re
 
 def tag_coverage(spark, sf_dir):
     """The first twelve of a ranking, its tail replaced by the first of up to four tags that it lacks."""
-    p = load(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(300)
-    p = p.select("p_partkey", "p_brand", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("r"))
-    shown = p.where("r <= 12").select("p_brand").distinct()
-    extra = p.join(shown, "p_brand", "left_anti").groupBy("p_brand").agg(F.min(F.struct("r", "p_partkey")).alias("b")).orderBy("b.r").limit(4).select("b.p_partkey", "b.r")
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_brand", ranking.price_order("p_retailprice", "p_partkey").alias("place"))
+    first = p.orderBy("place").limit(12)
+    best = p.join(first.select("p_brand").distinct(), "p_brand", "left_anti").groupBy("p_brand").agg(F.min("place").alias("place")).orderBy("place").limit(4)
+    extra = ranking.ranks_of(best.select(F.col("place.k").alias("p_partkey"), "place"), p, "place").select("p_partkey", "rank")
     n = extra.agg(F.count("*").alias("n"))
-    kept = p.crossJoin(F.broadcast(n)).where("r <= 12 - n").select("p_partkey", "r")  # one row
-    return kept.unionByName(extra).select("p_partkey", F.col("r").cast("long").alias("rank"))
+    top = first.withColumn("rank", F.row_number().over(Window.orderBy("place")).cast("long"))  # twelve rows
+    kept = top.crossJoin(F.broadcast(n)).where("rank <= 12 - n").select("p_partkey", "rank")  # one row
+    return kept.unionByName(extra)
 
 
 _TAGS = """

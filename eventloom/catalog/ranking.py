@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
@@ -44,10 +44,9 @@ QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, l_or
 
 
 def category_coverage(spark, sf_dir):
-    parts = load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
-    ranked = parts.orderBy(F.desc("p_retailprice"), "p_partkey").limit(400)
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")))
-    return ranking.category_coverage(ranked, "p_brand", "p_type", 40).select("p_partkey", "p_brand", "p_type", F.col("rank").cast("long").alias("rank"))
+    parts = load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", ranking.price_order("p_retailprice", "p_partkey").alias("rank"))
+    chosen = ranking.category_coverage(parts, "p_brand", "p_type", 40).withColumnRenamed("rank", "place")
+    return ranking.ranks_of(chosen, parts.withColumnRenamed("rank", "place"), "place").select("p_partkey", "p_brand", "p_type", "rank")
 
 
 _COVERAGE = """

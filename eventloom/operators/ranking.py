@@ -17,10 +17,27 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return best.select(*(c if c in keys else F.col(f"best.{c}").alias(c) for c in df.columns))
 
 
+def price_order(price: str, key: str) -> Column:
+    """Dearest first, unknown prices last, ties by key: one ascending column."""
+    return F.struct(F.col(price).isNull().alias("n"), (-F.col(price)).alias("p"), F.col(key).alias("k"))
+
+
+def ranks_of(chosen: DataFrame, rows: DataFrame, order: str) -> DataFrame:
+    """A few chosen rows with their rank from 1 among all rows by an ascending, unique column of both.
+
+    Every row is counted at the first chosen row that isn't ahead of it, so that no more than one count for
+    each chosen row leaves a task and nothing is put in order."""
+    cuts = chosen.agg(F.collect_list(order).alias("cuts"))  # one row of a few values
+    at = F.array_min(F.filter("cuts", lambda c: c >= F.col(order)))
+    counts = rows.select(order).crossJoin(F.broadcast(cuts)).groupBy(at.alias("at")).agg(F.count("*").alias("rows")).where("at IS NOT NULL")
+    ranks = chosen.select(F.col(order).alias("own")).join(F.broadcast(counts), F.col("at") <= F.col("own")).groupBy("own").agg(F.sum("rows").alias("rank"))
+    return chosen.join(ranks, F.col(order) == F.col("own")).drop("own")
+
+
 def category_coverage(ranked: DataFrame, category: str, production: str, k: int) -> DataFrame:
     """First of each category in rank order, then the best of the remaining productions, as many as k.
 
-    ranked has a column rank.  One row per production comes first, so that k * 2 rows reach the end."""
+    ranked has a column rank, of any type that can be ordered.  One row per production comes first, so that k * 2 rows reach the end."""
     once = first_per_key(ranked, [production], ["rank"])
     heads = once.groupBy(category).agg(F.min("rank").alias("head"))
     marked = once.join(heads, category).withColumn("later", (F.col("rank") != F.col("head")).cast("int"))

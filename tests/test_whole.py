@@ -36,3 +36,29 @@ def test_age_evidence_reads_all_numbers(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {r["doc_id"]: (r["rules"], r["status"]) for r in catalog.QUERIES["age_evidence"](spark, str(tmp_path)).collect()}
     assert found == {1: (4, "supported"), 2: (4, "unknown"), 3: (5, "unknown"), 4: (5, "contradicted"), 6: (1, "supported")}
+
+
+def test_coverage_sees_parts_behind_a_long_head(spark, tmp_path):
+    """One brand and type holds the dearest 450 parts; every other brand and type comes behind them."""
+    parts = [(k, "Hot", "HOT", 5000.0 - k // 3) for k in range(450)] + [(450 + i, f"B{i % 7}", f"T{i % 60}", 900.0 - i // 2) for i in range(300)] + [(800, "Last", "TLAST", None)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    ordered = sorted(parts, key=lambda r: (r[3] is None, -(r[3] or 0), r[0]))
+    rank = {r[0]: i + 1 for i, r in enumerate(ordered)}
+
+    once, heads, shown, extra = {}, {}, {r[1] for r in ordered[:12]}, {}
+    for r in ordered:
+        once.setdefault(r[2], r)
+    for r in sorted(once.values(), key=lambda r: rank[r[0]]):
+        heads.setdefault(r[1], r)
+    expected = sorted(once.values(), key=lambda r: (heads[r[1]] != r, rank[r[0]]))[:40]
+    found = catalog.QUERIES["category_coverage"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == sorted((*r[:3], rank[r[0]]) for r in expected)
+    assert "Last" in {r["p_brand"] for r in found}
+
+    for r in ordered:
+        if r[1] not in shown:
+            extra.setdefault(r[1], r)
+    tail = sorted(extra.values(), key=lambda r: rank[r[0]])[:4]
+    expected = [(r[0], rank[r[0]]) for r in ordered[: 12 - len(tail)] + tail]
+    assert len(tail) == 4
+    assert sorted(tuple(r) for r in catalog.QUERIES["tag_coverage"](spark, str(tmp_path)).collect()) == sorted(expected)
