@@ -8,6 +8,7 @@ from ..functions import numeric, text
 from ..operators import search
 from ..plans import conditions as plan
 from .base import load, r6, sql_fold, sql_tokens
+from .ranking import cut
 
 #: The query text and the document whose vector is the query vector.
 QUERY = "the attion hean daha tionre thed the"
@@ -72,9 +73,11 @@ sim AS (
 
 def rrf_hybrid(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    lexical = search.top_k(search.bm25(docs, "doc_id", search.tokens_of("text"), TERMS), [F.desc(F.round("score", 9)), F.asc("doc_id")], 200)
-    dense = search.dense_scores(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir))
-    dense = search.top_k(dense, [F.desc(F.round("similarity", 9)), F.asc("vec_id")], 200).withColumnRenamed("vec_id", "doc_id")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lexical = cut(search.bm25(docs, "doc_id", search.tokens_of("text"), TERMS))
+    lexical = search.ranked(lexical, [F.desc(F.round("score", 9)), F.asc("doc_id")], parts, cut)
+    dense = cut(search.dense_scores(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir)))
+    dense = search.ranked(dense, [F.desc(F.round("similarity", 9)), F.asc("vec_id")], parts, cut).withColumnRenamed("vec_id", "doc_id")
     fused = search.fuse([lexical, dense], "doc_id").join(docs.select("doc_id", "source"), "doc_id")
     best = fused.groupBy("source").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("id"))).alias("b"))
     best = best.select("source", (-F.col("b.id")).alias("doc_id"), r6(F.col("b.score"), "score"))

@@ -1,7 +1,7 @@
 """Retrieval: BM25, lexical and dense ranks, reciprocal rank fusion, top-k.
 
-Global ranks are taken after a top-k cut (``orderBy().limit(k)``, which keeps k rows per task), so no
-task ever holds a whole table in order.
+Ranks of a short list are taken after a top-k cut (``orderBy().limit(k)``, which keeps k rows per task),
+ranks of a whole list within ranges of its order, so no task ever holds a whole table in order.
 """
 
 from __future__ import annotations
@@ -56,6 +56,18 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int, rank: str = "rank") ->
     return df.orderBy(*order).limit(k).withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 
 
+def ranked(df: DataFrame, order: Sequence[Column], parts: int, checkpoint) -> DataFrame:
+    """All rows with their rank from 1; order must end in a unique key.
+
+    Rows are dealt to ranges of the order, which checkpoint(df) fixes; a row's rank is its place in its
+    range after the sizes of the ranges before, which are one row for each range."""
+    dealt = checkpoint(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    ahead = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_ahead"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("rank", place).join(F.broadcast(ahead), "_range").withColumn("rank", F.col("rank") + F.col("_ahead")).drop("_range", "_ahead")
+
+
 def fuse(lists: Sequence[DataFrame], key: str, k: int = RRF_K) -> DataFrame:
     """(key, score): sum of 1 / (k + rank) over ranked lists of (key, rank)."""
     parts = [r.select(key, (1.0 / (k + F.col("rank"))).alias("s")) for r in lists]

@@ -3,6 +3,8 @@
 import datetime
 
 from eventloom import catalog
+from eventloom.catalog import search as catalog_search
+from eventloom.operators import search
 
 
 def test_time_versions_and_overlaps_take_every_key(spark, tmp_path):
@@ -62,3 +64,26 @@ def test_coverage_sees_parts_behind_a_long_head(spark, tmp_path):
     expected = [(r[0], rank[r[0]]) for r in ordered[: 12 - len(tail)] + tail]
     assert len(tail) == 4
     assert sorted(tuple(r) for r in catalog.QUERIES["tag_coverage"](spark, str(tmp_path)).collect()) == sorted(expected)
+
+
+def test_rrf_hybrid_fuses_whole_rankings(spark, tmp_path):
+    """A hot source holds the first 300 places of both lists; the others come behind, many with equal scores."""
+    words = "attion hean tionre thed"
+    docs = [(i, f"{words} " + "filler " * (i % 3), "hot") for i in range(300)] + [(300 + i, "attion " + "other " * (5 + i // 3), f"s{i % 11}") for i in range(240)]
+    vectors = [(i, [1.0, i / 1000.0]) for i in range(300)] + [(300 + i, [1.0, 2.0 + (i * 7 % 240) // 2]) for i in range(230)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    scored = search.bm25(spark.read.parquet(str(tmp_path / "documents.parquet")), "doc_id", search.tokens_of("text"), catalog_search.TERMS).collect()
+    lexical = sorted((-round(r["score"], 9), r["doc_id"]) for r in scored)
+    qv = catalog_search._query_vector(spark, str(tmp_path))
+    similar = search.dense_scores(spark.read.parquet(str(tmp_path / "embeddings.parquet")), "vec_id", "embedding", qv).collect()
+    dense = sorted((-round(r["similarity"], 9), r["vec_id"]) for r in similar)
+    assert len(lexical) == 540 and len(dense) == 530
+    score, best = {}, {}
+    for ranking in (lexical, dense):
+        for r, (_, i) in enumerate(ranking):
+            score[i] = score.get(i, 0.0) + 1 / (61 + r)
+    for i, _, source in docs:
+        best[source] = max(best.get(source, (-1.0, 0)), (score[i], -i))
+    found = catalog.QUERIES["rrf_hybrid"](spark, str(tmp_path)).collect()
+    assert sorted((r["source"], r["doc_id"], round(r["score"], 6)) for r in found) == sorted((s, -i, round(x, 6)) for s, (x, i) in best.items())
