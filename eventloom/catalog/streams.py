@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import streams
 from .base import load
-from .ranking import scratch
+from .ranking import cut, scratch
 from .state import ORACLE as STATE
 
 HEADS = STATE["page_head_machine"]
@@ -18,7 +18,7 @@ def _run(spark, sf_dir, build, mode):
     root = f"{scratch(spark)}/stream-{uuid.uuid4().hex[:12]}"
     # a pattern, since the table may be a file or a folder of files
     events = streams.read_events(spark, f"{sf_dir}/events.parque[t]", load(spark, sf_dir, "events").schema)
-    streams.run(build(events), lambda df, n: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{root}/out"), f"{root}/state", mode)
+    streams.run(build(events), streams.land(f"{root}/out") if mode == "append" else lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out"), f"{root}/state", mode)
     return spark.read.parquet(f"{root}/out")
 
 
@@ -30,9 +30,11 @@ def stream_rate_window(spark, sf_dir):
 def stream_page_heads(spark, sf_dir):
     def build(e):
         arrival = (F.floor(F.col("event_id") / 50) * 50) + (F.col("event_id") * 37 % 50)
-        return streams.page_heads(e.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), arrival.alias("arrival"), F.date_diff("ts", F.lit("2024-01-01").cast("date")).cast("long").alias("clock"), F.col("event_type").alias("content")))
+        return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), arrival.alias("arrival"), F.date_diff("ts", F.lit("2024-01-01").cast("date")).cast("long").alias("clock"), F.col("event_type").alias("content"))
 
-    return _run(spark, sf_dir, build, "append").select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "verdict")
+    log = _run(spark, sf_dir, build, "append")
+    heads = streams.page_heads(log, int(spark.conf.get("spark.sql.shuffle.partitions")), cut)
+    return heads.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "verdict")
 
 
 QUERIES = {f.__name__: f for f in (stream_rate_window, stream_page_heads)}

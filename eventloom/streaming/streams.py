@@ -3,10 +3,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -36,26 +35,29 @@ def fresh_once(events: DataFrame, key: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def _heads(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The page head machine of one key: accepted if newer, stale if older, held on an equal clock with other
-    content, same with equal content.  Rows of one trigger are taken in order of arrival."""
-    clock, content = state.get if state.exists else (None, None)
-    batch = pd.concat(list(frames)).sort_values("arrival")
-    verdicts = []
-    for c, x in zip(batch["clock"], batch["content"]):
-        if clock is None or c > clock:
-            verdicts.append("accepted")
-            clock, content = int(c), x
-        else:
-            verdicts.append("stale" if c < clock else "same" if x == content else "held")
-    yield pd.DataFrame({"key": [key[0]] * len(batch), "id": batch["id"].to_numpy(), "verdict": verdicts})
-    if clock is not None:
-        state.update((clock, content))
-
-
-def page_heads(observations: DataFrame) -> DataFrame:
-    """Verdicts on a stream of (key, id, arrival, clock, content); state is one head for each key."""
-    return observations.groupBy("key").applyInPandasWithState(_heads, "key long, id long, verdict string", "clock long, content string", "append", "NoTimeout")
+def land(path: str) -> Callable[[DataFrame, int], None]:
+    """Sink: a log of all rows; a batch that is run again replaces its own rows."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def page_heads(log: DataFrame, parts: int, checkpoint) -> DataFrame:
+    """(key, id, verdict) of a log of (key, id, arrival, clock, content): the page head machine in order of
+    arrival, whichever files and triggers rows came in.  Accepted if newer, stale if older, held on an equal
+    clock with other content, same with equal content.
+
+    Rows are dealt to ranges of key and arrival, which checkpoint(df) fixes, so that a hot key takes many
+    tasks; what a range starts from is the head that the key's ranges before leave."""
+    dealt = checkpoint(log.repartitionByRange(parts, "key", "arrival").withColumn("_range", F.spark_partition_id()))
+    head = F.max(F.struct(F.col("clock").alias("c"), (-F.col("arrival")).alias("a"), F.col("content").alias("x")))
+    before = Window.partitionBy("key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = dealt.groupBy("key", "_range").agg(head.alias("h")).select(F.col("key"), F.col("_range"), F.max("h").over(before).alias("h"))
+    past = Window.partitionBy("key", "_range").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.first("content").over(Window.partitionBy("key", "_range", "clock").orderBy("arrival"))
+    rows = dealt.withColumn("_top", F.max("clock").over(past)).withColumn("_first", first).join(carried, ["key", "_range"])
+    top = F.greatest("_top", "h.c")
+    first = F.when(F.col("clock") == F.col("h.c"), F.col("h.x")).otherwise(F.col("_first"))
+    verdict = F.when(top.isNull() | (F.col("clock") > top), "accepted").when(F.col("clock") < top, "stale").when(F.col("content") == first, "same").otherwise("held")
+    return rows.select("key", "id", verdict.alias("verdict"))
 
 
 def upsert_latest(spark: SparkSession, path: str, key: str, clock: str, tie: str) -> Callable[[DataFrame, int], None]:

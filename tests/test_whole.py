@@ -1,6 +1,7 @@
 """Queries do the whole job: every row counts, against brute force on small tables."""
 
 import datetime
+import random
 
 from eventloom import catalog
 from eventloom.catalog import search as catalog_search
@@ -87,3 +88,24 @@ def test_rrf_hybrid_fuses_whole_rankings(spark, tmp_path):
         best[source] = max(best.get(source, (-1.0, 0)), (score[i], -i))
     found = catalog.QUERIES["rrf_hybrid"](spark, str(tmp_path)).collect()
     assert sorted((r["source"], r["doc_id"], round(r["score"], 6)) for r in found) == sorted((s, -i, round(x, 6)) for s, (x, i) in best.items())
+
+
+def test_stream_page_heads_take_arrival_order_across_triggers(spark, tmp_path):
+    """Twenty shuffled files, which are three triggers; one user holds a third of the rows."""
+    rng = random.Random(5)
+    start = datetime.datetime(2024, 1, 1)
+    events = [(i, 0 if i % 3 == 0 else rng.randrange(1, 9), rng.choice("ab"), start + datetime.timedelta(days=i // 100 + rng.randrange(3))) for i in range(1200)]
+    shuffled = rng.sample(events, len(events))
+    schema = "event_id long, user_id long, event_type string, ts timestamp_ntz"
+    spark.createDataFrame(spark.sparkContext.parallelize(shuffled, 20), schema).write.parquet(str(tmp_path / "events.parquet"))
+    assert len(list((tmp_path / "events.parquet").glob("part-*.parquet"))) == 20
+    heads, expected = {}, []
+    for i, user, content, ts in sorted(events, key=lambda e: e[0] // 50 * 50 + e[0] * 37 % 50):
+        clock, old = heads.get(user, (-1, None))
+        day = (ts - start).days
+        verdict = "accepted" if day > clock else "stale" if day < clock else "same" if content == old else "held"
+        if verdict == "accepted":
+            heads[user] = (day, content)
+        expected.append((user, i, verdict))
+    found = [tuple(r) for r in catalog.QUERIES["stream_page_heads"](spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(expected)
