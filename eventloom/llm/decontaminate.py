@@ -9,9 +9,9 @@ present term and moves on by one with a random bit of (j, term).  Sequences at a
 emit equal terms at most steps, so edit distance becomes Hamming distance.  Bit sampling hashes the
 terms emitted at a few random steps; windows of a document and of an item that agree there are
 candidates.  Items are embedded from each of their terms on, documents from every ``STRIDE``-th, in
-windows of the items' sizes, so a passage gives many chances in each repetition.  The number of
-repetitions follows from the target recall: the chance of one repetition is measured on items edited
-up to the limit.  Candidates are verified by the exact edit distance to the best stretch.
+walks of a few steps by size class, so a passage gives many chances in each repetition.  The number of
+repetitions aims at the target recall: it is measured on items of a class, edited at random up to the
+limit, and ends at ``MAX_REPEATS``.  Single sizes can have less; README.md gives figures.  Candidates are verified by the exact edit distance to the best stretch.
 
 The benchmark is taken in blocks of ``BLOCK_ITEMS`` items, whose index is of bounded size and goes to
 every task; documents are only scanned, never shuffled or gathered.
