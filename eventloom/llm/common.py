@@ -7,8 +7,10 @@ space of an RDD checkpoint and survives lost executors in the same way.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,30 +23,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of one file, at most, of a scratch table whose number of rows is known to be bounded.
+ROWS_PER_FILE = 50_000
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, one sub-folder for each application.
 
-    ``spark.checkpoint.dir`` is used where it is set.  Only where it is unset, as in tests on one
-    machine, a temporary folder is made and set as the checkpoint folder.
+    ``spark.checkpoint.dir`` is used where it is set.  Where it is unset, a temporary folder is made,
+    but only if all tasks run in this process; on a cluster that is an error, since executors would
+    write to disks of their own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='eventloom-')}")
-            found = spark.sparkContext.getCheckpointDir()
-        root = found
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='eventloom-')}")
+        root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/eventloom-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a scratch table and read it back: the cut in the lineage is durable."""
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to a scratch table and read it back: the cut in the lineage is durable.
+
+    rows is a bound on its number of rows where one is known from a table that it comes from.  Then it
+    gets a file for each ROWS_PER_FILE of them at most, so that a small table isn't written by as many
+    tasks as the shuffle before it has partitions."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of one Arrow batch that a Python worker is given, about; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(df: DataFrame, emit: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(emit, schema)`` with batches bounded by bytes, so that what a worker and the JVM
+    beside it hold at once doesn't depend on how long texts are."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(conf.get(name)).rstrip("b")) != BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(emit, schema)
+
+
 def clean_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; call it when its results have been written."""
     jvm = spark.sparkContext._jvm

@@ -8,7 +8,12 @@ complete each other stand within ``REACH`` characters of each other in the same
 * a weak identifier with a secret value (weak, or a base assignment or hex key),
 * an endpoint with both an identifier and a secret value.
 
-This is an interval join by bins of ``REACH`` characters.  Parts of a kind are pre-aggregated to the
+Matches become rows once, with the lengths of the match and of what stands before it; running sums over
+a text's matches give positions.  A weak part that overlaps a base span, or a weak part of an earlier
+kind, is dropped: a running maximum of ends over the starts in order tells, so all of this is sorting
+by text and position, near-linear in the matches of a text, and texts themselves are never shuffled.
+
+Linking is an interval join by bins of ``REACH`` characters.  Parts of a kind are pre-aggregated to the
 first and last position in each bin, and a part meets the aggregates of its own bin and of the bins
 beside it: whether a partner is in reach is exact, and no pair is ever made, however many parts a
 document has.  Matches never cross a bin's row, so neither hot scopes nor long texts make groups.
@@ -17,11 +22,13 @@ document has.  Matches never cross a bin's row, so neither hot scopes nor long t
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 REACH = 200
 #: kind: (pattern, group that must be long enough, least length).  Fixed values of the contract.
 BASE = {
@@ -42,28 +49,45 @@ KINDS = [*BASE, *WEAK]
 IDENTIFIERS, VALUES = ("access", "ident"), ("assign", "hex", "value")
 
 
-def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Array of (start, end, rank, kind) of the kept leftmost matches, in code points.
+def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
+    """Array of (rank, at, gap, size, keep) of the leftmost matches: the number of the match, the length of
+    what stands between it and the one before, its own length, and whether it counts."""
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
-    The text is cut at the matches; a match starts where what precedes it ends."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, keep: boolean>>").alias("out"))
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"))
-
-    def add(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        kept = F.length(F.regexp_extract(x["hit"], pattern, group)) >= least if group else F.length(x["hit"]) >= least
+    def one(x, i):
+        keep = F.length(F.regexp_extract(x["hit"], pattern, group)) >= least if group else F.length(x["hit"]) >= least
         if kind in HOLDS:
-            kept = reduce(and_, (x["hit"].rlike(p) for p in HOLDS[kind]), F.length(x["hit"]) <= MAX_VALUE)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), kept.alias("keep")))).alias("out"))
+            keep = reduce(and_, (x["hit"].rlike(p) for p in HOLDS[kind]), F.length(x["hit"]) <= MAX_VALUE)
+        return F.struct(F.lit(KINDS.index(kind)).alias("rank"), i.alias("at"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("size"), keep.alias("keep"))
 
-    spans = F.aggregate(pairs, zero, add, lambda acc: acc["out"])
-    rank = KINDS.index(kind)
-    spans = F.transform(F.filter(spans, lambda s: s["keep"]), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-    none = F.array().cast("array<struct<start: int, rank: int, end: int, kind: string>>")
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    # the text after the last match has no match
+    found = F.filter(F.transform(both, one), lambda x: x["size"].isNotNull())
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<rank: int, at: int, gap: int, size: int, keep: boolean>>"))
+
+
+def _parts(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, rank, start, end) of every match that counts, in code points; equal rows of docs count
+    once.  docs: (doc_id, t, text)."""
+    text = F.col("text")
+    # weak parts matter only in texts that hold an identifier and a value, base or weak
+    may = lambda kinds: reduce(lambda x, y: x | y, (text.rlike((BASE | WEAK)[k][0]) for k in kinds))
+    weak = F.concat(*(_found(text, k, *v) for k, v in WEAK.items()))
+    weak = F.when(may(IDENTIFIERS) & may(VALUES), weak).otherwise(F.array().cast("array<struct<rank: int, at: int, gap: int, size: int, keep: boolean>>"))
+    rows = docs.select("doc_id", "t", F.explode(F.concat(*(_found(text, k, *v) for k, v in BASE.items()), weak)).alias("m")).select("doc_id", "t", "m.*")
+    rows = rows.groupBy("doc_id", "t", "rank", "at").agg(*(F.first(c).alias(c) for c in ("gap", "size", "keep")))
+    before = Window.partitionBy("doc_id", "t", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before).cast("int"))
+    return rows.where("keep").select("doc_id", "t", "rank", (F.col("end") - F.col("size")).alias("start"), "end")
+
+
+def _apart(parts: DataFrame, kind: str, *earlier: str) -> DataFrame:
+    """parts without those of a kind that overlap one of the earlier kinds.  Spans in order of their starts,
+    looked up at a part's end: the largest end of those that start before it is past its start."""
+    rank, others = KINDS.index(kind), [KINDS.index(k) for k in earlier]
+    mine = F.col("rank") == rank
+    order = Window.partitionBy("doc_id", "t").orderBy(F.when(mine, F.col("end")).otherwise(F.col("start")), ~mine).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("rank").isin(others), F.col("end"))).over(order)
+    return parts.withColumn("reach", reach).where(~mine | (F.coalesce("reach", F.lit(0)) <= F.col("start"))).drop("reach")
 
 
 def _line(spans: Column) -> Column:
@@ -72,52 +96,52 @@ def _line(spans: Column) -> Column:
 
 
 def _linked(parts: DataFrame, reach: int) -> DataFrame:
-    """The weak parts that the rules of the method report.  parts: (key, start, rank, end, kind)."""
-    bin_of = lambda c: F.floor(F.col(c) / reach)
-    parts = parts.withColumns({"first_bin": bin_of("start"), "ident": F.col("kind").isin(*IDENTIFIERS), "val": F.col("kind").isin(*VALUES)})
-    ends = parts.where("ident OR val").select("key", "ident", "start", "end", F.explode(F.sequence("first_bin", F.floor(F.col("end") / reach))).alias("b"))
+    """The weak parts that the rules of the method report.  parts: (doc_id, t, rank, start, end)."""
+    bins = F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor(F.col("end") / reach))).alias("b")
+    key, rank_of = ["doc_id", "t"], lambda kinds: [KINDS.index(k) for k in kinds]
+    parts = parts.withColumns({"ident": F.col("rank").isin(rank_of(IDENTIFIERS)), "val": F.col("rank").isin(rank_of(VALUES))})
+    ends = parts.where("ident OR val").select(*key, "ident", "start", "end", bins)
     # the extent of each role in each bin, sent to the bins beside it as well
-    extent = ends.groupBy("key", "b").agg(*(f(F.when(F.col("ident") == r, F.col(c))).alias(f"{n}_{c}") for n, r in (("i", True), ("v", False)) for f, c in ((F.min, "start"), (F.max, "end"))))
-    near = extent.select("key", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), F.col("b").alias("of"), "i_start", "i_end", "v_start", "v_end")
-    weak = parts.where(F.col("kind").isin(*WEAK)).select("key", "start", "rank", "end", "kind", F.explode(F.sequence("first_bin", F.floor(F.col("end") / reach))).alias("b"))
+    extent = ends.groupBy(*key, "b").agg(*(f(F.when(F.col("ident") == r, F.col(c))).alias(f"{n}_{c}") for n, r in (("i", True), ("v", False)) for f, c in ((F.min, "start"), (F.max, "end"))))
+    near = extent.select(*key, F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), F.col("b").alias("of"), "i_start", "i_end", "v_start", "v_end")
+    weak = parts.where(F.col("rank").isin(rank_of(WEAK))).select(*key, "rank", "start", "end", bins)
 
     def in_reach(role: str) -> Column:
         before = (F.col("of") < F.col("b")) & (F.col(f"{role}_end") >= F.col("start") - reach)
         after = (F.col("of") > F.col("b")) & (F.col(f"{role}_start") <= F.col("end") + reach)
         return F.coalesce(F.bool_or(F.col(f"{role}_start").isNotNull() & ((F.col("of") == F.col("b")) | before | after)), F.lit(False))
 
-    met = weak.join(near, ["key", "b"]).groupBy("key", "start", "rank", "end", "kind").agg(in_reach("i").alias("i"), in_reach("v").alias("v"))
-    return met.where("(kind = 'value' AND i) OR (kind = 'ident' AND v) OR (kind = 'endpoint' AND i AND v)").select("key", "start", "rank", "end", "kind")
+    met = weak.join(near, [*key, "b"]).groupBy(*key, "rank", "start", "end").agg(in_reach("i").alias("i"), in_reach("v").alias("v"))
+    value, ident, endpoint = (KINDS.index(k) for k in ("value", "ident", "endpoint"))
+    return met.where(f"(rank = {value} AND i) OR (rank = {ident} AND v) OR (rank = {endpoint} AND i AND v)").select(*key, "rank", "start", "end")
 
 
 def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """(doc_id, base, spans, secrets): arrays of (start, rank, end, kind) by start and kind, code points
-    with exclusive end; base are the base patterns' alone, spans also the weak parts that were linked;
-    secrets are the texts of spans.
+    """(doc_id, base, spans): arrays of (start, rank, end, kind) by start and kind, code points with
+    exclusive end; base are the base patterns' alone, spans also the weak parts that were linked.
 
-    A null text is empty.  A weak part that overlaps a base span isn't one.  Parts are linked within
-    equal (doc_id, text), so repeated rows give equal rows, and a doc_id with two texts gives a row for
-    each.  Columns other than doc_id and text are ignored.
+    A null text is empty.  A weak part that overlaps a base span, or a weak one of an earlier kind, isn't
+    one.  Parts are linked within equal doc_id and text, so repeated rows give equal rows, and a doc_id with
+    two texts gives a row for each.  A null doc_id is kept as such, and its texts are scanned.  A text may
+    have any number of matches.  Columns other than doc_id and text are ignored.
     """
     text = F.coalesce("text", F.lit(""))
-    docs = docs.select("doc_id", text.alias("text"))
-    base = F.array_sort(F.concat(*(_spans(F.col("text"), k, *v) for k, v in BASE.items())))
-    docs = docs.withColumn("base", base)
-    # weak parts matter only in texts that hold an identifier and a value, base or weak
-    has = lambda kinds: F.lit(False) if not kinds else F.exists("base", lambda s: s["kind"].isin(*kinds))
-    may_link = (has([k for k in IDENTIFIERS if k in BASE]) | F.col("text").rlike(WEAK["ident"][0])) & (has([k for k in VALUES if k in BASE]) | F.col("text").rlike(WEAK["value"][0]))  # the pattern alone: a first sieve
-    apart = lambda spans, *others: F.filter(spans, lambda s: ~reduce(or_, (F.exists(o, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) for o in others)))
-    candidates = docs.where(may_link).select(F.struct("doc_id", F.sha2("text", 256).alias("sha")).alias("key"), "base", *(_spans(F.col("text"), k, *v).alias(k) for k, v in WEAK.items()))
+    docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t"))
+    # a null id is an id of its own while rows are grouped and joined
+    keyed = docs.select(F.struct("doc_id").alias("doc_id"), "t", "text")
+    parts = materialize(_parts(keyed), "parts")
+    base = parts.where(F.col("rank") < len(BASE))
     # what overlaps a span of an earlier kind is part of that one
-    candidates = candidates.withColumn("ident", apart("ident", "base")).withColumn("endpoint", apart("endpoint", "base", "ident")).withColumn("value", apart("value", "base", "ident", "endpoint"))
-    candidates = candidates.select("key", "base", F.concat(*WEAK).alias("weak"))
-    parts = candidates.where("size(weak) > 0").select("key", F.explode(F.concat("base", "weak")).alias("s")).select("key", "s.*").distinct()
-    linked = _linked(parts, reach).groupBy("key").agg(F.collect_set(F.struct("start", "rank", "end", "kind")).alias("more"))
-    linked = linked.select("key.doc_id", "key.sha", "more")
-    slim = docs.select("doc_id", F.sha2("text", 256).alias("sha"), "base", F.lit(0).alias("z"))
-    out = slim.join(linked.withColumnRenamed("doc_id", "id"), (F.col("doc_id").eqNullSafe(F.col("id"))) & (slim["sha"] == linked["sha"]), "left")
+    apart = _apart(_apart(_apart(parts, "ident", *BASE), "endpoint", *BASE, "ident"), "value", *BASE, "ident", "endpoint")
+    apart = materialize(apart, "apart", parts.count())
+    linked = _linked(apart, reach).withColumn("more", F.lit(True))
+    kinds = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
+    span = F.struct("start", "rank", "end", kinds.alias("kind"))
+    found = base.withColumn("more", F.lit(False)).unionByName(linked).groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.when(~F.col("more"), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"))
+    found = materialize(found, "spans", parts.count())
     none = F.array().cast("array<struct<start: int, rank: int, end: int, kind: string>>")
-    return out.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
+    out = keyed.select("doc_id", "t").join(found, ["doc_id", "t"], "left")
+    return out.select("doc_id.doc_id", *(F.coalesce(c, none).alias(c) for c in ("base", "spans")))
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

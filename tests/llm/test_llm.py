@@ -161,6 +161,39 @@ def test_secrets(spark):
     assert secrets.scan_secrets(df.where("false")).count() == 0
 
 
+def brute_spans(text):
+    """All spans by the rules of the method, each weak part against all others."""
+    base = brute_base(text)
+    over = lambda a, others: any(b[0] < a[2] and a[0] < b[2] for b in others)
+    have, weak = list(base), []
+    for kind in ("ident", "endpoint", "value"):
+        rank, hits = secrets.KINDS.index(kind), [m for m in re.finditer(secrets.WEAK[kind][0], text)]
+        if kind == "value":
+            hits = [m for m in hits if len(m[0]) <= secrets.MAX_VALUE and all(re.search(p, m[0]) for p in secrets.HOLDS["value"])]
+        new = [(m.start(), rank, m.end(), kind) for m in hits if not over((m.start(), rank, m.end()), have)]
+        have, weak = have + new, weak + new
+    near = lambda a, kinds: any(b[3] in kinds and b[0] <= a[2] + secrets.REACH and b[2] >= a[0] - secrets.REACH for b in have)
+    i, v = (lambda a: near(a, secrets.IDENTIFIERS)), (lambda a: near(a, secrets.VALUES))
+    return sorted([*base, *(w for w in weak if (w[3] == "value" and i(w)) or (w[3] == "ident" and v(w)) or (w[3] == "endpoint" and i(w) and v(w)))])
+
+
+def test_secrets_against_brute_force_and_in_time(spark):
+    """Random mixtures of parts, and 5000 weak triples in one text: time must not grow with their square."""
+    import time
+
+    rng = random.Random(4)
+    pick = ["user = joe{}", "https://h{}.example.com/p?Ab3Ab3Ab3Ab3Ab3Ab3", "Xy9Zk2Lm8Qw4Rt6Vb{}", "token: abc{}defg", "AKIAABCDEFGHIJKLMN{}", "0123456789abcdef01234567{}", "10.0.0.{}", "login=Xy9Zk2Lm8Qw4Rt6Vb{}", "é" * 90, "plain words"]
+    texts = [" ".join(rng.choice(pick).format(rng.randrange(10, 99)) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[5]), (None, texts[7]), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), [tuple(s) for s in r.spans]) for r in secrets.scan_secrets(df).collect())
+    assert got == sorted((str(i), brute_spans(t or "")) for i, t in rows)
+    triple = lambda k: f"user=joe{k} https://h{k}.example.com Xy9Zk2Lm8Qw4Rt6Vb{k}\n"
+    began = time.time()
+    found = secrets.scan_secrets(spark.createDataFrame([(1, "".join(map(triple, range(5000))))], "doc_id long, text string")).first()
+    assert len(found.spans) == 15000 and time.time() - began < 40
+
+
 # 3 mixing ---------------------------------------------------------------------------------------
 
 
@@ -310,9 +343,12 @@ def brute_components(texts, k, num, den):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("common_from", [24, 2])
-def test_jaccard_components(spark, monkeypatch, common_from):
+@pytest.mark.parametrize(("k", "num", "common_from", "bucket", "fan"), [(4, 85, 24, 256, 1000), (5, 80, 10**9, 3, 4)])
+def test_jaccard_components(spark, monkeypatch, k, num, common_from, bucket, fan):
+    """Common shingles known or not, keys of few groups dealt by further shingles, leaders in parts."""
     monkeypatch.setattr(jaccard, "COMMON_FROM", common_from)
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
+    monkeypatch.setattr(jaccard, "FAN", fan)
     rng = random.Random(7)
     texts = [*ODD, "A b C", "a B c", "one two three"]
     for _ in range(12):
@@ -325,9 +361,9 @@ def test_jaccard_components(spark, monkeypatch, common_from):
         chain = [*chain[6:], *rng_text(rng, 6).split(" ")]
         texts.append(" ".join(chain))
     texts += texts[20:30]
-    for k, num in ((4, 85), (5, 80)):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, texts), k=k, num=num).collect()}
-        assert got == brute_components(texts, k, num, 100)
+    texts = [t and f"{t} it is in every text" for t in texts]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, texts), k=k, num=num).collect()}
+    assert got == brute_components(texts, k, num, 100)
     assert jaccard.jaccard_components(docs_of(spark, texts).where("false")).count() == 0
 
 
@@ -464,6 +500,32 @@ def test_substring_dedup(spark, monkeypatch, window, bits):
     assert substring.dedup_substrings(docs_of(spark, texts).where("false"), window).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1 << 26, 8])
+def test_substrings_of_ids_with_several_texts(spark, monkeypatch, bits):
+    """Each text of an id is cut by its own words, also where one is a copy or shorter than another."""
+    monkeypatch.setattr(substring, "FILTER_BITS", bits)
+    rng = random.Random(12)
+    a, b, c = (rng_text(rng, n, 10**6) for n in (60, 70, 100))
+    rows = [(1, a), (2, a), (2, b), (3, f"{c} {a}"), (3, "q " * 10), (3, f"{b} {a}"), (4, b), (4, f"{a} {b}"), (5, None), (5, c), (None, a), (None, None), (6, c), (6, c)]
+
+    def brute():
+        first = {}
+        for i, t in rows:
+            w = words(t)
+            for j in range(len(w) - 49):
+                if i is not None:
+                    first[tuple(w[j : j + 50])] = min(i, first.get(tuple(w[j : j + 50]), i))
+        for i, t in rows:
+            w, gone = words(t), set()
+            for j in range(len(w) - 49):
+                if i is not None and first[tuple(w[j : j + 50])] < i:
+                    gone |= set(range(j, j + 50))
+            yield str(i), len(w), len(gone), " ".join(v for j, v in enumerate(w) if j not in gone)
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in substring.dedup_substrings(df).collect()) == sorted(brute())
+
+
 def test_held_out_rule_is_crc32(spark):
     row = spark.sql("SELECT crc32(encode('123', 'UTF-8')) AS c").first()
     assert row.c == zlib.crc32(b"123")
