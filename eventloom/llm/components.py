@@ -16,16 +16,16 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """One step over edges (u > v).  Large: u's larger neighbours are linked to the least of u's
     neighbourhood; small: u's smaller neighbours and u are.  The least neighbours are a table of their
     own, so that the join has two plain exchanges and a hot node's edges can be split."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", 2 * rows)
         out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least", rows)
         out = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = out.unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -38,15 +38,18 @@ def _is_forest(edges: DataFrame) -> bool:
     return ends.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """(node, component) for every node of an edge table; component is its smallest reachable node.
 
-    Nulls, loops and repeated edges don't count.  Nodes without an edge aren't listed.
+    Nulls, loops and repeated edges don't count.  Nodes without an edge aren't listed.  rows is a bound on
+    the number of edges where one is known.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    now = materialize(pairs.where("u != v").distinct(), "edges")
+    now = materialize(pairs.where("u != v").distinct(), "edges", rows)
     while not _is_forest(now):
-        now = materialize(_star(materialize(_star(now, True), "edges"), False), "edges")
+        n = now.count()
+        large = materialize(_star(now, True, n), "edges", n)
+        now = materialize(_star(large, False, n), "edges", 2 * n)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

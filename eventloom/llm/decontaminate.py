@@ -6,19 +6,26 @@ edits of the item.
 
 The CGK embedding (Chakraborty, Goldenberg and Koucky, 2016) walks over a sequence: step j emits the
 present term and moves on by one with a random bit of (j, term).  Sequences at a small edit distance
-emit equal terms at most steps, so edit distance becomes Hamming distance.  Bit sampling hashes the
-terms emitted at a few random steps; windows of a document and of an item that agree there are
-candidates.  Items are embedded from each of their terms on, documents from every ``STRIDE``-th, in
-walks of a few steps by size class, so a passage gives many chances in each repetition.  The number of
-repetitions aims at the target recall: it is measured on items of a class, edited at random up to the
-limit, and ends at ``MAX_REPEATS``.  Single sizes can have less; README.md gives figures.  Candidates are verified by the exact edit distance to the best stretch.
-
-The benchmark is taken in blocks of ``BLOCK_ITEMS`` items, whose index is of bounded size and goes to
-every task; documents are only scanned, never shuffled or gathered.
+emit equal terms at most steps, so edit distance becomes Hamming distance.  Items are sorted into size
+classes that double (``LEAST``), and a class has windows of three quarters of its least size: documents
+are embedded from every stride-th term on, items from each of their terms, both up to the window's end.
+
+Bit sampling hashes the terms emitted at a few random steps, and windows that agree there are
+candidates.  Each repetition samples within a random depth of the walk, uniform by its logarithm from the
+least depth to the whole window: after many edits walks rarely stay aligned to the end of an item, so
+shallow samples find what is edited densely, and deep ones tell long windows apart.  The number of
+repetitions is what reaches the target recall in each of four measurements of a class: its shortest items
+and all of them, with the edit limit used up at random and evenly spread places.  If ``MAX_REPEATS`` isn't
+enough, a warning says which recall was reached.  Candidates are verified by the exact edit distance to
+the best stretch.  Items of fewer than five terms have no edits to spare and are matched exactly.
+
+The benchmark is taken in blocks of about ``BLOCK_CHARS`` characters, whose index is of bounded size and
+goes to every task; documents are only scanned, never shuffled or gathered.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,19 +33,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
 from .textnp import mix, words_of
 
-BLOCK_ITEMS = 4000
-MIN_TERMS = 5
-#: (least terms of an item, steps of the walk, stride in documents, sampled steps) of each size class
-CLASSES = ((5, 5, 1, 3), (12, 12, 2, 4), (24, 24, 4, 5))
+BLOCK_CHARS = 600_000
+#: Items of fewer terms than MIN_TERMS match nothing: one or two terms stand anywhere by chance.
+MIN_TERMS, SHORT = 3, 5
+#: (least terms of an item, stride in documents, sampled steps, least depth) of each size class; later
+#: classes double the first two.
+CLASSES = ((5, 1, 3, 5), (10, 2, 4, 9), (20, 3, 5, 13), (40, 5, 5, 16))
 BANDS = 2
-TARGET_RECALL, MAX_REPEATS = 0.99, 24
-TABLE_BITS = 1 << 23
+TARGET_RECALL, MAX_REPEATS, TRIALS = 0.99, 48, 120
+TABLE_BITS = 1 << 20
 _PAD = np.uint64(0x6A09E667F3BCC909)
 
 
-def _walk(h: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int, wanted: set[int], seed: int) -> dict[int, np.ndarray]:
+def _walk(h: np.ndarray, start: np.ndarray, end: np.ndarray, wanted: set[int], seed: int) -> dict[int, np.ndarray]:
     """Terms emitted at the wanted steps by the walks from ``start``; a pad from ``end`` on."""
     out, at = {}, start.copy()
     last = len(h) - 1
@@ -53,34 +63,61 @@ def _walk(h: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int, wanted:
     return out
 
 
-def _bands(size_class: int, repeat: int) -> list[list[int]]:
-    """Steps that each band samples: spread over the walk, at random in each of its parts."""
-    rng = np.random.Generator(np.random.PCG64([20240613, size_class, repeat]))
-    _, steps, _, samples = CLASSES[size_class]
-    cuts = np.linspace(0, steps, samples + 1).astype(int)
-    return [[int(rng.integers(a, b)) for a, b in zip(cuts[:-1], cuts[1:])] for _ in range(BANDS)]
+def _class(c: int) -> tuple[int, int, int, int]:
+    """(window in terms, stride, sampled steps, least depth) of a size class."""
+    least, stride, samples, depth = CLASSES[min(c, len(CLASSES) - 1)]
+    more = max(0, c - len(CLASSES) + 1)
+    least, stride = least << more, stride << more
+    return least, stride, samples, depth
 
 
-def _keys(h: np.ndarray, start: np.ndarray, end: np.ndarray, size_class: int, repeat: int) -> list[np.ndarray]:
+def _class_of(m: int) -> int:
+    last = len(CLASSES) - 1
+    known = max(i for i, c in enumerate(CLASSES) if c[0] <= m)
+    return known if known < last else last + (m // CLASSES[last][0]).bit_length() - 1
+
+
+def _bands(c: int, repeat: int) -> tuple[int, list[list[int]]]:
+    """Depth of a repetition, and the steps that each band samples: one in each part of the depth."""
+    rng = np.random.Generator(np.random.PCG64([20240613, c, repeat]))
+    _, _, samples, low = _class(c)
+    depth = int(low * 1.5 ** rng.random())
+    cuts = np.linspace(0, depth, samples + 1).astype(int)
+    return depth, [[int(rng.integers(a, b)) for a, b in zip(cuts[:-1], cuts[1:])] for _ in range(BANDS)]
+
+
+def _keys(h: np.ndarray, start: np.ndarray, end: np.ndarray, c: int, repeat: int) -> list[np.ndarray]:
     """Key of each window in each band of one repetition."""
-    bands = _bands(size_class, repeat)
-    emitted = _walk(h, start, end, CLASSES[size_class][1], {j for b in bands for j in b}, repeat * 8 + size_class + 1)
+    _, bands = _bands(c, repeat)
+    end = np.minimum(end, start + _class(c)[0])
+    emitted = _walk(h, start, end, {j for b in bands for j in b}, repeat * 32 + c + 1)
     out = []
     for k, band in enumerate(bands):
-        key = np.full(len(start), (repeat * BANDS + k) * 8 + size_class, np.uint64)
+        key = np.full(len(start), (repeat * BANDS + k) * 32 + c, np.uint64)
         for j in band:
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + emitted[j])
         out.append(key)
     return out
 
 
-def _room(offset: np.ndarray, size, size_class: int) -> np.ndarray:
+def _room(offset: np.ndarray, size, c: int, repeat: int) -> np.ndarray:
     """Which terms of an item leave enough of it for a walk, which moves on at half its steps."""
-    return (size - offset >= CLASSES[size_class][1] // 2) | (offset == 0)
+    return (size - offset >= min(_bands(c, repeat)[0], _class(c)[0]) // 2) | (offset == 0)
 
 
-def _class_of(m: int) -> int:
-    return max(i for i, c in enumerate(CLASSES) if c[0] <= m)
+def _edited(rng: np.random.Generator, t: np.ndarray, edits: int, even: bool) -> np.ndarray:
+    """A term sequence with random insertions, deletions and substitutions at random or even places."""
+    out = list(t)
+    places = np.linspace(0, len(t) - 1, edits + 2)[1:-1].astype(int) if even else rng.permutation(len(t))[:edits]
+    for at in sorted(set(places.tolist()), reverse=True):
+        kind, new = int(rng.integers(3)), rng.integers(1 << 62, dtype=np.uint64)
+        if kind == 0 or len(out) == 1:
+            out[at] = new
+        elif kind == 1:
+            out.insert(at, new)
+        else:
+            del out[at]
+    return np.array(out, np.uint64)
 
 
 @dataclass
@@ -91,6 +128,7 @@ class ItemIndex:
     terms: list[np.ndarray]
     max_edits: int
     repeats: dict[int, int] = field(default_factory=dict)
+    short: dict[int, list[tuple[np.ndarray, int]]] = field(default_factory=dict)
     keys: dict[tuple[int, int, int], tuple] = field(default_factory=dict)
 
     def limit(self, item: int) -> int:
@@ -99,18 +137,20 @@ class ItemIndex:
     def build(self, recall: float) -> ItemIndex:
         by_class: dict[int, list[int]] = {}
         for q, t in enumerate(self.terms):
-            if len(t) >= MIN_TERMS:
+            if len(t) >= SHORT:
                 by_class.setdefault(_class_of(len(t)), []).append(q)
+            elif len(t) >= MIN_TERMS:
+                self.short.setdefault(len(t), []).append((t, q))
         for c, items in by_class.items():
             self.repeats[c] = self._repeats(c, items, recall)
             h = np.concatenate([self.terms[q] for q in items])
             size = np.array([len(self.terms[q]) for q in items])
             first = np.cumsum(size) - size
-            item = np.repeat(np.array(items), size)
-            offset = np.arange(len(h)) - np.repeat(first, size)
+            item = np.repeat(np.array(items, np.int32), size)
+            offset = (np.arange(len(h)) - np.repeat(first, size)).astype(np.int32)
             end = np.repeat(first + size, size)
-            at = np.flatnonzero(_room(offset, end - np.arange(len(h)) + offset, c))
             for r in range(self.repeats[c]):
+                at = np.flatnonzero(_room(offset, end - np.arange(len(h)) + offset, c, r))
                 for k, key in enumerate(_keys(h, at, end[at], c, r)):
                     order = np.argsort(key, kind="stable")
                     bits = np.zeros(TABLE_BITS // 8, np.uint8)
@@ -119,34 +159,35 @@ class ItemIndex:
         return self
 
     def _repeats(self, c: int, items: list[int], recall: float) -> int:
-        """Repetitions that find the wanted share of passages at the edit limit: measured on edited items
-        in each of their places against the stride."""
+        """Repetitions that find the wanted share of passages with all edits of the limit, in each of four
+        measurements: shortest or any items, edits at random or even places; at any place against the stride."""
         rng = np.random.Generator(np.random.PCG64([20240614, c]))
-        first = []
-        for _ in range(200):
-            t = self.terms[items[int(rng.integers(len(items)))]]
-            edited = list(t)
-            for _ in range(len(t) * self.max_edits // 100):
-                kind, at = int(rng.integers(3)), int(rng.integers(len(edited)))
-                if kind == 0:
-                    edited[at] = rng.integers(1 << 62, dtype=np.uint64)
-                elif kind == 1:
-                    edited.insert(at, rng.integers(1 << 62, dtype=np.uint64))
-                elif len(edited) > 1:
-                    del edited[at]
-            after = rng.integers(1 << 62, size=CLASSES[c][1], dtype=np.uint64)
-            e, stride = np.concatenate([np.array(edited, np.uint64), after]), CLASSES[c][2]
-            mine, own = np.arange(int(rng.integers(stride)), len(edited), stride), np.flatnonzero(_room(np.arange(len(t)), len(t), c))
-            for r in range(MAX_REPEATS):
-                a = _keys(e, mine, np.full(len(mine), len(e)), c, r)
-                b = _keys(t, own, np.full(len(own), len(t)), c, r)
-                if any(np.isin(x, y).any() for x, y in zip(a, b)):
-                    break
-            else:
-                r = MAX_REPEATS
-            first.append(r)
-        found = [np.mean(np.array(first) < r) for r in range(1, MAX_REPEATS + 1)]
-        return next((r for r, share in enumerate(found, 1) if share >= recall), MAX_REPEATS)
+        least = min(len(self.terms[q]) for q in items)
+        shortest = [q for q in items if len(self.terms[q]) == least]
+        stride, parts, starts, owns, text_of, item_of = _class(c)[1], [], [], [], [], []
+        at = 0
+        for trial in range(4 * TRIALS):
+            pick = shortest if trial % 2 else items
+            t = self.terms[pick[int(rng.integers(len(pick)))]]
+            e = _edited(rng, t, len(t) * self.max_edits // 100, bool(trial & 2))
+            e = np.concatenate([e, rng.integers(1 << 62, size=2 * _class(c)[0], dtype=np.uint64)])
+            mine, own = np.arange(int(rng.integers(stride)), len(e), stride), np.arange(len(t))
+            starts.append(np.column_stack([mine + at, np.full(len(mine), at + len(e)), np.full(len(mine), trial)]))
+            owns.append(np.column_stack([own + at + len(e), np.full(len(own), at + len(e) + len(t)), np.full(len(own), trial), own]))
+            parts += [e, t]
+            at += len(e) + len(t)
+        h, a, b = np.concatenate(parts), np.concatenate(starts), np.concatenate(owns)
+        found = np.zeros(4 * TRIALS, bool)
+        for r in range(MAX_REPEATS):
+            some = b[_room(b[:, 3], b[:, 1] - b[:, 0] + b[:, 3], c, r)]
+            for x, y in zip(_keys(h, a[:, 0], a[:, 1], c, r), _keys(h, some[:, 0], some[:, 1], c, r)):
+                x, y = (mix(k ^ mix(t.astype(np.uint64))) for k, t in ((x, a[:, 2]), (y, some[:, 2])))
+                found[a[np.isin(x, y), 2]] = True
+            reached = found.reshape(-1, 4).mean(0).min()
+            if reached >= recall:
+                return r + 1
+        warnings.warn(f"{MAX_REPEATS} repetitions find {reached:.3f} of edited items of {least} terms or more, not {recall}", RuntimeWarning, stacklevel=2)
+        return MAX_REPEATS
 
 
 def _candidates(index: ItemIndex, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -157,8 +198,15 @@ def _candidates(index: ItemIndex, h: np.ndarray, bounds: np.ndarray) -> np.ndarr
     counts = np.diff(bounds)
     within = np.arange(len(h)) - np.repeat(bounds[:-1], counts)
     text, end = np.repeat(np.arange(len(counts)), counts), np.repeat(bounds[1:], counts)
+    for m, items in index.short.items():
+        whole = within <= np.repeat(counts, counts) - m
+        for t, q in items:
+            at = np.flatnonzero(whole & (h == t[0]))
+            for k in range(1, m):
+                at = at[h[at + k] == t[k]]
+            out.append(np.column_stack([text[at], np.full(len(at), q), within[at]]))
     for c, repeats in index.repeats.items():
-        start = np.flatnonzero(within % CLASSES[c][2] == 0)
+        start = np.flatnonzero(within % _class(c)[1] == 0)
         ends = end[start]
         for r in range(repeats):
             for k, key in enumerate(_keys(h, start, ends, c, r)):
@@ -191,23 +239,44 @@ def _best_stretch(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), end - int(np.flatnonzero(back == back.min())[0]), end
 
 
+def _likely(index: ItemIndex, h: np.ndarray, bounds: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Candidates, one for each stretch that verification takes together, in whose stretch enough terms of
+    the item stand: every term of the item that the stretch lacks costs an edit."""
+    d, q, place = found.T
+    size = np.array([len(t) for t in index.terms], np.int64)[q]
+    limit = size * index.max_edits // 100
+    _, first = np.unique(np.column_stack([q, d, place // (limit + 1)]), axis=0, return_index=True)
+    found, size, limit = found[first], size[first], limit[first]
+    d, q, place = found.T
+    lo = np.clip(place - 2 * limit - 2, 0, None) + bounds[d]
+    hi = np.minimum(bounds[d] + place + size + 2 * limit + 2, bounds[d + 1])
+    keep = np.zeros(len(found), bool)
+    cuts = np.flatnonzero(np.diff(q, prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        item = index.terms[q[a]]
+        if b - a > 8:  # one pass over all texts for many candidates of an item
+            have = np.concatenate([[0], np.cumsum(np.isin(h, item))])
+            keep[a:b] = have[np.maximum(lo[a:b], hi[a:b])] - have[lo[a:b]] >= size[a] - limit[a]
+        else:
+            keep[a:b] = [np.isin(h[x:y], item).sum() >= size[a] - limit[a] for x, y in zip(lo[a:b], hi[a:b])]
+    return found[keep]
+
+
 def _matches(index: ItemIndex, h: np.ndarray, bounds: np.ndarray):
     """(text, item, first term, end term, edits): the best verified stretch of each text and item."""
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    done: set[tuple[int, int, int]] = set()
-    for d, q, place in _candidates(index, h, bounds).tolist():
+    found = _candidates(index, h, bounds)
+    for d, q, place in _likely(index, h, bounds, found).tolist() if len(found) else []:
         item, limit = index.terms[q], index.limit(q)
         have = best.get((d, q))
-        block = (d, q, place // (limit + 1))
-        if (have and have[0] == 0) or block in done:
+        if have and have[0] == 0:
             continue
         lo, n = int(bounds[d]), int(bounds[d + 1] - bounds[d])
         if 0 <= place and place + len(item) <= n and np.array_equal(h[lo + place : lo + place + len(item)], item):
             best[d, q] = (0, place, place + len(item))
             continue
-        done.add(block)
         a, b = max(0, place - 2 * limit - 2), min(n, place + len(item) + 2 * limit + 2)
-        # every term of the item that the stretch lacks costs an edit
+        # a term that the stretch lacks costs an edit, however often the item has it
         if b <= a or len(item) - np.isin(item, h[lo + a : lo + b]).sum() > limit:
             continue
         edits, first, end = _best_stretch(h[lo + a : lo + b], item)
@@ -228,8 +297,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: int = 20, recal
     """(doc_id, item_id, first_term, end_term, edits): each benchmark item found in each document, by
     its best stretch of terms; max_edits is the limit in percent of the item's terms.
 
-    Null and empty texts, and items of fewer than MIN_TERMS terms, match nothing: so few terms stand
-    anywhere by chance.  Items with equal texts are all reported.  Repeated documents give equal rows.
+    Null and empty texts, and items of fewer than MIN_TERMS terms, match nothing.  Items with equal texts are all reported.  Repeated documents give equal rows.
     A null item_id or doc_id is kept as such.  Other columns are ignored.
     """
     schema = "doc_id long, item_id long, first_term int, end_term int, edits int"
@@ -249,7 +317,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: int = 20, recal
                             ["doc_id", "item_id", "first_term", "end_term", "edits"],
                         )
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, schema)
+        part = in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), emit, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -266,14 +334,14 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: int = 20, recal
                     keep[[w.lo + found[0] for found in _matches(shared.value, w.hashes, w.bounds)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(emit, docs.schema)
+        docs = in_batches(docs, emit, docs.schema)
     return docs
 
 
 def _blocks(benchmark: DataFrame, max_edits: int, recall: float):
-    """Broadcast indexes of blocks of about BLOCK_ITEMS items each."""
+    """Broadcast indexes of blocks of about BLOCK_CHARS characters of items each."""
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    blocks = max(1, -(-(items.agg(F.sum(F.length("text") + 8)).first()[0] or 0) // BLOCK_CHARS))
     spot = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for k in range(blocks):
         rows = items.where(spot == k).collect()

@@ -1,17 +1,23 @@
 """N-gram Jaccard join with grouped prefixes (operator 6).
 
 1. Texts with the same shingle set are one class, kept by its smallest id.
-2. A set's shingles are put in one global order: common ones last, else by hash.  Two sets of sizes
-   x <= y with a Jaccard similarity of t or more share a shingle among the first y - ceil(t*y) + 1.
+2. A set's shingles are put in one global order: by how common they are, the rarest first, then by
+   hash.  Two sets of sizes x <= y with a Jaccard similarity of t or more share a shingle among the first
+   y - ceil(t*y) + 1, and k shingles among the first y - ceil(t*y) + k.
 3. Classes with the same prefix and the same size are one group (Bouros, Ge and Mamoulis, 2012).
 4. Groups that share a prefix shingle are paired in two rounds.  The first pairs a group with one
    leader only, the one under each shared shingle that has the least of its own: linear in the
-   index, and enough to connect nearly every group of copies with what they are copies of.  The second pairs what is left, that is groups under one
-   shingle that are not yet in one component, whatever their number, and expands group pairs into
-   members.  A pair within a component can't change a component, so no link is lost.
-5. Every pair is verified on the whole sets.
-
-Which shingles count as common has no influence on results, only on how many pairs are tried.
+   index, and enough to connect nearly every group of copies with what they are copies of.  The second
+   pairs what is left, that is groups under one shingle that are not yet in one component, and expands
+   group pairs into members.  A shingle that more than ``BUCKET`` such groups hold is no key by itself:
+   its groups are dealt by that and one more shared shingle, and then by a third (``EXTRA``), so that a
+   shingle of very many unlike texts makes no pairs of all with all.  A pair within a component can't
+   change a component, so no link is lost.
+5. Every pair is verified on the whole sets.  A set is sent once for each of its pairs with a leader, the
+   leader's own set once for each ``FAN`` of them, and a task holds one leader's set at a time.
+
+How common a shingle is has no influence on results, only on how many pairs are tried.  Sets are
+sets of 64-bit hashes: two sets are compared as if no two different shingles in them collide.
 """
 
 from __future__ import annotations
@@ -25,20 +31,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import build, holds
-from .common import materialize
+from .common import BATCH_BYTES, in_batches, materialize
 from .components import connected_components
 from .textnp import span_hashes, words_of
 
-#: Common shingles that are ordered last: at most so many (1 MB), those in most documents.
-MAX_COMMON = 1 << 18
-#: A shingle that so many documents are known to hold is common.
-COMMON_FROM = 24
+#: A shingle that so many documents are known to hold is common; a level more for each LEVEL_FACTOR times as many.
+COMMON_FROM, LEVEL_FACTOR, LEVELS = 24, 4, 8
 #: Shingles that a task counts together (16 MB).
-BLOCK = 1 << 22
+BLOCK = 1 << 21
+#: Bits of the filter on common shingles and their levels (8 MB); more shingles only make the order coarser.
+COMMON_BITS = 1 << 26
 #: Bits of the filter on ids whose sets verification needs (1 MB); more ids only make it weaker.
 FILTER_BITS = 1 << 23
 #: Bits of the filter on prefix shingles that are indexed (16 MB); more shingles only make it weaker.
 INDEX_BITS = 1 << 27
+#: Groups under one key that are paired with each other; more are dealt by further shingles, up to EXTRA.
+BUCKET, EXTRA = 256, 2
+#: Pairs with one leader that are verified in a row.
+FAN = 1000
 
 
 def _sets(batch: pa.RecordBatch, k: int, wanted=None) -> Iterator[tuple[int, np.ndarray]]:
@@ -68,12 +78,8 @@ def _prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def _short(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-
-
 def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """32-bit hashes of the most common shingles, sorted.
+    """A bit set of common shingles, each by itself and with its level (``_levels``).
 
     Tasks count the shingles of all their documents in blocks of about ``BLOCK`` and send on those that
     a block holds twice or more: what stands in a large share of all documents does so in every block,
@@ -81,13 +87,13 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
     def counted(parts):
         t, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(t[n > 1]), pa.array(n[n > 1], pa.int64())], ["t", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(t[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], ["t", "n"])
 
     def emit(batches):
         parts, size = [], 0
         for batch in batches:
             for _, s in _sets(batch, k):
-                parts.append(_short(s))
+                parts.append(s)
                 size += len(s)
                 if size >= BLOCK:
                     yield counted(parts)
@@ -95,57 +101,61 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
         if parts:
             yield counted(parts)
 
-    counts = docs.select("text").mapInArrow(emit, "t int, n long").groupBy("t").agg(F.sum("n").alias("count")).where(F.col("count") >= COMMON_FROM)
-    counts = materialize(counts, "common")
-    level = F.floor(F.log2("count") * 8).cast("int")
-    kept, least = 0, None
-    for row in counts.groupBy(level.alias("l")).count().orderBy(F.desc("l")).collect():
-        if kept + row["count"] > MAX_COMMON:
-            break
-        kept, least = kept + row["count"], row["l"]
-    if least is None:
-        return np.zeros(0, np.int32)
-    return np.sort(np.array([r.t for r in counts.where(level >= least).select("t").toLocalIterator()], np.int32))
+    counts = in_batches(docs.select("text"), emit, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM)
+    level = F.least(F.lit(LEVELS), F.floor(F.log(F.col("n") / COMMON_FROM) / float(np.log(LEVEL_FACTOR))).cast("int") + 1).cast("long")
+    return build(counts.select(F.explode(F.array("t", F.col("t").bitwiseXOR(F.shiftleft(level, 56)))).alias("t")), COMMON_BITS)
+
+
+def _levels(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """How common each shingle is: 0 for those that are not, then up with the number of documents."""
+    out = np.zeros(len(s), np.int8)
+    t = s.view(np.int64)
+    at = np.flatnonzero(holds(bits, t, COMMON_BITS))
+    for level in range(1, LEVELS + 1):
+        out[at[holds(bits, t[at] ^ np.int64(level << 56), COMMON_BITS)]] = level
+    return out
 
 
 def shingle_prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, sig, pkey, prefix, own) of every text: set size, digest of the set, digest of size
-    and prefix, the prefix, and the percentage of shingles that are not common.  Sets too small to be
-    like another set have no prefix."""
+    """(doc_id, text_hash, n, sig, pkey, prefix, own) of every text: set size, digest of the set, digest of size
+    and prefix, the prefix and EXTRA shingles after it, and the percentage of shingles that are not
+    common.  Sets too small to be like another set have no prefix."""
     common = common_shingles(docs, k)
 
     def emit(batches):
         for batch in batches:
-            ids, rows, n, sig, pkey, prefix, cut, own = batch.column("doc_id"), [], [], [], [], [], [0], []
+            rows, n, sig, pkey, prefix, cut, own = [], [], [], [], [], [0], []
             for row, s in _sets(batch, k):
-                first, late = np.zeros(0, np.uint64), np.zeros(0, bool)
+                first, level, key = np.zeros(0, np.uint64), np.zeros(0, np.int8), None
                 if num * (len(s) + 1) <= den * len(s) and len(s):  # else only an equal set is like it
                     length = _prefix_length(len(s), num, den)
-                    short = _short(s)
-                    late = common[np.minimum(np.searchsorted(common, short), len(common) - 1)] == short if len(common) else np.zeros(len(s), bool)
-                    first = s[np.argsort(late, kind="stable")[:length]]
+                    level = _levels(common, s)
+                    first = s[np.argsort(level, kind="stable")[: length + EXTRA]]
+                    key = hashlib.blake2b(first[:length].tobytes() + len(s).to_bytes(8, "big"), digest_size=16).digest()
                 rows.append(row)
                 n.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                pkey.append(hashlib.blake2b(first.tobytes() + len(s).to_bytes(8, "big"), digest_size=16).digest() if len(first) else None)
-                own.append(100 - int(100 * late.mean()) if len(late) else 100)
+                pkey.append(key)
+                own.append(100 - int(100 * (level > 0).mean()) if len(level) else 100)
                 prefix.append(first.view(np.int64))
                 cut.append(cut[-1] + len(first))
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(pkey, pa.binary()),
+                    batch.column("doc_id").take(pa.array(rows, pa.int64())), batch.column("text_hash").take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(pkey, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))),
                     pa.array(own, pa.int32()),
                 ],
-                ["doc_id", "n", "sig", "pkey", "prefix", "own"],
+                ["doc_id", "text_hash", "n", "sig", "pkey", "prefix", "own"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, n long, sig binary, pkey binary, prefix array<long>, own int")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return in_batches(docs, emit, "doc_id long, text_hash long, n long, sig binary, pkey binary, prefix array<long>, own int")
 
 
 def _index(heads: DataFrame) -> DataFrame:
     """(gid, n, own, at, t): prefix shingles that stand in two prefixes or more, and a few others: those
     that do are looked up in a bit set of fixed size, so that single ones aren't shuffled with their ids."""
+    heads = heads.select("doc_id", "n", "own", F.slice("prefix", 1, F.col("length")).alias("prefix"))
     twice = heads.select(F.explode("prefix").alias("t")).groupBy("t").count().where("count > 1").select("t")
     bits = build(twice, INDEX_BITS)
 
@@ -166,45 +176,62 @@ def _index(heads: DataFrame) -> DataFrame:
                 ["gid", "n", "own", "at", "t"],
             )
 
-    return heads.mapInArrow(emit, "gid long, n int, own int, at int, t long")
+    return in_batches(heads, emit, "gid long, n int, own int, at int, t long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a Jaccard similarity of num / den or more."""
+    """The pairs (a, b) whose whole sets have a Jaccard similarity of num / den or more; b leads."""
     pairs = materialize(pairs, "pairs")
-    bits = build(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), FILTER_BITS)
-    if not bits.any():
+    count = pairs.count()
+    if not count:
         return pairs
+    bits = build(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), FILTER_BITS)
 
     def emit(batches):
         for batch in batches:
             ids = _ids(batch)
             wanted = holds(bits, ids, FILTER_BITS)
-            rows, out = [], []
+            rows, out, size = [], [], 0
             for row, s in _sets(batch, k, wanted):
                 rows.append(row)
                 out.append(s.tobytes())
-                if sum(map(len, out)) > 1 << 24:
+                size += len(out[-1])
+                if size > BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "s"])
-                    rows, out = [], []
+                    rows, out, size = [], [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "s"])
 
     def check(batches):
+        now, leaders = None, []  # the leader's sets: one, or several where its id stands for several texts
         for batch in batches:
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            keep = np.zeros(len(x), bool)
-            for i, (p, q) in enumerate(zip(x, y)):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                at = np.searchsorted(p, q)
-                both = int((p[np.minimum(at, len(p) - 1)] == q).sum()) if len(p) else 0
-                keep[i] = den * both >= num * (len(p) + len(q) - both)
+            part, role, other = (batch.column(c).to_numpy() for c in ("b", "a", "part"))
+            _, at, data = batch.column("s").buffers()
+            at = np.frombuffer(at, np.int32)[batch.column("s").offset :][: batch.num_rows + 1]
+            data = memoryview(data) if data is not None else b""
+            keep = np.zeros(batch.num_rows, bool)
+            for i, b, a, x in zip(range(batch.num_rows), part, role, other):
+                if (b, x) != now:
+                    now, leaders = (b, x), []
+                p = np.frombuffer(data[at[i] : at[i + 1]], np.uint64)
+                if a == b:
+                    if not any(np.array_equal(p, q) for q in leaders):
+                        leaders.append(p.copy())
+                    continue
+                for q in leaders:
+                    both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(q) else 0
+                    if den * both >= num * (len(p) + len(q) - both):
+                        keep[i] = True
+                        break
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, s binary")
-    sets = materialize(sets, "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    sets = in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), emit, "doc_id long, s binary")
+    wide = materialize(pairs.groupBy("b").count().where(f"count > {FAN}").select("b", F.ceil(F.col("count") / FAN).alias("parts")), "wide", count)
+    dealt = pairs.join(wide, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).alias("part"))
+    roles = dealt.select(F.col("a").alias("doc_id"), "b", "part").unionByName(dealt.select(F.col("b").alias("doc_id"), "b", "part").distinct())
+    rows = sets.join(roles, "doc_id").select("b", "part", F.col("doc_id").alias("a"), "s")
+    rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a") != F.col("b"), "a")
+    return in_batches(rows, check, "a long, b long").distinct()
 
 
 def _alike(x: str, y: str, num: int, den: int) -> str:
@@ -212,7 +239,9 @@ def _alike(x: str, y: str, num: int, den: int) -> str:
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document, for links of similarity num / den.
+    """(doc_id, text_hash, n_shingles, copy_of, component_id) of every row, for links of similarity num / den;
+    text_hash is xxhash64(text), which tells the texts of a doc_id apart where it has several; copy_of is
+    the least doc_id with an equal set.
 
     docs needs doc_id and text; other columns are ignored.  Words are runs of anything but ASCII
     white space, A-Z as a-z.  A null, empty or blank text has no shingle and no link; a text of fewer
@@ -223,13 +252,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     all_docs = docs.select("doc_id", "text")
     docs = all_docs.where("doc_id IS NOT NULL")
     base = materialize(shingle_prefixes(all_docs, k, num, den), "prefixes")
+    rows = base.count()
     keyed = base.where("doc_id IS NOT NULL")
-    rep_of = materialize(keyed.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep")), "reps")
+    rep_of = materialize(keyed.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep")), "reps", rows)
     # one row for each class, by its representative, and the group that it is in
     leaders = keyed.where("pkey IS NOT NULL").select("doc_id", "sig", "n", "pkey").join(rep_of.withColumnRenamed("rep", "doc_id"), ["doc_id", "sig"]).distinct()
     group_of = leaders.groupBy("pkey").agg(F.min("doc_id").alias("gid"))
-    members = materialize(leaders.join(group_of, "pkey").select("gid", "doc_id", "n"), "groups")
-    heads = keyed.where("pkey IS NOT NULL").select("doc_id", F.col("n").cast("int").alias("n"), "prefix", "own")
+    members = materialize(leaders.join(group_of, "pkey").select("gid", "doc_id", "n"), "groups", rows)
+    length = F.expr(f"CAST(n - (({num} * n + {den - 1}) DIV {den}) + 1 AS INT)")
+    heads = keyed.where("pkey IS NOT NULL").select("doc_id", F.col("n").cast("int").alias("n"), "prefix", length.alias("length"), "own")
     index = _index(heads).join(members.where("gid = doc_id").select("gid").distinct(), "gid")
     shared = index.groupBy("t").agg(F.min(F.struct("own", "gid", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
     shared = materialize(shared.select("t", "lead"), "shared")
@@ -240,29 +271,50 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     stars = stars.groupBy("gid").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("b")).select(F.col("gid").alias("a"), "b")
     stars = stars.unionByName(members.where("gid != doc_id").select(F.col("doc_id").alias("a"), F.col("gid").alias("b")))
     links = materialize(verified(docs, stars, k, num, den), "links")
-    comp = materialize(connected_components(links), "components")
+    comp = materialize(connected_components(links, rows=rows), "components", rows)
 
     # round 2: groups under one shingle whose members are not all in one component
     place = members.select("gid", "doc_id", "n").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    place = materialize(place, "places")
-    span = place.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_index = index.select("t", "at", "gid", "n").join(span, "gid")
-    mixed = open_index.groupBy("t").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select("t")
-    left = materialize(open_index.join(mixed, "t", "left_semi"), "open")
-    other = left.select("t", *(F.col(c).alias(f"{c}2") for c in ("at", "gid", "n", "lo", "hi")))
-    # all that two sets share stands at or after their first shared shingle, which meets this bound
-    most = "least(n - at, n2 - at2)"
-    near = f"{_alike('n', 'n2', num, den)} AND {den} * {most} >= {num} * (n + n2 - {most})"
-    pairs = left.join(other, "t").where(f"gid < gid2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2) AND {near}")
-    pairs = materialize(_possible(pairs.select("gid", "gid2").distinct(), heads, num, den), "group-pairs")
+    place = materialize(place, "places", rows)
+    span = materialize(place.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "spans", rows)
+    open_index = index.select(F.col("t").alias("key"), "at", "gid", "n").join(span, "gid")
+    pairs = materialize(_possible(_group_pairs(open_index, heads, num, den), heads, num, den), "group-pairs")
     inner = span.where("lo != hi").select("gid", F.col("gid").alias("gid2"))
     side = lambda c, s: place.select(F.col("gid").alias(f"gid{s}"), F.col("doc_id").alias(c), F.col("component").alias(f"component{s}"))
     rest = pairs.unionByName(inner).join(side("a", ""), "gid").join(side("b", "2"), "gid2").where("component != component2 AND (gid != gid2 OR a < b)").select("a", "b").distinct()
-    links = links.unionByName(verified(docs, rest, k, num, den))
-    comp = connected_components(links).withColumnRenamed("node", "rep")
-    classes = rep_of.join(comp, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
-    out = base.select("doc_id", "n", "sig").join(classes, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    more = materialize(verified(docs, rest, k, num, den), "links")
+    if not more.isEmpty():
+        comp = connected_components(more.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    classes = rep_of.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"), "rep")
+    out = base.where("sig IS NOT NULL").select("doc_id", "text_hash", "n", "sig").join(classes, "sig", "left").drop("sig")
+    # texts without a shingle are alone, and null keys would all meet in one task
+    out = out.unionByName(base.where("sig IS NULL").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("rep")))
+    least = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), least("rep").alias("copy_of"), least("component").alias("component_id"))
+
+
+def _group_pairs(rows: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """(gid, gid2): the pairs of groups under one key that may be alike and are not in one component.
+    rows: (key, at, gid, n, lo, hi), at being the place of the key's last shingle in the group's prefix."""
+    least = -(-num // max(den - num, 1))  # shingles of the smallest set that can be like another one
+    extra = max(0, min(EXTRA, -(-num * least // den) - 1))  # of which so many besides the first are shared
+    found = None
+    for depth in range(extra + 1):
+        keys = rows.groupBy("key").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.count("*").alias("c")).where("l != h").select("key", "c")
+        left = materialize(rows.join(materialize(keys, "open-keys"), "key"), "open")
+        now = left if depth == extra else left.where(f"c <= {BUCKET}")
+        other = now.select("key", *(F.col(c).alias(f"{c}2") for c in ("at", "gid", "n", "lo", "hi")))
+        # all that two sets share stands at or after their first shared shingle, which meets this bound
+        most = f"({depth} + least(n - at, n2 - at2))"
+        near = f"{_alike('n', 'n2', num, den)} AND {den} * {most} >= {num} * (n + n2 - {most})"
+        pairs = now.join(other, "key").where(f"gid < gid2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2) AND {near}").select("gid", "gid2").distinct()
+        found = pairs if found is None else found.unionByName(pairs)
+        hot = left.where(f"c > {BUCKET}")
+        if depth == extra or hot.isEmpty():
+            return found.distinct() if depth else found
+        after = F.slice("prefix", F.col("at") + 2, F.greatest(F.col("length") + depth - F.col("at"), F.lit(0)))
+        hot = hot.drop("c").join(heads.select(F.col("doc_id").alias("gid"), "prefix", "length"), "gid").select("key", "at", "gid", "n", "lo", "hi", F.posexplode(after).alias("pos", "t"))
+        rows = hot.select(F.xxhash64("key", "t").alias("key"), (F.col("at") + 1 + F.col("pos")).alias("at"), "gid", "n", "lo", "hi").distinct()
 
 
 def _possible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
 from .textnp import Words, mix, words_of
 
 MAX_FIT_ROWS = 2000
@@ -165,7 +166,7 @@ def fit_languages(docs: DataFrame, label: str = "lang") -> LanguageModel | None:
             at = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(count[at], pa.int64())], ["lang", "f", "n"])
 
-    got = _rows(docs, label).mapInArrow(emit, "lang string, f int, n long").groupBy("lang", "f").agg(F.sum("n").alias("n"))
+    got = in_batches(_rows(docs, label), emit, "lang string, f int, n long").groupBy("lang", "f").agg(F.sum("n").alias("n"))
     got = got.toPandas()  # BUCKETS + scripts rows for each language at most
     if not len(got):
         return None
@@ -201,8 +202,9 @@ def _viterbi(scores: np.ndarray, bounds: np.ndarray, texts: np.ndarray, penalty:
     order = np.argsort(-size, kind="stable")
     texts, size = texts[order], size[order]
     first, n_lang = bounds[texts], scores.shape[1]
+    kind = np.min_scalar_type(n_lang)
     value = scores[first].copy()
-    back = np.zeros((int(size.sum()), n_lang), np.int8)
+    back = np.zeros((int(size.sum()), n_lang), kind)
     at = np.cumsum(size) - size
     for t in range(1, int(size[0]) if len(size) else 0):
         live = int(np.searchsorted(-size, -t, "left"))  # texts with more than t words
@@ -212,7 +214,7 @@ def _viterbi(scores: np.ndarray, bounds: np.ndarray, texts: np.ndarray, penalty:
         stay = v >= jump[:, None]
         back[at[:live] + t] = np.where(stay, np.arange(n_lang), top[:, None])
         value[:live] = np.where(stay, v, jump[:, None]) + scores[first[:live] + t]
-    path = np.zeros(len(back), np.int8)
+    path = np.zeros(len(back), kind)
     state = value.argmax(1)
     for t in range(int(size[0]) - 1 if len(size) else -1, -1, -1):
         live = int(np.searchsorted(-size, -t, "left"))
@@ -267,7 +269,7 @@ def keep_languages(docs: DataFrame, model: LanguageModel | None, min_share: floa
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(emit, docs.schema)
+    return in_batches(docs, emit, docs.schema)
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel | None, spans: bool = False) -> DataFrame:
@@ -297,4 +299,4 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, spans: bool
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "lang_pred", "score", "spans"][: len(out)])
 
     schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<first: long, end: long, lang: string>>" * spans
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, schema)
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), emit, schema)

@@ -1,9 +1,9 @@
 """Quality rules (operator 8): fixed text rules, then a calibrated hashed n-gram classifier.
 
-The classifier is a logistic regression on hashed word 1- and 2-grams and byte 1- to 3-grams, each
-family weighted by the share it has of the text.  It is fitted on labelled rows: at most
-``MAX_FIT_ROWS`` of them, those with the least hash of doc_id, whole texts.  A fifth of these is held
-back to calibrate its probabilities (Platt scaling).  Its weights are one array of fixed size, and
+The classifier is a logistic regression on hashed word 1- and 2-grams and character 1- to 3-grams (code
+points), each family weighted by the share it has of the text.  It is fitted on labelled rows, whole
+texts: at most ``MAX_FIT_ROWS`` of them with ``MAX_FIT_CHARS`` characters together, those with the least
+hash of doc_id and text.  A fifth of these is held back to calibrate its probabilities (Platt scaling).  Its weights are one array of fixed size, and
 scoring is one look-up per n-gram in Arrow batches, so nothing is shuffled.
 """
 
@@ -16,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
 from .textnp import Words, span_hashes, words_of
 
-MAX_FIT_ROWS = 2500
+MAX_FIT_ROWS, MAX_FIT_CHARS = 2500, 16 << 20
+#: A longer labelled text isn't fitted on; it is judged like any other.
+MAX_FIT_TEXT = 1 << 20
 BUCKETS = 1 << 15
-FAMILIES = ("word1", "word2", "byte1", "byte2", "byte3")
+FAMILIES = ("word1", "word2", "char1", "char2", "char3")
 SCALE = 8.0
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_PROBABILITY = 50, 50, 0.5
 SYMBOLS = "#*$%&|<>"
@@ -32,18 +35,16 @@ def _families(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     out.append((w.bounds, (w.hashes >> shift).astype(np.int64)))
     at, h = w.windows(2)
     out.append((np.searchsorted(at, w.bounds), (h >> shift).astype(np.int64)))
-    b = w.data.astype(np.uint64)
+    b = np.frombuffer(w.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    text_at = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])[w.text_at]  # in code points
     for n in (1, 2, 3):
         code = b[: max(0, len(b) - n + 1)].copy()
         for k in range(1, n):
-            code = code * np.uint64(257) + b[k : len(b) - n + 1 + k]
+            code = code * np.uint64(0x110011) + b[k : len(b) - n + 1 + k]
         code = (code * np.uint64(0x9E3779B97F4A7C15)) >> shift
-        ends = np.minimum(np.maximum(w.text_at[1:] - n + 1, w.text_at[:-1]), len(code))
-        keep = np.zeros(len(code) + 1, np.int32)  # n-grams that run into the next text don't count
-        np.add.at(keep, np.minimum(w.text_at[:-1], len(code)), 1)
-        np.add.at(keep, ends, -1)
-        inside = np.cumsum(keep)[:-1] > 0
-        counts = np.maximum(ends - np.minimum(w.text_at[:-1], len(code)), 0)
+        starts = np.minimum(text_at[:-1], len(code))
+        counts = np.maximum(text_at[1:] - n + 1 - text_at[:-1], 0)  # n-grams that run into the next text don't count
+        inside = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
         out.append((np.concatenate([[0], np.cumsum(counts)]), code[inside].astype(np.int64)))
     return out
 
@@ -75,24 +76,52 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _logistic(index, value, row, y, size, rounds=200, l2=1e-4, rate=0.05):
-    """Full-batch Adam on sparse rows: (weights, bias)."""
-    w, b, n = np.zeros(size), 0.0, len(y)
-    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    used = np.unique(index)
-    place = np.searchsorted(used, index).astype(np.int32)
-    w, m, v = w[used], m[used], v[used]
-    for t in range(1, rounds + 1):
-        z = np.bincount(row, value * w[place], n) + b
+def _logistic(index, value, row, y, size, rounds=60, l2=1e-4, memory=8):
+    """Weights and bias of an L2-regularised logistic regression on sparse rows, by L-BFGS.  row is sorted."""
+    used, place = np.unique(index, return_inverse=True)
+    n, k = len(y), len(used)
+    first = np.searchsorted(row, np.arange(n))
+    some = np.diff(np.append(first, len(row))) > 0
+
+    def at(p):
+        """(loss, gradient): weights first, the bias last."""
+        z = np.full(n, p[k])
+        if some.any():
+            z[some] += np.add.reduceat(value * p[place], first[some])
         g = (_sigmoid(z) - y) / n
-        gw, gb = np.bincount(place, value * g[row], len(used)) + l2 * w, g.sum()
-        m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
-        c1, c2 = 1 - 0.9**t, 1 - 0.999**t
-        w = w - rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
-        b -= rate * (mb / c1) / (vb / c2 + 1e-16) ** 0.5
+        loss = np.mean(np.logaddexp(0, z) - y * z) + 0.5 * l2 * (p[:k] @ p[:k])
+        return loss, np.append(np.bincount(place, value * g[row], k) + l2 * p[:k], g.sum())
+
+    p = np.zeros(k + 1)
+    loss, g = at(p)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        d, a = -g, []
+        for s, v in reversed(past):
+            a.append((s @ d) / (s @ v))
+            d = d - a[-1] * v
+        if past:
+            d = d * (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        for (s, v), b in zip(past, reversed(a)):
+            d = d + (b - (v @ d) / (s @ v)) * s
+        step, slope = 1.0, g @ d
+        while step > 1e-6:
+            new, new_g = at(p + step * d)
+            if new <= loss + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        s, v = step * d, new_g - g
+        if s @ v > 1e-12:
+            past = [*past, (s, v)][-memory:]
+        done = loss - new < 1e-7
+        p, loss, g = p + s, new, new_g
+        if done:
+            break
     out = np.zeros(size)
-    out[used] = w
-    return out, float(b)
+    out[used] = p[:k]
+    return out, float(p[k])
 
 
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -112,16 +141,22 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(c[0]), float(c[1])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(doc_id, text, y): at most ``bound`` labelled documents, those with the least hash of doc_id.
-    A doc_id with several labels has their majority, 1 on a tie; null labels don't count.  Only
-    the ids and labels are broadcast, ``bound`` rows at most."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, chars: int = MAX_FIT_CHARS) -> DataFrame:
+    """(doc_id, text, y): at most ``bound`` labelled rows of ``chars`` characters together, whole texts,
+    those with the least hash of doc_id and text; equal rows count once, and rows of more than
+    MAX_FIT_TEXT characters not at all.  A doc_id with several labels has their majority, 1 on a tie; null
+    labels don't count.  Only the ids and labels are broadcast, twice ``bound`` rows at most."""
     y = labels.where(f"doc_id IS NOT NULL AND {label} IS NOT NULL").groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(y), "doc_id")
+    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * bound)
+    rows = docs.select("doc_id", "text").where(f"length(text) <= {MAX_FIT_TEXT}").join(F.broadcast(y), "doc_id").withColumn("spot", F.xxhash64("doc_id", "text"))
+    sizes = rows.groupBy("spot").agg(F.max(F.length("text")).alias("size")).orderBy("spot").limit(bound).collect()
+    total = np.cumsum([r["size"] for r in sizes])
+    kept = [r.spot for r, t in zip(sizes, total) if t <= chars]
+    rows = rows.where(F.col("spot") <= F.lit(kept[-1] if kept else -(1 << 63)).cast("long"))
+    return rows.dropDuplicates(["spot"]).select("doc_id", "text", "y")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = MAX_FIT_ROWS) -> QualityModel | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = MAX_FIT_ROWS, chars: int = MAX_FIT_CHARS) -> QualityModel | None:
     """The classifier, or None where labels don't have both values."""
 
     def emit(batches):
@@ -144,8 +179,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = MAX_FIT_ROWS) -
                         ["y", "held", "i", "v"],
                     )
 
-    rows = labelled_sample(docs, labels, label="quality", bound=bound).withColumn("held", F.abs(F.xxhash64("doc_id", F.lit(1))) % 5 == 0)
-    got = rows.select("text", F.col("y").cast("int"), "held").mapInArrow(emit, "y int, held boolean, i binary, v binary").collect()
+    rows = labelled_sample(docs, labels, label="quality", bound=bound, chars=chars).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0)
+    got = in_batches(rows.select("text", F.col("y").cast("int"), "held"), emit, "y int, held boolean, i binary, v binary").collect()
     y, held = np.array([r.y for r in got]), np.array([r.held for r in got], bool)
     if len(got) < 2 or len(set(y[~held])) < 2:
         return None
@@ -225,5 +260,5 @@ def score_quality(docs: DataFrame, model: QualityModel | None) -> DataFrame:
                 )
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, p_good double, kept boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, schema)
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), emit, schema)
 

@@ -47,7 +47,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

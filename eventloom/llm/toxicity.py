@@ -3,9 +3,12 @@
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector is shared by all ordered thresholds.  x are
 sparse text features, the logarithms of the counts of the terms that screening found.  Terms are
 words, and beginnings of words of ``PREFIXES`` bytes, for languages that build words; screening keeps
-those whose share of toxic labelled documents is above that of others by ``MIN_Z`` standard errors
-or more, at most ``MAX_TERMS``.  Labels are 0 or 1, so grades are made from them: 0 is not toxic; toxic rows are
-graded 1 to 3 by thirds of the sum of their features.  Screening counts are a Spark
+those whose share of toxic labelled documents is above or below that of others by ``MIN_Z`` standard
+errors or more, at most ``MAX_TERMS``, so terms can speak for a text as well as against it.  Labels are 0
+or 1, so grades are made from them: 0 is not toxic; toxic rows are graded 1 to 3 by how much of what
+the labels of *other* rows mark stands in their text: the sample is halved by a hash of doc_id, each half
+is screened by itself, and a row is graded by thirds of the summed logarithms of the counts of the terms
+that the other half's screening marks.  So no row's own label takes part in what it is graded by.  Screening counts are a Spark
 aggregation over the labelled sample, at most ``MAX_FIT_ROWS`` rows, those with the least hash of
 doc_id.  Scoring looks up terms in Arrow batches; nothing is shuffled.
 """
@@ -19,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches, materialize
 from .quality import _sigmoid, labelled_sample
 from .textnp import LOWER, Words, span_hashes, words_of
 
@@ -63,6 +67,8 @@ def _terms(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _counts(w: Words, terms: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, count) for each term that stands in a text, by text."""
+    if not len(terms):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys = []
     for text, h in _terms(w):
         hit = np.flatnonzero(sieve[(h & _SIEVE).astype(np.int64)])
@@ -79,29 +85,42 @@ def _sieve(terms: np.ndarray) -> np.ndarray:
     return out
 
 
-def _screen(sample: DataFrame) -> np.ndarray:
-    """Hashes of the terms that mark toxic rows."""
+def _screen(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the terms that set toxic rows apart in all of the sample, and of those that mark toxic rows
+    in its halves 0 and 1.  sample: (text, y, half)."""
 
     def emit(batches):
         for batch in batches:
-            y = batch.column("y").to_numpy()
+            y, half = batch.column("y").to_numpy(), batch.column("half").to_numpy()
             for w in words_of(batch.column("text"), lower=True, terms=True):
                 text, h = (np.concatenate(x) for x in zip(*_terms(w)))
                 order = np.lexsort((h, text))
                 text, h = text[order], h[order]
                 first = np.ones(len(h), bool)
                 first[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(y[text[first] + w.lo], pa.int32())], ["h", "y"])
-
-    total = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
-    a, b = total.get(1, 0), total.get(0, 0)
-    if not a or not b:
-        return np.zeros(0, np.uint64)
-    seen = sample.select("text", "y").mapInArrow(emit, "h long, y int").groupBy("h").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
-    p = F.col("n") / (a + b)
-    z = (F.col("t") / a - (F.col("n") - F.col("t")) / b) / F.sqrt(p * (1 - p) * (1 / a + 1 / b) + 1e-12)
-    top = seen.where(F.col("t") >= MIN_DOCS).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "h").limit(MAX_TERMS)
-    return np.sort(np.array([r.h for r in top.collect()], np.int64).view(np.uint64))
+                row = text[first] + w.lo
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(y[row], pa.int32()), pa.array(half[row], pa.int32())], ["h", "y", "half"])
+
+    none = np.zeros(0, np.uint64)
+    total = {(r.half, r.y): r["count"] for r in sample.groupBy("half", "y").count().collect()}
+    ofs = lambda half, y: F.sum((F.col("half").isin(half) & (F.col("y") == y)).cast("int"))
+    parts = {"all": [0, 1], "h0": [0], "h1": [1]}
+    seen = in_batches(sample.select("text", "y", "half"), emit, "h long, y int, half int").groupBy("h").agg(*(ofs(of, y).alias(f"{name}_{y}") for name, of in parts.items() for y in (0, 1)))
+    seen = materialize(seen.where(f"all_0 >= {MIN_DOCS} OR all_1 >= {MIN_DOCS}"), "terms")
+    out = []
+    for name, of in parts.items():
+        a, b = (sum(total.get((half, y), 0) for half in of) for y in (1, 0))
+        if not a or not b:
+            out.append(none)
+            continue
+        p = (F.col(f"{name}_0") + F.col(f"{name}_1")) / (a + b)
+        z = (F.col(f"{name}_1") / a - F.col(f"{name}_0") / b) / F.sqrt(p * (1 - p) * (1 / a + 1 / b) + 1e-12)
+        keep = (F.col(f"{name}_1") >= MIN_DOCS) & (F.col("z") >= MIN_Z)
+        if name == "all":
+            keep |= (F.col("all_0") >= MIN_DOCS) & (F.col("z") <= -MIN_Z)
+        top = seen.withColumn("z", z).where(keep).orderBy(F.desc(F.abs("z")), "h").limit(MAX_TERMS).select("h")
+        out.append(np.sort(np.array([r.h for r in top.collect()], np.int64).view(np.uint64)))
+    return out[0], out[1], out[2]
 
 
 def _fit(row, term, value, grade, n_terms, rounds=400, rate=0.05, l2=1e-5) -> tuple[np.ndarray, np.ndarray]:
@@ -135,30 +154,35 @@ def _fit(row, term, value, grade, n_terms, rounds=400, rate=0.05, l2=1e-5) -> tu
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = MAX_FIT_ROWS) -> ToxicityModel | None:
     """The model, or None where labels don't have both values or no term marks toxic rows."""
-    sample = labelled_sample(docs, labels, "toxic", bound)
-    terms = _screen(sample)
+    sample = labelled_sample(docs, labels, "toxic", bound).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)).cast("int"))
+    sample = materialize(sample.select("text", "y", "half"), "labelled")
+    terms, *marks = _screen(sample)
     if not len(terms):
         return None
 
     def emit(batches):
         for batch in batches:
-            y = batch.column("y").to_numpy()
+            y, half = batch.column("y").to_numpy(), batch.column("half").to_numpy()
             for w in words_of(batch.column("text"), lower=True, terms=True):
+                size = w.hi - w.lo
                 row, term, n = _counts(w, terms, _sieve(terms))
-                cut = np.searchsorted(row, np.arange(w.hi - w.lo + 1))
+                cut = np.searchsorted(row, np.arange(size + 1))
+                marked = np.zeros((2, size))
+                for k in (0, 1):  # by the other half's marks
+                    of, _, times = _counts(w, marks[1 - k], _sieve(marks[1 - k]))
+                    marked[k] = np.bincount(of, np.log1p(times), size)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(y[w.lo : w.hi], pa.int32()),
+                        pa.array(y[w.lo : w.hi], pa.int32()), pa.array(marked[half[w.lo : w.hi], np.arange(size)]),
                         pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(term, pa.int64())), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(n, pa.int64())),
                     ],
-                    ["y", "term", "n"],
+                    ["y", "marked", "term", "n"],
                 )
 
-    got = sample.select("text", "y").mapInArrow(emit, "y int, term array<long>, n array<long>").collect()
-    y = np.array([r.y for r in got])
-    strength = np.array([np.log1p(r.n).sum() for r in got])
-    cuts = np.quantile(strength[y == 1], np.arange(1, GRADES) / GRADES)
-    grade = np.where(y == 1, 1 + np.searchsorted(cuts, strength, "right"), 0)
+    got = in_batches(sample, emit, "y int, marked double, term array<long>, n array<long>").collect()
+    y, marked = np.array([r.y for r in got]), np.array([r.marked for r in got])
+    cuts = np.quantile(marked[y == 1], np.arange(1, GRADES) / GRADES)
+    grade = np.where(y == 1, 1 + np.searchsorted(cuts, marked, "right"), 0)
     grade = np.unique(grade, return_inverse=True)[1]  # grades without a row don't count
     row = np.repeat(np.arange(len(got)), [len(r.term) for r in got])
     term = np.array([t for r in got for t in r.term], np.int64)
@@ -188,4 +212,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(w.lo, n), *out], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
     schema = "doc_id long, severity double, grade int, p_toxic double, toxic boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, schema)
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), emit, schema)

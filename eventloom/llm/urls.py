@@ -3,7 +3,8 @@
 Rules (host, path, allow or block) fit a host and all its subdomains if the url's path starts with
 the rule's; the longest rule wins.  A url that no rule fits takes the decision of its aliases: urls
 joined by redirect or canonical-link edges are one component, found by distributed connected
-components.  An explicit allow in a component takes precedence over any block in it.
+components.  An explicit allow in a component takes precedence over any block in it.  Of two fitting
+rules of one length an allow wins, then the one of the longer host.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def _fits(host: Column, path: Column, rule_host: Column, rule_path: Column) -> C
 
 def _literal_rule(rules: Sequence[tuple[str, str, str]]) -> Column:
     """The winning rule as a struct, by a chain of conditions from the longest rule down."""
-    ordered = sorted(set(rules), key=lambda r: (-len(r[0] + r[1]), r[2] != "allow", r[0], r[1]))
+    ordered = sorted(set(rules), key=lambda r: (-len(r[0] + r[1]), r[2] != "allow", -len(r[0])))
     out = None
     for host, path, action in ordered:
         fit = _fits(F.col("host"), F.col("path"), F.lit(host), F.lit(path))
@@ -94,7 +95,7 @@ def _joined_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]]) -> Dat
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     each = urls.select("host", "path").distinct().withColumn("rule_host", F.explode(F.array_distinct(F.concat(suffixes, F.array(F.lit(""))))))
     fits = each.join(table, "rule_host").where(F.startswith("path", "rule_path"))
-    rank = F.struct(F.length(F.concat("rule_host", "rule_path")), F.col("action") == "allow", F.col("rule_host"))
+    rank = F.struct(F.length(F.concat("rule_host", "rule_path")), F.col("action") == "allow", F.length("rule_host"))
     best = fits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "action"), rank).alias("best"))
     return urls.join(best, ["host", "path"], "left")
 
@@ -126,7 +127,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], edges:
         linked = linked.withColumn("best", _literal_rule(rules)) if len(rules) <= MAX_LITERAL_RULES else _joined_rules(linked, rules)
         state = linked.groupBy("component").agg(F.bool_or(F.col("best.action") == "allow").alias("allowed"), F.bool_or(F.col("best.action") == "block").alias("blocked"))
         verdicts = component.join(state, "component").select("node", "component", "allowed", "blocked")
-        judged = judged.join(verdicts, "node", "left")
+        # urls without a node have no alias, and null keys would all meet in one task
+        alone = judged.where("node IS NULL").withColumns({"component": F.lit(None).cast("string"), "allowed": F.lit(None).cast("boolean"), "blocked": F.lit(None).cast("boolean")})
+        judged = judged.where("node IS NOT NULL").join(verdicts, "node", "left").unionByName(alone)
     else:
         judged = judged.withColumns({"component": F.lit(None).cast("string"), "allowed": F.lit(None).cast("boolean"), "blocked": F.lit(None).cast("boolean")})
     method = F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")

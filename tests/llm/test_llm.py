@@ -13,6 +13,7 @@ pytest.importorskip("eventloom.llm")
 
 from eventloom.llm import components, decontaminate, jaccard, langid, lines, mixing, quality, secrets, substring, toxicity, urls  # noqa: E402
 from eventloom.llm import textnp  # noqa: E402
+from eventloom.llm.oracle import OP8_RULES  # noqa: E402
 from eventloom.llm.queries import URL_RULES  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -122,6 +123,12 @@ def test_url_rules_joined_as_literal(spark, monkeypatch):
     monkeypatch.setattr(urls, "MAX_LITERAL_RULES", 0)
     assert sorted(urls.filter_urls(pages, URL_RULES).select("page_id", "rule", "verdict").collect()) == sorted(literal)
     assert urls.filter_urls(pages.where("false"), URL_RULES).count() == 0
+    # rules of one length: an allow first, then the longer host, however many rules there are
+    tie = [("a.com", "/x", "block"), ("com", "/xyz", "block"), ("b.org", "/x", "block"), ("org", "/xyz", "allow")]
+    page = spark.createDataFrame([(1, "http://a.com/xyz"), (2, "http://b.org/xyz")], "page_id long, url string")
+    for most in (0, 64):
+        monkeypatch.setattr(urls, "MAX_LITERAL_RULES", most)
+        assert {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(page, tie).collect()} == {1: ("a.com/x", "block"), 2: ("org/xyz", "allow")}
 
 
 # 2 secrets --------------------------------------------------------------------------------------
@@ -318,6 +325,72 @@ def test_viterbi_against_brute_force():
                 assert value(np.full(len(s), best[d])) == pytest.approx(v.max())
 
 
+def test_viterbi_of_many_languages():
+    scores = np.full((4, 200), -6.0)
+    scores[:2, 150], scores[2:, 190] = 6.0, 6.0
+    assert langid._viterbi(scores, np.array([0, 4]), np.array([0]), 3.0)[0].tolist() == [150, 150, 190, 190]
+
+
+def brute_language(model, text, penalty=langid.SWITCH_PENALTY):
+    """Main language and its share of letters, word by word in plain Python."""
+    import pyarrow as pa
+
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ (h >> 33)) * c & mask
+        return h ^ (h >> 33)
+
+    def kind(ch):
+        return [name for first, name in langid.SCRIPTS if first <= ord(ch)][-1]
+
+    fold = {i: i + 32 for i in range(65, 91)}
+    rows, letters, n_lang = [], [], len(model.languages)
+    for word in words(text.translate(fold)):
+        whole = next(iter(textnp.words_of(pa.array([word])))).hashes[0]
+        data = [0, *(b + 1 for b in word.encode()), 0]
+        codes = [b for b in data if b]
+        for k in range(1, langid.MAX_ORDER):
+            for i in range(len(data) - k):
+                code = 0
+                for b in data[i : i + k + 1]:
+                    code = (code * 263 + b) & mask
+                codes.append((code + (k << 56)) & mask)
+        bucket = [int(whole) >> 48] + [mix(c) >> 48 for c in codes]
+        score = np.clip(model.ratios[bucket].sum(0) * 2 / len(bucket) ** 0.5, -langid.WORD_BOUND, langid.WORD_BOUND)
+        found = Counter(kind(c) for c in word if kind(c))
+        script = langid.NAMES.index(min(found, key=lambda x: (-found[x], x)) if found else "")
+        allowed = model.scripts[script]
+        score = np.where(allowed, score, -langid.WORD_BOUND)
+        rows.append(score if found and allowed.any() else np.zeros(n_lang))
+        letters.append(sum(found.values()))
+    if not sum(letters):
+        return "und", 0.0
+    value, back = list(rows[0]), []
+    for row in rows[1:]:
+        step = [max(range(n_lang), key=lambda j: value[j] - penalty * (j != i)) for i in range(n_lang)]
+        back.append(step)
+        value = [value[step[i]] - penalty * (step[i] != i) + row[i] for i in range(n_lang)]
+    path = [int(np.argmax(value))]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    share = Counter()
+    for lang, n in zip(reversed(path), letters):
+        share[lang] += n
+    best = min(share, key=lambda x: (-share[x], x))
+    return model.languages[best], share[best] / sum(letters)
+
+
+def test_language_against_brute_force(spark):
+    rng = random.Random(16)
+    langs = [rng.choice(list(TONGUES)) for _ in range(120)]
+    model = langid.fit_languages(docs_of(spark, [tongue(rng, x, 30) for x in langs], langs=langs))
+    texts = [*ODD, *(" ".join(tongue(rng, rng.choice(list(TONGUES)), rng.randrange(1, 25)) for _ in range(rng.randrange(1, 5))) for _ in range(60)), "Ω ψ ka", "12 lo-ka ДА"]
+    for r in langid.predict_languages(docs_of(spark, texts), model).collect():
+        assert (r.lang_pred, pytest.approx(r.score)) == brute_language(model, texts[r.doc_id] or ""), texts[r.doc_id]
+
+
 # 6 Jaccard --------------------------------------------------------------------------------------
 
 
@@ -399,6 +472,45 @@ def test_decontamination_recall_and_exactness(spark):
     assert decontaminate.find_leaks(docs_of(spark, texts), bench.where("false")).count() == 0
 
 
+def test_decontamination_recall_of_the_shortest_items(recwarn):
+    """Items at the lower end of a class among many long ones, with all edits of the limit used up."""
+    rng = np.random.default_rng(21)
+    for least, most in ((5, 9), (10, 19), (20, 39), (24, 300), (40, 79)):
+        terms = [rng.integers(1 << 62, size=least if q < 150 else most, dtype=np.uint64) for q in range(250)]
+        index = decontaminate.ItemIndex(np.arange(250), terms, 20).build(0.99)
+        for even in (False, True):
+            hit = 0
+            for q in range(150):
+                e = decontaminate._edited(rng, terms[q], least // 5, even)
+                h = np.concatenate([rng.integers(1 << 62, size=int(rng.integers(50)), dtype=np.uint64), e, rng.integers(1 << 62, size=90, dtype=np.uint64)])
+                hit += any(m[1] == q for m in decontaminate._matches(index, h, np.array([0, len(h)])))
+            assert hit >= 147, (least, most, even, hit)
+    assert not recwarn.list
+    same = decontaminate.ItemIndex(np.arange(2), [np.full(30, 7, np.uint64), np.arange(4, dtype=np.uint64)], 20).build(0.99)
+    assert [m[1] for m in decontaminate._matches(same, np.array([0, 1, 2, 3, 9], np.uint64), np.array([0, 5]))] == [1]  # short: exact
+
+
+def test_decontamination_against_all_stretches(spark):
+    """Small texts of few different terms: everything reported is within the limit, and what is left out by
+    chance is little."""
+    rng = random.Random(22)
+    items = [rng_text(rng, n, 40) for n in (3, 4, 6, 9, 12, 15, 20) for _ in range(3)]
+    texts = [" ".join([rng_text(rng, rng.randrange(30), 40), edit(rng, rng.choice(items), rng.randrange(3)), rng_text(rng, 9, 40)]) for _ in range(60)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find_leaks(docs_of(spark, texts), bench).collect()}
+    want = {}
+    for d, text in enumerate(texts):
+        for q, item in enumerate(items):
+            w, row = item.split(" "), [0] * (len(text.split()) + 1)
+            for i, y in enumerate(w, 1):
+                last, row = row, [i]
+                for j, x in enumerate(text.split(), 1):
+                    row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+            if min(row) <= len(w) // 5:
+                want[d, q] = min(row)
+    assert all(want.get(k, 99) <= e for k, e in got.items()) and len(got) >= 0.97 * len(want)
+
+
 # 8 quality --------------------------------------------------------------------------------------
 
 
@@ -432,6 +544,13 @@ def test_quality(spark, monkeypatch):
     model = quality.fit_quality(df, labels)
     monkeypatch.setattr(textnp, "SLICE", 4000)
     rows = {r.doc_id: r for r in quality.score_quality(df, model).collect()}
+    # the fixed counts in SQL as well
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed".split()
+    assert sorted(con.execute(OP8_RULES).fetchall()) == sorted(tuple(rows[i][c] for c in names) for i in rows)
     for i, t in enumerate(texts):
         r = rows[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_rules(t), t
@@ -467,6 +586,27 @@ def test_toxicity(spark):
     assert not toxicity.score_toxicity(df, None).where("toxic").count()
 
 
+def test_toxicity_scores_against_brute_force(spark):
+    import pyarrow as pa
+
+    of = lambda x, terms: next(iter(textnp.words_of(pa.array([x]), lower=True, terms=terms))).hashes[0]
+    begin = lambda x, n: textnp.span_hashes(toxicity._LETTER[np.frombuffer(x.encode(), np.uint8)], toxicity._BASE, np.array([0]), np.array([n]))[0]
+    weight = {of("grob", True): 1.5, begin("fies", 4): 0.7, begin("übelst", 6): 2.0, of("nett", True): -1.0}
+    terms = np.sort(np.array(list(weight), np.uint64))
+    model = toxicity.ToxicityModel(terms, np.array([weight[t] for t in terms]), np.array([0.5, 1.5, 3.0]))
+    rng = random.Random(17)
+    texts = [*ODD, *(" ".join(rng.choice(["Grob!", "fieser", "fies", "ÜBELSTE", "übelste", "nett", "nette,", "so"]) for _ in range(rng.randrange(1, 30))) for _ in range(40))]
+    for r in toxicity.score_toxicity(docs_of(spark, texts), model).collect():
+        seen = Counter()
+        for t in re.findall(r"[a-z0-9\x80-\U0010ffff]+", (texts[r.doc_id] or "").translate({i: i + 32 for i in range(65, 91)})):
+            seen[of(t, True)] += 1
+            seen.update(begin(t, n) for n in toxicity.PREFIXES if len(t.encode()) >= n)
+        score = sum(weight[t] * np.log1p(n) for t, n in seen.items() if t in weight)
+        up = 1 / (1 + np.exp(-(score - model.theta)))
+        assert (r.severity, r.p_toxic) == (pytest.approx(up.sum()), pytest.approx(up[0]))
+        assert (r.grade, r.toxic) == ((up >= 0.5).sum(), up[0] >= 0.5)
+
+
 # 10 substrings ----------------------------------------------------------------------------------
 
 

@@ -47,6 +47,16 @@ def test_pipeline(spark, tmp_path):
     assert run == {i: r.taken for i, r in kept[4].items()}
 
 
+def test_near_copies_of_ids_with_several_texts(spark, tmp_path):
+    """Only the text that is a copy goes, not the other text of its id."""
+    rng = random.Random(3)
+    a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, a, "en", "s", 1), (2, a, "en", "s", 1), (2, b, "en", "s", 1), (None, a, "en", "s", 1), (3, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.ngram_jaccard(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in out) == sorted((str(i), str(t)) for i, t, *_ in rows if (i, t) != (2, a))
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_take_empty_and_odd_tables(spark, tmp_path, k):
     schema = "doc_id long, text string, lang string, source string, n_chars long, kept long, gone string, row int, key string"
