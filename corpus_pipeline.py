@@ -32,10 +32,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8): the least doc_id.
-    Rows without a doc_id stay."""
+    Rows without a doc_id stay.  Where a doc_id has several texts, its links are those of all of them, so
+    of these only the texts go that equal one of a smaller doc_id, and no other text is lost."""
     groups = jaccard.jaccard_components(docs, k=5, num=80, den=100)
-    copies = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    texts = groups.groupBy("doc_id").agg((F.min("text_hash") != F.max("text_hash")).alias("several"))
+    copies = groups.where("component_id < doc_id").join(texts, "doc_id").where("copy_of < doc_id OR NOT several")
+    copies = copies.select(F.col("doc_id").alias("copy"), F.col("text_hash").alias("copy_hash")).distinct()
+    is_copy = (docs["doc_id"].cast("long") == copies["copy"]) & (F.xxhash64(docs["text"]) == copies["copy_hash"])
+    return docs.join(copies, is_copy, "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
