@@ -122,7 +122,7 @@ def age_evidence(spark, sf_dir):
 
 
 _AGE = """
-WITH n AS (SELECT doc_id, regexp_extract_all(text, '([0-9]{1,3})', 1)[1:3] AS n FROM documents),
+WITH n AS (SELECT doc_id, regexp_extract_all(text, '([0-9]{1,3})', 1) AS n FROM documents),
 r AS (SELECT doc_id, list_filter(list_transform(n, lambda x: x::INT), lambda x: x <= 120) AS r FROM n WHERE len(n) > 0),
 k AS (SELECT doc_id, r, len(list_filter(r, lambda x: x <= 12)) AS ok FROM r)
 SELECT doc_id, len(r)::BIGINT AS rules,

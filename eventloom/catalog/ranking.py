@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
@@ -13,23 +9,6 @@ from ..operators import ranking, resolve
 from .base import load, r6, sql_identity
 
 
-def scratch(spark) -> str:
-    """Shared folder for intermediate tables: spark.checkpoint.dir, or a folder of this machine's own where
-    it is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='eventloom-')}")
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/eventloom-{spark.sparkContext.applicationId}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it: a durable end of the lineage."""
-    path = f"{scratch(df.sparkSession)}/cut-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def first_per_key(spark, sf_dir):
     """Cheapest line of every part; ties by order and line."""
     line = load(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice", "l_orderkey", "l_linenumber")
@@ -50,7 +29,7 @@ def category_coverage(spark, sf_dir):
 
 
 _COVERAGE = """
-WITH r AS (SELECT *, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 400),
+WITH r AS (SELECT *, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part),
 o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY rank) = 1),
 h AS (SELECT *, rank <> min(rank) OVER (PARTITION BY p_brand) AS later FROM o)
 SELECT p_partkey, p_brand, p_type, rank FROM h ORDER BY later, rank LIMIT 40
@@ -94,9 +73,10 @@ def offer_summary(spark, sf_dir):
     """Lines of an order as offers: any and all eligible, least price of eligible, its supplier, and all by price."""
     line = load(spark, sf_dir, "lineitem")
     ok = F.col("l_returnflag") != "R"
-    price = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2)
+    # decimals: the half cents of a double product round differently from engine to engine
+    price = F.round(F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount").cast("decimal(18,2)")), 2)
     return line.groupBy("l_orderkey").agg(
-        F.bool_or(ok).alias("any_ok"), F.bool_and(ok).alias("all_ok"), F.min(F.when(ok, price)).alias("least"),
+        F.bool_or(ok).alias("any_ok"), F.bool_and(ok).alias("all_ok"), F.min(F.when(ok, price)).cast("double").alias("least"),
         F.min_by("l_suppkey", F.when(ok, F.struct(price, "l_linenumber"))).alias("supplier"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda s: s["l_suppkey"].cast("string")), ",").alias("suppliers"),
         F.countDistinct("l_suppkey").alias("n_suppliers"),
@@ -104,8 +84,8 @@ def offer_summary(spark, sf_dir):
 
 
 _OFFERS = """
-WITH l AS (SELECT *, l_returnflag <> 'R' AS ok, round(l_extendedprice * (1 - l_discount), 2) AS price FROM lineitem)
-SELECT l_orderkey, bool_or(ok) AS any_ok, bool_and(ok) AS all_ok, min(price) FILTER (ok) AS least,
+WITH l AS (SELECT *, l_returnflag <> 'R' AS ok, round(l_extendedprice::DECIMAL(15,2) * (1 - l_discount::DECIMAL(15,2)), 2) AS price FROM lineitem)
+SELECT l_orderkey, bool_or(ok) AS any_ok, bool_and(ok) AS all_ok, min(price) FILTER (ok)::DOUBLE AS least,
   arg_min(l_suppkey, (price, l_linenumber)) FILTER (ok) AS supplier, string_agg(l_suppkey::VARCHAR, ',' ORDER BY l_linenumber, l_suppkey) AS suppliers,
   count(DISTINCT l_suppkey) AS n_suppliers FROM l GROUP BY 1
 """

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import numeric, text
 from ..operators import search
 from ..plans import conditions as plan
+from ..scratch import cut
 from .base import load, r6, sql_fold, sql_tokens
-from .ranking import cut
 
 #: The query text and the document whose vector is the query vector.
 QUERY = "the attion hean daha tionre thed the"
@@ -88,12 +88,52 @@ _RRF = f"""{_BM25},
 {_DENSE},
 lex AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM scored WHERE score > 0),
 den AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY round(similarity, 9) DESC, vec_id) AS r FROM sim),
-fused AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT * FROM lex WHERE r <= 200 UNION ALL SELECT * FROM den WHERE r <= 200) GROUP BY doc_id),
+fused AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM den) GROUP BY doc_id),
 best AS (SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS p FROM fused JOIN documents USING (doc_id))
 SELECT source, doc_id, round(score, 6) AS score FROM best WHERE p = 1 ORDER BY round(score, 6) DESC, doc_id LIMIT 16
 """
 
 
+def blended_rank(spark, sf_dir):
+    """Every document with the blend of its term share and its vector's cosine."""
+    vectors = load(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    out = search.blended(load(spark, sf_dir, "documents"), "doc_id", text.fold(F.col("text")), TERMS, vectors, "embedding", _query_vector(spark, sf_dir))
+    return out.select("doc_id", r6(F.col("score"), "score"))
+
+
+_SHARE = f"""f AS (SELECT doc_id, {sql_fold('text')} AS t FROM documents),
+share AS (SELECT doc_id, 0.35::DOUBLE * (coalesce({' + '.join(f"contains(t, '{w}')::INT" for w in TERMS)}, 0)) / {float(len(TERMS))}::DOUBLE AS s FROM f)"""
+_BLEND = f"""WITH {_DENSE}, {_SHARE}
+SELECT doc_id, round(s + coalesce(0.65::DOUBLE * similarity, 0), 6) AS score FROM share LEFT JOIN sim ON vec_id = doc_id
+"""
+
+
+def hybrid_order(spark, sf_dir):
+    """Scores that put the whole table in order: of fused ranks, and without a vector in the catalog."""
+    docs, vectors = load(spark, sf_dir, "documents"), load(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lexical = cut(search.bm25(docs, "doc_id", search.tokens_of("text"), TERMS))
+    lexical = cut(search.ranked(lexical, [F.desc(F.round("score", 9)), F.asc("doc_id")], parts, cut))
+    out = None
+    for mode, own in (("dense", vectors), ("none", vectors.where("false"))):
+        dense = cut(search.dense_scores(own, "doc_id", "embedding", _query_vector(spark, sf_dir)))
+        dense = search.ranked(dense, [F.desc(F.round("similarity", 9)), F.asc("doc_id")], parts, cut)
+        plain = search.blended(docs, "doc_id", text.fold(F.col("text")), TERMS, own, "embedding", None)
+        scores = search.hybrid(docs, "doc_id", lexical, dense, plain).select(F.lit(mode).alias("mode"), "doc_id", r6(F.col("score"), "score"))
+        out = scores if out is None else out.unionByName(scores)
+    return out
+
+
+_HYBRID = f"""{_BM25},
+{_DENSE}, {_SHARE},
+lex AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM scored WHERE score > 0),
+den AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY round(similarity, 9) DESC, vec_id) AS r FROM sim),
+fused AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM den) GROUP BY doc_id)
+SELECT 'dense' AS mode, doc_id, round(coalesce(score, 0), 6) AS score FROM documents LEFT JOIN fused USING (doc_id)
+UNION ALL SELECT 'none', doc_id, round(s, 6) FROM share
+"""
+
+
 def soft_rerank(spark, sf_dir):
     """Parts ranked by price, re-ranked by a budget and a brand preference."""
     parts = load(spark, sf_dir, "part")
@@ -163,6 +203,8 @@ QUERIES = {
     "lexical_rank": lexical_rank,
     "dense_topk": dense_topk,
     "rrf_hybrid": rrf_hybrid,
+    "blended_rank": blended_rank,
+    "hybrid_order": hybrid_order,
     "soft_rerank": soft_rerank,
     "search_funnel": search_funnel,
     "vector_validity": vector_validity,
@@ -172,6 +214,8 @@ ORACLE = {
     "lexical_rank": _LEXICAL,
     "dense_topk": f"WITH {_DENSE} SELECT vec_id, round(similarity, 6) AS similarity, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM sim ORDER BY rank LIMIT {TOP}",
     "rrf_hybrid": _RRF,
+    "blended_rank": _BLEND,
+    "hybrid_order": _HYBRID,
     "soft_rerank": _SOFT,
     "search_funnel": _FUNNEL,
     "vector_validity": _VALID,

@@ -6,16 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..scratch import cut, scratch_root
 from ..streaming import streams
 from .base import load
-from .ranking import cut, scratch
 from .state import ORACLE as STATE
 
 HEADS = STATE["page_head_machine"]
 
 
 def _run(spark, sf_dir, build, mode):
-    root = f"{scratch(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    root = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex[:12]}"
     # a pattern, since the table may be a file or a folder of files
     events = streams.read_events(spark, f"{sf_dir}/events.parque[t]", load(spark, sf_dir, "events").schema)
     streams.run(build(events), streams.land(f"{root}/out") if mode == "append" else lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out"), f"{root}/state", mode)

@@ -15,6 +15,8 @@ from ..functions import numeric, text
 
 K1, B = 1.2, 0.75
 RRF_K = 60
+#: Shares of the blended score.  Fixed values.
+LEXICAL_SHARE, COSINE_SHARE = 0.35, 0.65
 
 
 def bm25(docs: DataFrame, key: str, tokens: Column, query: Sequence[str]) -> DataFrame:
@@ -77,5 +79,23 @@ def fuse(lists: Sequence[DataFrame], key: str, k: int = RRF_K) -> DataFrame:
     return union.groupBy(key).agg(F.sum("s").alias("score"))
 
 
+def blended(docs: DataFrame, key: str, content: Column, terms: Sequence[str], vectors: DataFrame, vector: str, query: Sequence[float] | None) -> DataFrame:
+    """(key, score) of every document: 0.35 of the share of the query's tokens that its folded text contains
+    and, where it has a valid vector and the query has one, 0.65 of their cosine.  vectors: (key, vector)."""
+    own = docs.select(key, (LEXICAL_SHARE * lexical_score(content, terms)).alias("lexical"))
+    if query is None:
+        return own.select(key, F.col("lexical").alias("score"))
+    near = dense_scores(vectors, key, vector, query)
+    return own.join(near, key, "left").select(key, (F.col("lexical") + F.coalesce(COSINE_SHARE * F.col("similarity"), F.lit(0.0))).alias("score"))
+
+
+def hybrid(docs: DataFrame, key: str, lexical: DataFrame, dense: DataFrame, otherwise: DataFrame) -> DataFrame:
+    """(key, score) of every document, by which the whole table is ordered: lexical and dense ranks fused,
+    0 for documents that neither list has; where the dense list is empty, the scores of ``otherwise``."""
+    if dense.isEmpty():
+        return otherwise.select(key, "score")
+    return docs.select(key).join(fuse([lexical, dense], key), key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def tokens_of(*columns: str) -> Column:
     return text.search_tokens(F.concat_ws(" ", *columns))
