@@ -7,14 +7,14 @@ space of an RDD checkpoint and survives lost executors in the same way.
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_root
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,22 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROWS_PER_FILE = 50_000
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, one sub-folder for each application.
-
-    ``spark.checkpoint.dir`` is used where it is set.  Where it is unset, a temporary folder is made,
-    but only if all tasks run in this process; on a cluster that is an error, since executors would
-    write to disks of their own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='eventloom-')}")
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/eventloom-{spark.sparkContext.applicationId}"
-
-
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to a scratch table and read it back: the cut in the lineage is durable.
 
