@@ -45,6 +45,8 @@ CLASSES = ((5, 1, 3, 5), (10, 2, 4, 9), (20, 3, 5, 13), (40, 5, 5, 16))
 BANDS = 2
 TARGET_RECALL, MAX_REPEATS, TRIALS = 0.99, 48, 120
 TABLE_BITS = 1 << 20
+#: Bits of the filter on which terms an item has (512 KB); more terms only make it weaker.
+MEMBER_BITS = 1 << 22
 _PAD = np.uint64(0x6A09E667F3BCC909)
 
 
@@ -127,6 +129,7 @@ class ItemIndex:
     ids: np.ndarray
     terms: list[np.ndarray]
     max_edits: int
+    members: np.ndarray = field(default_factory=lambda: np.zeros(MEMBER_BITS // 8, np.uint8))
     repeats: dict[int, int] = field(default_factory=dict)
     short: dict[int, list[tuple[np.ndarray, int]]] = field(default_factory=dict)
     keys: dict[tuple[int, int, int], tuple] = field(default_factory=dict)
@@ -137,6 +140,8 @@ class ItemIndex:
     def build(self, recall: float) -> ItemIndex:
         by_class: dict[int, list[int]] = {}
         for q, t in enumerate(self.terms):
+            spot = (mix(t ^ mix(np.full(len(t), q, np.uint64))) & np.uint64(MEMBER_BITS - 1)).astype(np.int64)
+            np.bitwise_or.at(self.members, spot >> 3, np.uint8(1) << (spot & 7).astype(np.uint8))
             if len(t) >= SHORT:
                 by_class.setdefault(_class_of(len(t)), []).append(q)
             elif len(t) >= MIN_TERMS:
@@ -250,15 +255,19 @@ def _likely(index: ItemIndex, h: np.ndarray, bounds: np.ndarray, found: np.ndarr
     d, q, place = found.T
     lo = np.clip(place - 2 * limit - 2, 0, None) + bounds[d]
     hi = np.minimum(bounds[d] + place + size + 2 * limit + 2, bounds[d + 1])
+    length = np.maximum(hi - lo, 0)
     keep = np.zeros(len(found), bool)
-    cuts = np.flatnonzero(np.diff(q, prepend=-1, append=-1))
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        item = index.terms[q[a]]
-        if b - a > 8:  # one pass over all texts for many candidates of an item
-            have = np.concatenate([[0], np.cumsum(np.isin(h, item))])
-            keep[a:b] = have[np.maximum(lo[a:b], hi[a:b])] - have[lo[a:b]] >= size[a] - limit[a]
-        else:
-            keep[a:b] = [np.isin(h[x:y], item).sum() >= size[a] - limit[a] for x, y in zip(lo[a:b], hi[a:b])]
+    ends = np.cumsum(length)
+    a = 0
+    while a < len(found):  # in parts of about a million terms
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + (1 << 20))))
+        n = length[a:b]
+        at = np.repeat(lo[a:b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        spot = (mix(h[at] ^ mix(np.repeat(q[a:b], n).astype(np.uint64))) & np.uint64(MEMBER_BITS - 1)).astype(np.int64)
+        have = np.concatenate([[0], np.cumsum((index.members[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1, dtype=np.int64)])
+        cut = np.concatenate([[0], np.cumsum(n)])
+        keep[a:b] = have[cut[1:]] - have[cut[:-1]] >= size[a:b] - limit[a:b]
+        a = b
     return found[keep]
 
 
