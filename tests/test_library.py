@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.catalog.ranking import cut
+from eventloom.scratch import cut
 from eventloom.functions import clock, location, numeric, spelling, text
 from eventloom.operators import filters, joins, ranking, resolve, revisions
 from eventloom.plans import conditions as plan
