@@ -90,6 +90,47 @@ SELECT p_partkey, CASE WHEN ok THEN 'supported' WHEN NOT ok THEN 'contradicted'
 """
 
 
+def plan_atoms(spark, sf_dir):
+    """Evidence of single tests on parts, their size and key standing for ages and labels."""
+    parts = load(spark, sf_dir, "part")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    kind = F.when(key % 5 == 0, "children").when(key % 5 == 1, "family").when(key % 5 == 2, "adult_only").when(key % 5 == 3, "general")
+    suitable = (key % 100) / 100.0
+    a = plan.Audience(
+        labelled=size != 13, kind=kind, min_age=F.when(size < 20, size), max_age=F.when(size % 3 == 0, size + 30),
+        suitable=suitable, family=F.col("p_type").contains("BRASS"),
+    )
+    age = plan.attendee_age_evidence(a, lambda years: size + years >= 30, size > 45)
+    outdoors = plan.experience_evidence([F.col("p_name"), F.col("p_type")], {"quiet": size > 10}, suitable, suitable)
+    tests = {
+        "child": age(8), "adult": age(30), "company": plan.companion_evidence(a)("children"), "friends": plan.companion_evidence(a)("friends"),
+        "outdoors": outdoors("outdoors"), "seated": outdoors("seated"), "quiet": outdoors("quiet"), "mood": plan.mood_evidence("calm"),
+        "total": plan.budget_evidence("p_retailprice", size != 13, F.when(size > 5, F.lit(2)))("lte", 2800.0, "group_total"),
+    }
+    return parts.select("p_partkey", *(plan.status(found).alias(name) for name, found in tests.items()))
+
+
+_ATOMS = """
+WITH p AS (SELECT p_partkey, p_size, p_type, p_retailprice, p_size <> 13 AS labelled, (p_partkey % 100) / 100.0 AS suitable,
+    CASE p_partkey % 5 WHEN 0 THEN 'children' WHEN 1 THEN 'family' WHEN 2 THEN 'adult_only' WHEN 3 THEN 'general' END AS kind,
+    CASE WHEN p_size < 20 THEN p_size END AS lo, CASE WHEN p_size % 3 = 0 THEN p_size + 30 END AS hi FROM part),
+c AS (SELECT *, CASE WHEN NOT labelled THEN CASE WHEN contains(p_type, 'BRASS') THEN true END
+    WHEN kind = 'adult_only' OR lo >= 13 THEN false
+    WHEN kind IN ('children', 'family') OR lo <= 10 OR suitable >= 0.65 THEN true
+    WHEN suitable <= 0.25 THEN false END AS child_ok FROM p),
+e AS (SELECT p_partkey, child_ok AS company, true AS friends, NULL::BOOLEAN AS mood, p_size > 10 AS quiet,
+    CASE WHEN labelled AND (lo IS NOT NULL OR hi IS NOT NULL) THEN 8 BETWEEN coalesce(lo, 0) AND coalesce(hi, 120)
+         WHEN labelled AND kind = 'adult_only' THEN false WHEN NOT labelled OR p_size > 45 THEN p_size + 8 >= 30 ELSE child_ok END AS child,
+    CASE WHEN labelled AND (lo IS NOT NULL OR hi IS NOT NULL) THEN 30 BETWEEN coalesce(lo, 0) AND coalesce(hi, 120)
+         WHEN NOT labelled OR p_size > 45 THEN p_size + 30 >= 30 WHEN kind IN ('general', 'family', 'adult_only') THEN true END AS adult,
+    CASE WHEN suitable >= 0.7 THEN true END AS outdoors, CASE WHEN suitable >= 0.7 THEN true END AS seated,
+    CASE WHEN p_size <> 13 AND p_size > 5 THEN 2 * p_retailprice <= 2800 END AS total FROM c)
+SELECT p_partkey, """ + ", ".join(
+    f"CASE WHEN {c} THEN 'supported' WHEN NOT {c} THEN 'contradicted' ELSE 'unknown' END AS {c}"
+    for c in ("child", "adult", "company", "friends", "outdoors", "seated", "quiet", "mood", "total")
+) + " FROM e"
+
+
 def requirement_evidence(spark, sf_dir):
     """Positive against negative evidence in sentences of documents, with the evidence itself."""
     docs = load(spark, sf_dir, "documents")
@@ -280,12 +321,12 @@ SELECT role, count(*) AS turns, count(*) FILTER (regexp_matches(' ' || i || ' ',
 QUERIES = {
     f.__name__: f
     for f in (
-        eligibility_window, filters_budget_date, exclude_production, kleene_plan, requirement_evidence, age_evidence, category_map,
+        eligibility_window, filters_budget_date, exclude_production, kleene_plan, plan_atoms, requirement_evidence, age_evidence, category_map,
         title_key, promotion_price, calendar_dimension, local_time, page_titles_links, json_props, conversation_intent,
     )
 }
 ORACLE = {
-    "eligibility_window": _ELIGIBLE, "filters_budget_date": _BUDGET, "exclude_production": _EXCLUDE, "kleene_plan": _KLEENE,
+    "eligibility_window": _ELIGIBLE, "filters_budget_date": _BUDGET, "exclude_production": _EXCLUDE, "kleene_plan": _KLEENE, "plan_atoms": _ATOMS,
     "requirement_evidence": _REQUIREMENT, "age_evidence": _AGE, "category_map": _CATEGORY, "title_key": _TITLE, "promotion_price": _PROMOTION,
     "calendar_dimension": _CALENDAR, "local_time": _LOCAL, "page_titles_links": _PAGES, "json_props": _PROPS, "conversation_intent": _INTENT,
 }

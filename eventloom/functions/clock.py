@@ -18,6 +18,25 @@ def local_clock(ts: Column, zone: str = ZONE) -> Column:
     return F.date_format(F.from_utc_timestamp(ts, zone), "HH:mm")
 
 
+#: Turkish names of months and weekdays (Monday first).  Fixed values.
+MONTHS = "Ocak Şubat Mart Nisan Mayıs Haziran Temmuz Ağustos Eylül Ekim Kasım Aralık".split()
+WEEKDAYS = "Pzt Sal Çar Per Cum Cmt Paz".split()
+
+
+def day_label(ts: Column, zone: str = ZONE) -> Column:
+    """An instant's local day in Turkish: 7 Mart 2026."""
+    at = F.from_utc_timestamp(ts, zone)
+    month = F.get(F.array(*map(F.lit, MONTHS)), F.month(at) - 1)
+    return F.when(ts.isNotNull(), F.concat_ws(" ", F.dayofmonth(at).cast("string"), month, F.year(at).cast("string")))
+
+
+def session_label(ts: Column, zone: str = ZONE) -> Column:
+    """An instant on the local calendar and clock in Turkish: 7 Mart Cmt 20:30."""
+    at = F.from_utc_timestamp(ts, zone)
+    month, weekday = F.get(F.array(*map(F.lit, MONTHS)), F.month(at) - 1), F.get(F.array(*map(F.lit, WEEKDAYS)), F.weekday(at))
+    return F.when(ts.isNotNull(), F.concat_ws(" ", F.dayofmonth(at).cast("string"), month, weekday, F.date_format(at, "HH:mm")))
+
+
 def valid_day(text: Column) -> Column:
     """Whether a text is an existing day written YYYY-MM-DD."""
     day = F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import fold
+
 EARTH_METRES = 6_371_000.0
 
 
@@ -33,6 +37,61 @@ def parse_money(text: Column) -> Column:
     return plain.try_cast("double") * F.when(thousand, 1000.0).otherwise(1.0)
 
 
+#: Number words on folded text.  Fixed values.
+NUMBER_WORDS = {
+    **{w: i for i, w in enumerate("sifir bir iki uc dort bes alti yedi sekiz dokuz on".split())},
+    **{w: 10 * i for i, w in enumerate("yirmi otuz kirk elli altmis yetmis seksen doksan".split(), 2)},
+    **{w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())},
+    **{w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)},
+}
+
+
+def _below_hundred(tokens: Column) -> Column:
+    """One number word, or tens and a unit; null for anything else."""
+    words = F.create_map(*(F.lit(x) for pair in NUMBER_WORDS.items() for x in pair))
+    first, second = F.try_element_at(words, F.get(tokens, 0)), F.try_element_at(words, F.get(tokens, 1))
+    both = F.when((first >= 10) & (first % 10 == 0) & second.between(1, 9), first + second)
+    return F.when(F.size(tokens) == 1, first).when(F.size(tokens) == 2, both)
+
+
+def _split(tokens: Column, words: Sequence[str]) -> tuple[Column, Column, Column]:
+    """The tokens before and after the one that is among words, and how many such there are."""
+    scale = lambda t: t.isin(*words)
+    at = F.coalesce(F.array_position(F.transform(tokens, scale), True), F.lit(0))
+    head = F.when(at > 1, F.slice(tokens, 1, (at - 1).cast("int"))).otherwise(F.array().cast("array<string>"))
+    return head, F.slice(tokens, (at + 1).cast("int"), F.greatest(F.size(tokens), F.lit(1))), F.size(F.filter(tokens, scale))
+
+
+def _below_thousand(tokens: Column) -> Column:
+    """A number with at most one word for hundred, before which a number of 1 to 19 may stand."""
+    head, rest, hundreds = _split(tokens, ("yuz", "hundred"))
+    times = F.when(F.size(head) == 0, 1).otherwise(_below_hundred(head))
+    more = F.when(F.size(rest) == 0, 0).otherwise(_below_hundred(rest))
+    return F.when(hundreds == 0, _below_hundred(tokens)).when((hundreds == 1) & times.between(1, 19), 100 * times + more)
+
+
+def word_number(text: Column) -> Column:
+    """The value, 0 to 100000, of number words in Turkish or English; null if the text isn't one number."""
+    tokens = F.filter(F.split(F.trim(fold(text)), r"\s+"), lambda t: t != "")
+    head, rest, thousands = _split(tokens, ("bin", "thousand"))
+    times = F.when(F.size(head) == 0, 1).otherwise(_below_thousand(head))
+    more = F.when(F.size(rest) == 0, 0).otherwise(_below_thousand(rest))
+    value = F.when(thousands == 0, _below_thousand(tokens)).when((thousands == 1) & (times > 0), 1000 * times + more)
+    return F.when(value <= 100_000, value.cast("int"))
+
+
+#: Least probability of a label and least distance to the next one.  Fixed values.
+LABEL_LEAST, LABEL_MARGIN = 0.6, 0.15
+
+
+def confident_label(probabilities: Column) -> Column:
+    """The key of a map of probabilities with the highest one, if that is high enough and far enough from the next."""
+    falling = F.sort_array(F.transform(F.map_entries(probabilities), lambda e: F.struct(e["value"].alias("p"), e["key"].alias("k"))), False)
+    top = F.get(falling, 0)
+    second = F.coalesce(F.get(falling, 1)["p"], F.lit(0.0))
+    return F.when((top["p"] >= LABEL_LEAST) & (top["p"] - second >= LABEL_MARGIN), top["k"])
+
+
 def promotion(price: Column, tickets: Column, qualifying: Column, fee: Column, kind: Column, amount: Column, get: Column, cap: Column) -> dict[str, Column]:
     """Checkout figures of a promotion: percentage, fixed per ticket, buy_get (amount: buy) or cashback.
 

@@ -88,6 +88,47 @@ def test_kleene_truth_tables(spark):
         plan.compile_condition(plan.Atom("x"), rules)
 
 
+def test_plan_evidence_of_time_place_and_audience(spark):
+    rows = [
+        (1, "2026-03-07 17:30:00", "Belirtilen saat, kapı açılış saatidir", "Kadıköy", None, None),
+        (2, "2026-03-07 17:30:00", None, "Kadıköy", None, None),
+        (3, "2026-03-07 15:00:00", "x", None, "Şişli", None),
+        (4, None, "x", None, None, "online"),
+        (5, "2026-03-07 16:00:00", "Açıkhava", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "id int, ts string, d string, label string, labelled string, place string").withColumn("ts", F.to_timestamp("ts"))
+    time = plan.time_evidence(F.col("ts"), F.col("d"))
+    where = plan.location_evidence(F.col("label"), F.lit(None).cast("string"), F.col("labelled"), F.col("place"))
+    no = F.lit(None).cast("double")
+    out = plan.experience_evidence([F.col("d")], {}, no, no)
+    got = df.select(
+        "id", time("18:00", None).alias("open"), time("19:00", "20:30", False, True).alias("before"), time("18:00", "20:30").alias("upto"),
+        where("district", "Kadıköy").alias("district"), where("side", "Avrupa Yakası").alias("side"), where("neighborhood", "Moda").alias("near"),
+        out("outdoors").alias("outdoors"), out("romantic").alias("romantic"), plan.context_evidence(4).alias("party"),
+    ).orderBy("id").collect()
+    assert [r.open for r in got] == [None, True, True, None, True]
+    assert [r.before for r in got] == [None, False, False, None, True]
+    assert [r.upto for r in got] == [None, True, True, None, True]
+    assert [r.district for r in got] == [True, True, False, False, None]
+    assert [r.side for r in got] == [False, False, True, False, None]
+    assert [r.near for r in got] == [None, None, None, False, None]
+    assert [r.outdoors for r in got] == [None, None, None, None, True]
+    assert all(r.romantic is None and r.party for r in got)
+
+
+def test_number_words_labels_and_dates(spark):
+    said = {
+        "yüz": 100, "iki yüz elli": 250, "on iki yüz": 1200, "bin": 1000, "yirmi beş bin üç yüz": 25300, "one hundred thousand": 100000, "Twelve": 12, "sıfır": 0, "bin sıfır": 1000,
+        "yirmi yüz": None, "sıfır bin": None, "yüz yüz": None, "bin bin": None, "bes on": None, "iki üç": None, "iki yüz bin": None, "elma": None, "yüz elma": None, "": None, None: None,
+    }
+    assert values(spark, numeric.word_number, list(said)) == list(said.values())
+    df = spark.createDataFrame([(1, {"a": 0.7, "b": 0.3}), (2, {"a": 0.6, "b": 0.5}), (3, {"a": 0.5}), (4, {"b": 1.0}), (5, {}), (6, None)], "i int, p map<string,double>")
+    assert [r.k for r in df.select("i", numeric.confident_label(F.col("p")).alias("k")).orderBy("i").collect()] == ["a", None, None, "b", None, None]
+    at = lambda f: lambda c: f(F.to_timestamp(c))
+    assert values(spark, at(clock.day_label), ["2026-03-06 22:00:00", None]) == ["7 Mart 2026", None]
+    assert values(spark, at(clock.session_label), ["2026-03-07 17:30:00", None]) == ["7 Mart Cmt 20:30", None]
+
+
 def test_soft_signals(spark):
     df = spark.createDataFrame([(80.0,), (120.0,), (200.0,), (None,)], "p double")
     got = df.select(plan.budget_signal(F.col("p"), "lte", 100.0).alias("l"), plan.budget_signal(F.col("p"), "approx", 100.0).alias("a"), plan.soft_signal([F.lit(None).cast("double")]).alias("z")).collect()
