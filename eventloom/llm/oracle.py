@@ -216,6 +216,113 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM words LEFT JOIN (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+#: CRC-32 of a text column, by its table: steps gives the table, then bytes are folded in.
+_CRC_TABLE = """steps(b, k, c) AS (
+  SELECT b, 0, b::UBIGINT FROM range(256) r(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS tab FROM steps WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """text's CRC-32 where crc_table is joined in."""
+    octets = f"list_transform(range(0, octet_length(encode({text}))), lambda i: ('0x' || hex(encode({text}))[2 * i + 1:2 * i + 2])::UBIGINT)"
+    folded = f"list_reduce(list_prepend(4294967295::UBIGINT, {octets}), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255)::BIGINT + 1]))"
+    return f"xor({folded}, 4294967295::UBIGINT)"
+
+
+def _best(*options: str) -> str:
+    """The least of cost, audit and rows, each option (state, cost, letter, row or nothing)."""
+    made = (f"{{'c': {s}.c + {c}, 'a': {s}.a || '{l}', 't': {f'list_append({s}.t, {row})' if row else f'{s}.t'}}}" for s, c, l, row in options)
+    return f"list_sort([{', '.join(made)}])[1]"
+
+
+def _inserted(source: str, as_: str) -> str:
+    """One more inserted row, or none, for all states of a table of states s0 to s3."""
+    return (
+        f"SELECT * EXCLUDE (s2, s3), {_best(('s2', 0, '', ''), ('s0', 5, 'I', chr(39) + 'user:' + chr(39)), ('s1', 5, 'I', chr(39) + 'user:' + chr(39)), ('s3', 5, 'I', chr(39) + 'user:' + chr(39)))} AS s2, "
+        f"{_best(('s3', 0, '', ''), ('s2', 5, 'I', chr(39) + 'assistant:' + chr(39)))} AS s3 FROM ({source}) {as_}"
+    )
+
+
+_FAR = "{'c': 1000000000000::BIGINT, 'a': '', 't': []::VARCHAR[]}"
+_STAY = "CASE WHEN gone OR initial <> '{0}' THEN 1000000000000 ELSE more END"
+_TAKEN = {
+    "s0": (("s0", 2, "D", ""),),
+    "s1": (("s1", 2, "D", ""), ("s0", _STAY.format("s"), "K", "role || ':' || text")),
+    "s2": (
+        ("s2", 2, "D", ""),
+        *((s, _STAY.format("u"), "K", "role || ':' || text") for s in ("s0", "s1", "s3")),
+        *((s, "CASE WHEN gone THEN 1000000000000 ELSE 1 + more END", "R", "'user:' || text") for s in ("s0", "s1", "s3")),
+    ),
+    "s3": (
+        ("s3", 2, "D", ""), ("s2", _STAY.format("a"), "K", "role || ':' || text"),
+        ("s2", "CASE WHEN gone THEN 1000000000000 ELSE 1 + more END", "R", "'assistant:' || text"),
+    ),
+}
+#: Cheapest repairs, forward over rows, with audit and rows for each state of the pattern.
+OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM given WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos, left(role, 1) AS initial FROM damaged),
+judged AS (
+  SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS seen,
+         NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS cut, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS before
+  FROM placed),
+faulty AS (
+  SELECT conv_id, turn, role, text, pos, initial, before, blank, NOT blank AND seen AS duplicate, NOT blank AND NOT seen AND cut AS truncated,
+         blank OR seen AS gone, CASE WHEN NOT blank AND NOT seen AND cut THEN 5 ELSE 0 END AS more
+  FROM judged),
+paths(conv_id, pos, s0, s1, s2, s3) AS (
+  SELECT conv_id, 0::BIGINT, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}}, {_FAR}, {_FAR}, {_FAR} FROM (SELECT DISTINCT conv_id FROM faulty)
+  UNION ALL
+  SELECT conv_id, pos, {', '.join(_best(*_TAKEN[s]) for s in ('s0', 's1', 's2', 's3'))}
+  FROM ({_inserted(_inserted('SELECT p.s0, p.s1, p.s2, p.s3, f.* FROM paths p JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.pos = p.pos + 1', 'one'), 'two')}) g),
+finished AS (
+  SELECT conv_id, {_best(('s0', 0, '', ''), ('s3', 0, '', ''))} AS best
+  FROM ({_inserted(_inserted('SELECT * FROM paths p WHERE pos = (SELECT max(pos) FROM faulty f WHERE f.conv_id IS NOT DISTINCT FROM p.conv_id)', 'one'), 'two')}) g),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate,
+         count_if(truncated) AS truncated, count_if(before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN finished f ON f.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP13 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+terms AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS ws FROM documents),
+wanted AS (SELECT unnest({_TERMS}) AS w FROM benchmark),
+each AS (SELECT row, unnest(ws) AS w FROM terms),
+hashed AS (SELECT w, ({_crc32('w')} % 10000)::BIGINT AS bucket FROM (SELECT w FROM each UNION SELECT w FROM wanted), crc_table),
+corpus AS (SELECT bucket, count(*) AS s FROM each JOIN hashed USING (w) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM wanted JOIN hashed USING (w) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM each) + 10000) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM wanted) + 10000))))::BIGINT AS gain
+  FROM corpus LEFT JOIN target USING (bucket)),
+weights AS (SELECT row, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM each JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY row),
+scored AS (
+  SELECT row, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM terms LEFT JOIN weights USING (row)),
+drawn AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE n_features >= 20
+  QUALIFY rank <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100)
+SELECT doc_id, n_features, weight, score, rank::BIGINT AS rank FROM scored LEFT JOIN drawn USING (row)
+"""
+
 ORACLE = {
     "op1_url_filters": OP1,
     "op2_secret_scans": OP2,
@@ -223,4 +330,6 @@ ORACLE = {
     "op4_line_dedup": OP4,
     "op6_ngram_jaccard": OP6,
     "op10_substring_dedup": OP10,
+    "op12_conversation_repair": OP12,
+    "op13_importance_resampling": OP13,
 }
