@@ -216,6 +216,17 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM words LEFT JOIN (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+#: The main text where an article element holds it, as in the test tables; statistics of sites aren't in it.
+_DECODED = """replace(replace(replace(replace(b, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', '''')"""
+OP11 = f"""
+WITH parts AS (
+  SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '</?(?:h1|p)>') AS bs FROM pages),
+plain AS (SELECT *, list_transform(bs, lambda b: regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g')) AS ts FROM parts),
+decoded AS (SELECT *, list_transform(ts, lambda b: trim(regexp_replace(regexp_replace({_DECODED}, '&amp;?', '&', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS ds FROM plain),
+joined AS (SELECT page_id, url, coalesce(array_to_string(list_filter(ds, lambda b: b <> ''), chr(10) || chr(10)), '') AS text FROM decoded)
+SELECT page_id, url, text, length(text) AS n_chars FROM joined
+"""
+
 #: CRC-32 of a text column, by its table: steps gives the table, then bytes are folded in.
 _CRC_TABLE = """steps(b, k, c) AS (
   SELECT b, 0, b::UBIGINT FROM range(256) r(b)
@@ -330,6 +341,7 @@ ORACLE = {
     "op4_line_dedup": OP4,
     "op6_ngram_jaccard": OP6,
     "op10_substring_dedup": OP10,
+    "op11_html_extraction": OP11,
     "op12_conversation_repair": OP12,
     "op13_importance_resampling": OP13,
 }
