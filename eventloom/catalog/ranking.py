@@ -171,15 +171,6 @@ SELECT d.doc_id, coalesce(min(r.b), d.doc_id) AS component FROM documents d LEFT
 """
 
 
-def constrained_cluster(spark, sf_dir):
-    """Documents linked by a shared opening, not across languages: greedy clusters under conflicts."""
-    d = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.substring(F.col("text"), 1, 40).alias("k"))
-    edges = resolve.star_edges(d, "k", "doc_id").withColumn("priority", F.lit(1))
-    pairs = resolve.block_pairs(d, ["k", "source"], "doc_id", ["lang"])
-    conflicts = pairs.select(F.col("doc_id").alias("a"), F.col("doc_id2").alias("b"))
-    return resolve.constrained_clusters(edges, conflicts, d, "doc_id", cut)
-
-
 def knowledge_star(spark, sf_dir):
     """Star projection: orders, lines, distinct parts and suppliers of every nation, and key conflicts."""
     n, s, line = load(spark, sf_dir, "nation"), load(spark, sf_dir, "supplier"), load(spark, sf_dir, "lineitem")
@@ -304,7 +295,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         first_per_key, category_coverage, interleave_orders, cheapest, soonest, fair_round_robin, offer_summary, merge_sessions, block_pairs,
-        grid_join, subset_extension, connected_families, constrained_cluster, knowledge_star, graph_edges, catalog_status, coverage_by_source,
+        grid_join, subset_extension, connected_families, knowledge_star, graph_edges, catalog_status, coverage_by_source,
         eval_precision_recall, latency_percentiles, anchor_multiplicity, tag_support,
     )
 }

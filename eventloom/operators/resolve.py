@@ -1,15 +1,12 @@
-"""Entity resolution: blocks, candidate edges, guarded clusters, representatives.
+"""Entity resolution: blocks, candidate edges, components, representatives.
 
-Candidates come from equi-joins on block keys.  Clusters are built in two steps: connected components of
-the unconstrained candidate edges, then, only for components that hold a conflict, a greedy pass in
-priority order within the component, which no step of the greedy process can leave.
+Candidates come from equi-joins on block keys; clusters under conflicts are in ``clusters``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,46 +76,6 @@ def components(edges: DataFrame, nodes: DataFrame, id_col: str, checkpoint, max_
     raise RuntimeError("components did not settle")
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Edges of one component in priority order: two clusters are joined unless a pair of them conflicts."""
-    edges = pdf[pdf["kind"] == "edge"].sort_values(["priority", "a", "b"])
-    bad = pdf[pdf["kind"] == "conflict"]
-    nodes = pd.unique(pdf[["a", "b"]].values.ravel())
-    cluster = {n: n for n in nodes}
-    members = {n: {n} for n in nodes}
-    conflicts: dict = {n: set() for n in nodes}
-    for a, b in zip(bad["a"], bad["b"]):
-        conflicts[a].add(b)
-        conflicts[b].add(a)
-    for a, b in zip(edges["a"], edges["b"]):
-        x, y = cluster[a], cluster[b]
-        if x == y:
-            continue
-        small, large = (x, y) if len(members[x]) < len(members[y]) else (y, x)
-        if any(conflicts[m] & members[large] for m in members[small]):
-            continue
-        keep, gone = min(x, y), max(x, y)
-        for m in members[gone]:
-            cluster[m] = keep
-        members[keep] |= members.pop(gone)
-    return pd.DataFrame({"id": list(nodes), "cluster": [min(members[cluster[n]]) for n in nodes]})
-
-
-def constrained_clusters(edges: DataFrame, conflicts: DataFrame, nodes: DataFrame, id_col: str, checkpoint) -> DataFrame:
-    """(id, cluster) for edges (a, b, priority) under conflicts (a, b).
-
-    Components without a conflict are clusters as they are; the others go through the greedy pass, a
-    component to a task.  Candidate edges come from narrow blocks, so a component is one entity's family."""
-    comp = checkpoint(components(edges, nodes, id_col, checkpoint))
-    of = lambda df: df.join(comp.select(F.col(id_col).alias("a"), "component"), "a").join(comp.select(F.col(id_col).alias("b"), F.col("component").alias("c2")), "b").where("component = c2")
-    inside = checkpoint(of(conflicts).select("component", "a", "b", F.lit(0).alias("priority"), F.lit("conflict").alias("kind")))
-    hard = inside.select("component").distinct()
-    work = of(edges).join(hard, "component", "left_semi").select("component", "a", "b", "priority", F.lit("edge").alias("kind")).unionByName(inside)
-    greedy = work.groupBy("component").applyInPandas(_greedy, "id long, cluster long").withColumnRenamed("id", id_col)
-    easy = comp.join(hard, "component", "left_anti").select(id_col, F.col("component").alias("cluster"))
-    return easy.unionByName(greedy)
-
-
 def agreement(value: Column, fallback) -> Column:
     """Aggregate: the one distinct value of a group, else the fallback."""
     return F.when(F.min(value) == F.max(value), F.min(value)).otherwise(fallback)

@@ -181,15 +181,6 @@ def test_joins(spark):
     assert sorted(r.k for r in joins.insert_once(target, spark.createDataFrame([(1, "new"), (2, "n"), (2, "n")], "k int, v string"), "k").collect()) == [1, 2]
 
 
-def test_constrained_clusters(spark):
-    """A chain a-b-c whose ends conflict: the earlier edge wins; components without conflict stay whole."""
-    edges = spark.createDataFrame([(1, 2, 0), (2, 3, 1), (10, 11, 0), (11, 12, 0)], "a long, b long, priority int")
-    conflicts = spark.createDataFrame([(1, 3), (10, 99)], "a long, b long")
-    nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 10, 11, 12, 20)], "id long")
-    got = {r.id: r.cluster for r in resolve.constrained_clusters(edges, conflicts, nodes, "id", cut).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 10: 10, 11: 10, 12: 10, 20: 20}
-
-
 def test_grid_pairs_equal_brute_force(spark):
     rng = random.Random(4)
     points = [(i, 40.9 + rng.random() * 0.2, 28.9 + rng.random() * 0.2) for i in range(120)]
