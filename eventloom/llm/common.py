@@ -27,8 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROWS_PER_FILE = 50_000
 
 
-def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` to a scratch table and read it back: the cut in the lineage is durable.
+    compression: the codec, where the session's own isn't to be used (zstd for whole texts).
 
     rows is a bound on its number of rows where one is known from a table that it comes from.  Then it
     gets a file for each ROWS_PER_FILE of them at most, so that a small table isn't written by as many
@@ -37,7 +38,7 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

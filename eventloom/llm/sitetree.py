@@ -14,7 +14,8 @@ page with such a landmark only that counts.  Statistics decide about all else: e
 without a landmark, and those inside one that carry a class, an id or a role.
 
 Pages are parsed once, each by itself; statistics are distinct narrow rows (host, node, text hash, page)
-combined by aggregation, so a host may hold any share of the pages.
+combined by aggregation, so a host may hold any share of the pages.  Texts cross the network only for pages
+that statistics have to decide about.
 """
 
 from __future__ import annotations
@@ -240,7 +241,7 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "host", "unit", *lists])
 
     schema = f"page_id {kind}, url string, host string, unit long, texts array<string>, places array<long>, open array<boolean>, nodes array<long>, features array<long>, styles array<boolean>, chains array<array<long>>, held array<long>"
-    return materialize(in_batches(own, emit, schema).withColumn("row", F.monotonically_increasing_id()), "parsed")
+    return materialize(in_batches(own, emit, schema).withColumn("row", F.monotonically_increasing_id()), "parsed", compression="zstd")
 
 
 def site_tree(parsed: DataFrame) -> DataFrame:
@@ -286,9 +287,12 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: f
     low = tree.where((F.col("pages") >= min_pages) & (F.col("importance") < min_importance)).select("host", "node").join(held, ["host", "node"], "left_anti")
     chains = parsed.where("host != ''").select("host", F.explode("chains").alias("chain")).distinct()
     gone = chains.select("host", F.element_at("chain", -1).alias("place"), F.explode("chain").alias("node")).join(low, ["host", "node"], "left_semi").select("host", "place").distinct()
-    asked = parsed.where("exists(open, x -> x)").select("row", "host", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("places", "open"), lambda b: b.open), lambda b: b.places))).alias("place"))
-    cuts = asked.join(gone, ["host", "place"]).groupBy("row").agg(F.collect_set("place").alias("cut"))
-    judged = parsed.select("row", "page_id", "url", "texts", "places", "open").join(cuts, "row", "left")
+    # only pages with places that statistics decide about are joined with the decisions
+    asked = parsed.where("exists(open, x -> x)").select("row", "page_id", "url", "host", "texts", "places", "open")
+    doubted = F.array_distinct(F.transform(F.filter(F.arrays_zip("places", "open"), lambda b: b.open), lambda b: b.places))
+    cuts = asked.select("row", "host", F.explode(doubted).alias("place")).join(gone, ["host", "place"]).groupBy("row").agg(F.collect_set("place").alias("cut"))
     stays = F.filter(F.arrays_zip("texts", "places", "open"), lambda b: ~(b.open & F.array_contains(F.coalesce("cut", F.array().cast("array<bigint>")), b.places)))
     kept = F.transform(stays, lambda b: b.texts)
-    return judged.select("page_id", "url", F.array_join(F.when(F.size(kept) > 0, kept).otherwise(F.col("texts")), "\n\n").alias("text"))
+    judged = asked.join(cuts, "row", "left").select("page_id", "url", F.when(F.size(kept) > 0, kept).otherwise(F.col("texts")).alias("texts"))
+    settled = parsed.where("NOT exists(open, x -> x)").select("page_id", "url", "texts")
+    return settled.unionByName(judged).select("page_id", "url", F.array_join("texts", "\n\n").alias("text"))
