@@ -81,7 +81,7 @@ _KEEP = {
     "access": "length(hit) >= 20",
     "hex": "true",
     "ident": "true",
-    "value": "length(hit) <= 128 AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[0-9]')",
+    "value": "regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[0-9]')",
     "endpoint": "true",
 }
 

@@ -43,7 +43,6 @@ WEAK = {
     "endpoint": (r"(?i:https?|s3|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftp)://[^\s\"'<>]+|(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?", 0, 0),
 }
 HOLDS = {"value": ("[A-Z]", "[a-z]", "[0-9]")}
-MAX_VALUE = 128
 KINDS = [*BASE, *WEAK]
 #: What the weak parts need: which kinds are identifiers and which secret values.
 IDENTIFIERS, VALUES = ("access", "ident"), ("assign", "hex", "value")
@@ -57,7 +56,7 @@ def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
     def one(x, i):
         keep = F.length(F.regexp_extract(x["hit"], pattern, group)) >= least if group else F.length(x["hit"]) >= least
         if kind in HOLDS:
-            keep = reduce(and_, (x["hit"].rlike(p) for p in HOLDS[kind]), F.length(x["hit"]) <= MAX_VALUE)
+            keep = reduce(and_, (x["hit"].rlike(p) for p in HOLDS[kind]))
         return F.struct(F.lit(KINDS.index(kind)).alias("rank"), i.alias("at"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("size"), keep.alias("keep"))
 
     # the text after the last match has no match
