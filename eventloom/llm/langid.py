@@ -17,6 +17,8 @@ those with the least hash of doc_id, whole texts; the model is a table of fixed
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +39,8 @@ WORD_BOUND = 6.0
 SMOOTH = 0.5
 #: A language is a candidate for a script if so large a share of its words show it.
 MIN_SCRIPT_SHARE = 1e-4
-#: First code point of each script range, and its name; "" is no letter.  Fixed values of Unicode.
+#: First code point of each script range, and its name; letters of a range without a name are of another
+#: script.  What is a letter is told by its Unicode category.  Fixed values of Unicode.
 SCRIPTS = [
     (0x0000, ""), (0x0041, "latin"), (0x005B, ""), (0x0061, "latin"), (0x007B, ""), (0x00AA, "latin"), (0x00AB, ""),
     (0x00B5, "latin"), (0x00B6, ""), (0x00BA, "latin"), (0x00BB, ""), (0x00C0, "latin"), (0x00D7, ""), (0x00D8, "latin"),
@@ -49,9 +52,16 @@ SCRIPTS = [
     (0xFF41, "latin"), (0xFF5B, ""), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, ""), (0x20000, "han"), (0x30000, ""),
 ]
 NAMES = sorted({name for _, name in SCRIPTS})
-_FIRST = np.array([at for at, _ in SCRIPTS])
-_SCRIPT = np.array([NAMES.index(name) for _, name in SCRIPTS])
-_ASCII = _SCRIPT[np.searchsorted(_FIRST, np.arange(128), "right") - 1]
+
+
+def _letters() -> np.ndarray:
+    """Script of every code point, "" where it isn't a letter (categories L*)."""
+    every = np.arange(sys.maxunicode + 1)
+    script = np.array([NAMES.index(name or "other") for _, name in SCRIPTS], np.int8)[np.searchsorted([at for at, _ in SCRIPTS], every, "right") - 1]
+    return np.where(np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in every), bool, len(every)), script, np.int8(NAMES.index("")))
+
+
+_KIND = _letters()
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 
 
@@ -91,7 +101,7 @@ def _scripts(raw: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.
     """Script and number of letters of each word, from the words' bytes."""
     lead = (raw & 0xC0) != 0x80
     text = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    kind = _SCRIPT[np.searchsorted(_FIRST, text, "right") - 1] if len(text) and text.max() > 127 else _ASCII[text]
+    kind = _KIND[text].astype(np.int64)
     keep = kind != NAMES.index("")
     counts = np.bincount(word[lead][keep] * len(NAMES) + kind[keep], minlength=n * len(NAMES)).reshape(-1, len(NAMES))
     letters = counts.sum(1)
