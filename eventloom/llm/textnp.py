@@ -3,18 +3,25 @@
 The functions here work on the UTF-8 bytes of a slice of an Arrow batch: no Python object is made
 for a word.  Texts are taken in slices of about ``SLICE`` bytes (a longer text is a slice of its
 own), so the memory of a task is bounded by the slice and the longest single text.
+
+Words are told apart by 64-bit hashes: two different words are taken as equal with a chance of 2**-64
+for each pair, whatever is built on them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 1 << 19
+#: Words of more bytes are hashed as a whole: sums modulo 2**64 can't tell some long words apart that repeat
+#: two letters in the Thue-Morse order (from 1024 bytes on).
+LONG_WORD = 256
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
@@ -130,5 +137,8 @@ def words_of(column: pa.Array, lower: bool = False, terms: bool = False) -> Iter
         begins[edge] = True
         ends[edge] = True
         start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-        values = _BYTE[LOWER[data] if lower else data]
-        yield Words(lo, hi, data, at, start, end, span_hashes(values, _BASE, start, end), np.searchsorted(start, at))
+        folded = LOWER[data] if lower else data
+        hashes = span_hashes(_BYTE[folded], _BASE, start, end)
+        for k in np.flatnonzero(end - start > LONG_WORD):
+            hashes[k] = int.from_bytes(blake2b(folded[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+        yield Words(lo, hi, data, at, start, end, hashes, np.searchsorted(start, at))
