@@ -12,12 +12,13 @@ are embedded from every stride-th term on, items from each of their terms, both
 
 Bit sampling hashes the terms emitted at a few random steps, and windows that agree there are
 candidates.  Each repetition samples within a random depth of the walk, uniform by its logarithm from the
-least depth to the whole window: after many edits walks rarely stay aligned to the end of an item, so
-shallow samples find what is edited densely, and deep ones tell long windows apart.  The number of
-repetitions is what reaches the target recall in each of four measurements of a class: its shortest items
-and all of them, with the edit limit used up at random and evenly spread places.  If ``MAX_REPEATS`` isn't
-enough, a warning says which recall was reached.  Candidates are verified by the exact edit distance to
-the best stretch.  Items of fewer than five terms have no edits to spare and are matched exactly.
+class's least depth to twice the window, which is what a walk takes to its end: after many edits walks
+rarely stay aligned to the end of an item, so shallow samples find what is edited densely, and deep ones
+tell long windows apart.  The number of repetitions is what reaches the target recall in each of four
+measurements of a class: its shortest items and all of them, with the edit limit used up at random and
+evenly spread places.  If ``MAX_REPEATS`` isn't enough, a warning says which recall was reached.
+Candidates are taken in parts of about ``PART`` and verified by the exact edit distance to the best
+stretch.  Items of three and four terms have no edits to spare and are matched exactly.
 
 The benchmark is taken in blocks of about ``BLOCK_CHARS`` characters, whose index is of bounded size and
 goes to every task; documents are only scanned, never shuffled or gathered.
@@ -43,7 +44,9 @@ MIN_TERMS, SHORT = 3, 5
 #: classes double the first two.
 CLASSES = ((5, 1, 3, 5), (10, 2, 4, 9), (20, 3, 5, 13), (40, 5, 5, 16))
 BANDS = 2
-TARGET_RECALL, MAX_REPEATS, TRIALS = 0.99, 48, 120
+TARGET_RECALL, MAX_REPEATS, TRIALS = 0.99, 128, 240
+#: Candidates that are held at once.
+PART = 1 << 19
 TABLE_BITS = 1 << 20
 #: Bits of the filter on which terms an item has (512 KB); more terms only make it weaker.
 MEMBER_BITS = 1 << 22
@@ -82,8 +85,8 @@ def _class_of(m: int) -> int:
 def _bands(c: int, repeat: int) -> tuple[int, list[list[int]]]:
     """Depth of a repetition, and the steps that each band samples: one in each part of the depth."""
     rng = np.random.Generator(np.random.PCG64([20240613, c, repeat]))
-    _, _, samples, low = _class(c)
-    depth = int(low * 1.5 ** rng.random())
+    window, _, samples, low = _class(c)
+    depth = int(low * (2 * window / low) ** rng.random())
     cuts = np.linspace(0, depth, samples + 1).astype(int)
     return depth, [[int(rng.integers(a, b)) for a, b in zip(cuts[:-1], cuts[1:])] for _ in range(BANDS)]
 
@@ -190,16 +193,18 @@ class ItemIndex:
                 found[a[np.isin(x, y), 2]] = True
             reached = found.reshape(-1, 4).mean(0).min()
             if reached >= recall:
-                return r + 1
+                return r + 2  # one more, since the first to reach it was picked by a measurement
         warnings.warn(f"{MAX_REPEATS} repetitions find {reached:.3f} of edited items of {least} terms or more, not {recall}", RuntimeWarning, stacklevel=2)
         return MAX_REPEATS
 
 
-def _candidates(index: ItemIndex, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Distinct (text, item, place) whose windows share a key; place is where the item would start."""
-    out: list[np.ndarray] = []
+def _candidates(index: ItemIndex, h: np.ndarray, bounds: np.ndarray):
+    """Parts of distinct (text, item, place) whose windows share a key; place is where the item would start.
+
+    What keys have in common is counted first and then written out by ranges of the text, about PART candidates
+    at a time, however many items share an opening and however often it stands in a text."""
     if not len(h):
-        return np.zeros((0, 3), np.int64)
+        return
     counts = np.diff(bounds)
     within = np.arange(len(h)) - np.repeat(bounds[:-1], counts)
     text, end = np.repeat(np.arange(len(counts)), counts), np.repeat(bounds[1:], counts)
@@ -209,20 +214,35 @@ def _candidates(index: ItemIndex, h: np.ndarray, bounds: np.ndarray) -> np.ndarr
             at = np.flatnonzero(whole & (h == t[0]))
             for k in range(1, m):
                 at = at[h[at + k] == t[k]]
-            out.append(np.column_stack([text[at], np.full(len(at), q), within[at]]))
+            if len(at):
+                yield np.column_stack([text[at], np.full(len(at), q), within[at]])
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray, tuple]] = []
+    per_start = np.zeros(len(h), np.int64)
     for c, repeats in index.repeats.items():
         start = np.flatnonzero(within % _class(c)[1] == 0)
         ends = end[start]
         for r in range(repeats):
             for k, key in enumerate(_keys(h, start, ends, c, r)):
-                keys, item, offset, bits = index.keys[c, r, k]
+                keys, _, _, bits = index.keys[c, r, k]
                 hit = np.flatnonzero((bits[(key & np.uint64(TABLE_BITS - 1)).astype(np.int64) >> 3] >> (key & np.uint64(7)).astype(np.uint8)) & 1)
                 lo, hi = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
-                n = hi - lo
-                pick = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                s = np.repeat(start[hit], n)
-                out.append(np.column_stack([text[s], item[pick], s - offset[pick] - bounds[text[s]]]))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+                some = hi > lo
+                hits.append((start[hit][some], lo[some], (hi - lo)[some], (c, r, k)))
+                per_start[hits[-1][0]] += hits[-1][2]
+    total = np.cumsum(per_start)
+    a = 0
+    while a < len(h) and (total[-1] > (total[a - 1] if a else 0)):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PART, "right")))
+        out = []
+        for s, lo, n, at in hits:
+            x, y = np.searchsorted(s, [a, b])
+            s, lo, n = s[x:y], lo[x:y], n[x:y]
+            pick = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            s = np.repeat(s, n)
+            _, item, offset, _ = index.keys[at]
+            out.append(np.column_stack([text[s], item[pick], s - offset[pick] - bounds[text[s]]]))
+        yield np.unique(np.concatenate(out), axis=0)
+        a = b
 
 
 def _best_stretch(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
@@ -274,8 +294,7 @@ def _likely(index: ItemIndex, h: np.ndarray, bounds: np.ndarray, found: np.ndarr
 def _matches(index: ItemIndex, h: np.ndarray, bounds: np.ndarray):
     """(text, item, first term, end term, edits): the best verified stretch of each text and item."""
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    found = _candidates(index, h, bounds)
-    for d, q, place in _likely(index, h, bounds, found).tolist() if len(found) else []:
+    for d, q, place in (row for found in _candidates(index, h, bounds) for row in _likely(index, h, bounds, found).tolist()):
         item, limit = index.terms[q], index.limit(q)
         have = best.get((d, q))
         if have and have[0] == 0:
@@ -306,8 +325,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: int = 20, recal
     """(doc_id, item_id, first_term, end_term, edits): each benchmark item found in each document, by
     its best stretch of terms; max_edits is the limit in percent of the item's terms.
 
-    Null and empty texts, and items of fewer than MIN_TERMS terms, match nothing.  Items with equal texts are all reported.  Repeated documents give equal rows.
-    A null item_id or doc_id is kept as such.  Other columns are ignored.
+    Null and empty texts, and items of fewer than MIN_TERMS terms, match nothing.  Items with equal texts are
+    all reported.  Repeated documents give equal rows.  A null item_id or doc_id is kept as such.  Other columns are ignored.
     """
     schema = "doc_id long, item_id long, first_term int, end_term int, edits int"
     out = None
