@@ -176,7 +176,7 @@ def brute_spans(text):
     for kind in ("ident", "endpoint", "value"):
         rank, hits = secrets.KINDS.index(kind), [m for m in re.finditer(secrets.WEAK[kind][0], text)]
         if kind == "value":
-            hits = [m for m in hits if len(m[0]) <= secrets.MAX_VALUE and all(re.search(p, m[0]) for p in secrets.HOLDS["value"])]
+            hits = [m for m in hits if all(re.search(p, m[0]) for p in secrets.HOLDS["value"])]
         new = [(m.start(), rank, m.end(), kind) for m in hits if not over((m.start(), rank, m.end()), have)]
         have, weak = have + new, weak + new
     near = lambda a, kinds: any(b[3] in kinds and b[0] <= a[2] + secrets.REACH and b[2] >= a[0] - secrets.REACH for b in have)
@@ -669,3 +669,54 @@ def test_substrings_of_ids_with_several_texts(spark, monkeypatch, bits):
 def test_held_out_rule_is_crc32(spark):
     row = spark.sql("SELECT crc32(encode('123', 'UTF-8')) AS c").first()
     assert row.c == zlib.crc32(b"123")
+
+
+# faults of earlier forms -------------------------------------------------------------------------
+
+
+def test_letters_are_told_by_category(spark):
+    """Letters of any script make a text one with letters; digits, marks and signs of a script don't."""
+    model = langid.fit_languages(docs_of(spark, ["the cat sat " * 9, "le chat est " * 9], langs=["en", "fr"]))
+    some = ["𞤀𞤁", "𐌰𐌱", "𝐀𝐁", "ℝ", "ʼ", "ª", "中"]
+    none = ["٣٤", "३४", "๓", "،", "־", "12", "€", "", None, "्"]
+    got = [r.lang_pred for r in langid.predict_languages(docs_of(spark, [*some, *none]), model).orderBy("doc_id").collect()]
+    assert all(g in ("en", "fr") for g in got[: len(some)]) and got[len(some) :] == ["und"] * len(none)
+
+
+def test_long_values_are_linked(spark):
+    text = "user=abcdef " + "Ab1" * 200
+    found = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s.kind, s.start, s.end) for s in found.spans] == [("ident", 0, 11), ("value", 12, 612)]
+
+
+def test_long_words_are_told_apart():
+    import pyarrow as pa
+
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    (w,) = textnp.words_of(pa.array([f"{word} {other} {word} {word[:200]}"]))
+    assert w.hashes[0] != w.hashes[1] and w.hashes[0] == w.hashes[2]
+
+
+def test_items_with_one_opening(monkeypatch):
+    """Items that share their first terms and a text that repeats the opening: candidates come in bounded parts."""
+    rng = random.Random(6)
+    opening = [f"o{k}" for k in range(12)]
+    items = [" ".join(opening + [f"i{rng.randrange(10**6)}" for _ in range(28)]) for _ in range(200)]
+    text = " ".join(" ".join(opening + [f"t{rng.randrange(10**6)}" for _ in range(28)]) for _ in range(120)) + " " + items[7]
+    index = decontaminate.ItemIndex(np.arange(len(items)), decontaminate.item_terms(items), 20).build(0.95)
+    (terms,) = decontaminate.item_terms([text])
+    bounds = np.array([0, len(terms)])
+    whole = decontaminate._matches(index, terms, bounds)
+    monkeypatch.setattr(decontaminate, "PART", 4000)
+    parts = [len(p) for p in decontaminate._candidates(index, terms, bounds)]
+    assert len(parts) > 3 and max(parts) < 4000 + 200 * 60
+    assert decontaminate._matches(index, terms, bounds) == whole and [m[1] for m in whole] == [7]
+
+
+def test_walks_reach_the_end_of_their_windows():
+    for c in range(6):
+        depths = [decontaminate._bands(c, r)[0] for r in range(200)]
+        assert max(depths) > 1.6 * decontaminate._class(c)[0]
