@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,19 +54,34 @@ MEMBER_BITS = 1 << 22
 _PAD = np.uint64(0x6A09E667F3BCC909)
 
 
-def _walk(h: np.ndarray, start: np.ndarray, end: np.ndarray, wanted: set[int], seed: int) -> dict[int, np.ndarray]:
-    """Terms emitted at the wanted steps by the walks from ``start``; a pad from ``end`` on."""
-    out, at = {}, start.copy()
-    last = len(h) - 1
-    bits = None
-    for j in range(max(wanted) + 1):
-        if j % 32 == 0:
-            bits = (mix(h ^ np.uint64(seed * 1000003 + j)) >> np.uint64(16)).astype(np.uint32)
-        here = np.minimum(at, last)
-        if j in wanted:
-            out[j] = np.where(at < end, h[here], _PAD)
-        at = at + ((bits[here] >> np.uint32(j % 32)) & np.uint32(1))
-    return out
+class _Walks:
+    """Walks over a sequence of terms.  The bits that move them on are drawn once for all size classes."""
+
+    def __init__(self, h: np.ndarray):
+        self.h = h
+        self.drawn: dict[tuple[int, int], np.ndarray] = {}
+
+    def bits(self, seed: int, block: int) -> np.ndarray:
+        """32 steps' bits for every term, and for a place behind them, where a walk stays."""
+        if (seed, block) not in self.drawn:
+            bits = np.zeros(len(self.h) + 1, np.uint32)
+            bits[:-1] = mix(self.h ^ np.uint64(seed * 1000003 + 32 * block)) >> np.uint64(16)
+            self.drawn[seed, block] = bits
+        return self.drawn[seed, block]
+
+    def emitted(self, start: np.ndarray, end: np.ndarray, wanted: set[int], seed: int) -> dict[int, np.ndarray]:
+        """Terms emitted at the wanted steps by the walks from ``start``; a pad from ``end`` on."""
+        out, at, move = {}, start.astype(np.uint32), np.empty(len(start), np.uint32)
+        for j in range(max(wanted) + 1):
+            if j % 32 == 0:
+                bits = self.bits(seed, j // 32)
+            if j in wanted:
+                out[j] = np.where(at < end, np.take(self.h, at, mode="clip"), _PAD)
+            np.take(bits, at, out=move, mode="clip")
+            np.right_shift(move, np.uint32(j % 32), out=move)
+            np.bitwise_and(move, np.uint32(1), out=move)
+            np.add(at, move, out=at)
+        return out
 
 
 def _class(c: int) -> tuple[int, int, int, int]:
@@ -82,6 +98,7 @@ def _class_of(m: int) -> int:
     return known if known < last else last + (m // CLASSES[last][0]).bit_length() - 1
 
 
+@lru_cache(4096)
 def _bands(c: int, repeat: int) -> tuple[int, list[list[int]]]:
     """Depth of a repetition, and the steps that each band samples: one in each part of the depth."""
     rng = np.random.Generator(np.random.PCG64([20240613, c, repeat]))
@@ -91,11 +108,11 @@ def _bands(c: int, repeat: int) -> tuple[int, list[list[int]]]:
     return depth, [[int(rng.integers(a, b)) for a, b in zip(cuts[:-1], cuts[1:])] for _ in range(BANDS)]
 
 
-def _keys(h: np.ndarray, start: np.ndarray, end: np.ndarray, c: int, repeat: int) -> list[np.ndarray]:
+def _keys(walks: _Walks, start: np.ndarray, end: np.ndarray, c: int, repeat: int) -> list[np.ndarray]:
     """Key of each window in each band of one repetition."""
     _, bands = _bands(c, repeat)
     end = np.minimum(end, start + _class(c)[0])
-    emitted = _walk(h, start, end, {j for b in bands for j in b}, repeat * 32 + c + 1)
+    emitted = walks.emitted(start, end, {j for b in bands for j in b}, repeat + 1)
     out = []
     for k, band in enumerate(bands):
         key = np.full(len(start), (repeat * BANDS + k) * 32 + c, np.uint64)
@@ -157,9 +174,10 @@ class ItemIndex:
             item = np.repeat(np.array(items, np.int32), size)
             offset = (np.arange(len(h)) - np.repeat(first, size)).astype(np.int32)
             end = np.repeat(first + size, size)
+            walks = _Walks(h)
             for r in range(self.repeats[c]):
                 at = np.flatnonzero(_room(offset, end - np.arange(len(h)) + offset, c, r))
-                for k, key in enumerate(_keys(h, at, end[at], c, r)):
+                for k, key in enumerate(_keys(walks, at, end[at], c, r)):
                     order = np.argsort(key, kind="stable")
                     bits = np.zeros(TABLE_BITS // 8, np.uint8)
                     np.bitwise_or.at(bits, (key & np.uint64(TABLE_BITS - 1)).astype(np.int64) >> 3, np.uint8(1) << (key & np.uint64(7)).astype(np.uint8))
@@ -185,10 +203,10 @@ class ItemIndex:
             parts += [e, t]
             at += len(e) + len(t)
         h, a, b = np.concatenate(parts), np.concatenate(starts), np.concatenate(owns)
-        found = np.zeros(4 * TRIALS, bool)
+        found, walks = np.zeros(4 * TRIALS, bool), _Walks(h)
         for r in range(MAX_REPEATS):
             some = b[_room(b[:, 3], b[:, 1] - b[:, 0] + b[:, 3], c, r)]
-            for x, y in zip(_keys(h, a[:, 0], a[:, 1], c, r), _keys(h, some[:, 0], some[:, 1], c, r)):
+            for x, y in zip(_keys(walks, a[:, 0], a[:, 1], c, r), _keys(walks, some[:, 0], some[:, 1], c, r)):
                 x, y = (mix(k ^ mix(t.astype(np.uint64))) for k, t in ((x, a[:, 2]), (y, some[:, 2])))
                 found[a[np.isin(x, y), 2]] = True
             reached = found.reshape(-1, 4).mean(0).min()
@@ -217,12 +235,12 @@ def _candidates(index: ItemIndex, h: np.ndarray, bounds: np.ndarray):
             if len(at):
                 yield np.column_stack([text[at], np.full(len(at), q), within[at]])
     hits: list[tuple[np.ndarray, np.ndarray, np.ndarray, tuple]] = []
-    per_start = np.zeros(len(h), np.int64)
+    per_start, walks = np.zeros(len(h), np.int64), _Walks(h)
     for c, repeats in index.repeats.items():
         start = np.flatnonzero(within % _class(c)[1] == 0)
         ends = end[start]
         for r in range(repeats):
-            for k, key in enumerate(_keys(h, start, ends, c, r)):
+            for k, key in enumerate(_keys(walks, start, ends, c, r)):
                 keys, _, _, bits = index.keys[c, r, k]
                 hit = np.flatnonzero((bits[(key & np.uint64(TABLE_BITS - 1)).astype(np.int64) >> 3] >> (key & np.uint64(7)).astype(np.uint8)) & 1)
                 lo, hi = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
