@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, location, numeric, spelling, text
 from ..operators import joins, ranking, resolve
+from ..operators.scans import scan
+from ..scratch import cut
 from .base import load, r6, sql_identity
 
 
@@ -173,7 +175,7 @@ def time_versions(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     marks = e.select("user_id", F.explode(F.array(F.struct((F.col("ts") - F.expr("INTERVAL 5 MINUTES")).alias("at"), F.lit(1).alias("d")), F.struct((F.col("ts") + F.expr("INTERVAL 72 HOURS")).alias("at"), F.lit(-1).alias("d")))).alias("m"))
     steps = marks.groupBy("user_id", F.col("m.at").alias("at")).agg(F.sum("m.d").alias("d"))
-    n = steps.withColumn("n", F.sum("d").over(Window.partitionBy("user_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    n = scan(steps, "user_id", ["at"], {"n": ("sum", F.col("d"))}, cut)
     pieces = ranking.version_intervals(n.where("d != 0"), "user_id", "at", ["n"], "n")
     return pieces.select("user_id", F.col("at").cast("string").alias("from"), F.col("end").cast("string").alias("to"), F.col("n").alias("fresh"))
 

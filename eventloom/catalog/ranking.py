@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from ..operators import ranking, resolve
+from ..operators import ranking, resolve, scans
 from ..scratch import cut
 from .base import load, r6, sql_identity
 
@@ -253,8 +253,8 @@ SELECT *, CASE WHEN said > 0 THEN round(tp / said, 6) END AS precision, CASE WHE
 
 def latency_percentiles(spark, sf_dir):
     """Nearest-rank percentiles of a measure by kind."""
-    e = load(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)))
+    found = scans.percentiles(load(spark, sf_dir, "events"), "event_type", "value", (0.5, 0.95, 0.99), cut)
+    return found.groupBy("event_type").agg(*(F.max(F.when(F.col("share") == p, F.col("value"))).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)))
 
 
 _PERCENTILES = "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1"

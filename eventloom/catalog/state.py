@@ -146,8 +146,7 @@ _RATE = "SELECT user_id, CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, count(
 def rolling_pacer(spark, sf_dir):
     """Requests of a user in the hour up to each one."""
     e = load(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("user_id").orderBy("t").rangeBetween(-3_600_000_000, 0)
-    return e.select("event_id", F.count("*").over(w).alias("in_hour"))
+    return revisions.rolling_counts(e.select("user_id", "event_id", "t"), "user_id", "t", "event_id", 3_600_000_000).withColumnRenamed("n", "in_hour")
 
 
 _PACER = "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS in_hour FROM events"

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+from . import scans
+from .scans import scan
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key by ascending columns, by aggregation: a hot key is combined per task.
@@ -62,18 +66,19 @@ def fair_round_robin(df: DataFrame, source: str, order: Sequence[Column], turns:
     return df.withColumn("turn", turn).where(F.col("turn") <= turns)
 
 
-def version_intervals(df: DataFrame, key: str, start: str, content: Sequence[str], tie: str) -> DataFrame:
+def version_intervals(df: DataFrame, key: str, start: str, content: Sequence[str], tie: str, checkpoint=cut) -> DataFrame:
     """[start, end) of each version of a key; a version that equals the one before is no new version."""
-    by = Window.partitionBy(key).orderBy(start, tie)
     digest = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in content)), 256)
-    changed = df.withColumn("_h", digest).withColumn("_p", F.lag("_h").over(by)).where("_p IS NULL OR _h != _p")
-    return changed.withColumn("end", F.lead(start).over(by)).drop("_h", "_p")
+    order = list(dict.fromkeys([start, tie]))
+    seen = scan(df.withColumn("_h", digest), key, order, {"_p": ("lag", F.col("_h"))}, checkpoint)
+    changed = seen.where("_p IS NULL OR _h != _p").drop("_h", "_p")
+    return scan(changed, key, order, {"end": ("lead", F.col(start))}, checkpoint)
 
 
-def as_of(versions: DataFrame, probes: DataFrame, key: str, start: str, end: str, at: str) -> DataFrame:
-    """Probes with the version that holds at their time: an equi-join on the key with a range condition."""
-    held = (F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
-    return probes.join(versions, key).where(held)
+def as_of(versions: DataFrame, probes: DataFrame, key: str, start: str, end: str, at: str, checkpoint=cut) -> DataFrame:
+    """Probes with the version that holds at their time; those without one are left out."""
+    found = scans.as_of(versions, probes, key, start, at, checkpoint)
+    return found.where(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(at) < F.col(end))))
 
 
 def latest_wins(df: DataFrame, keys: Sequence[str], clock: str, tie: str) -> DataFrame:

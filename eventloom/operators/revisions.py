@@ -1,54 +1,68 @@
 """Append-only observation logs: acceptance, heads, inheritance, budgets, publication checks.
 
 The acceptance rules are order-dependent per key, but each depends on the past only through running
-maxima and the last accepted value, so they are windows over the key's history, not loops.
+maxima and the last accepted value, so they are folds over a key's history (``scans.scan``), which spread a
+hot key over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+from .scans import scan
 
-def page_heads(df: DataFrame, key: str, clock: str, content: str, tie: str) -> DataFrame:
+
+def page_heads(df: DataFrame, key: str, clock: str, content: str, tie: str, checkpoint=cut) -> DataFrame:
     """Verdict of each observation in arrival order (tie): stale if its clock is older than the greatest
     so far, held if it is equal and the content differs from the first seen at that clock, same if it is
     equal with equal content, else accepted."""
-    past = Window.partitionBy(key).orderBy(tie).rowsBetween(Window.unboundedPreceding, -1)
-    top = F.max(clock).over(past)
-    first = F.first(content).over(Window.partitionBy(key, clock).orderBy(tie))
+    first = df.groupBy(F.col(key).alias("_k"), F.col(clock).alias("_c")).agg(F.min_by(content, tie).alias("_first"))
+    top = scan(df, key, [tie], {"_top": ("max_before", F.col(clock))}, checkpoint)
+    rows = top.join(first, F.col(key).eqNullSafe(F.col("_k")) & F.col(clock).eqNullSafe(F.col("_c")))
     verdict = (
-        F.when(top.isNull() | (F.col(clock) > top), "accepted")
-        .when(F.col(clock) < top, "stale")
-        .when(F.col(content) == first, "same")
+        F.when(F.col("_top").isNull() | (F.col(clock) > F.col("_top")), "accepted")
+        .when(F.col(clock) < F.col("_top"), "stale")
+        .when(F.col(content) == F.col("_first"), "same")
         .otherwise("held")
     )
-    return df.withColumn("verdict", verdict)
+    return rows.select(*df.columns, verdict.alias("verdict"))
 
 
-def inherit(df: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:
+def inherit(df: DataFrame, key: str, order: list[str], value: str, out: str, checkpoint=cut) -> DataFrame:
     """The last known value up to each row of its key."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+    return scan(df, key, order, {out: ("last", F.col(value))}, checkpoint)
 
 
-def gaps(df: DataFrame, key: str, clock: str, tie: str, longest: str) -> DataFrame:
+def gaps(df: DataFrame, key: str, clock: str, tie: str, longest: str, checkpoint=cut) -> DataFrame:
     """Per key: first, last, number and longest gap in seconds, and the number of gaps above a limit."""
-    previous = F.lag(clock).over(Window.partitionBy(key).orderBy(clock, tie))
-    seconds = F.unix_micros(F.col(clock).cast("timestamp")) / 1e6
-    step = df.withColumn("_gap", seconds - F.unix_micros(previous.cast("timestamp")) / 1e6)
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    step = scan(df, key, [clock, tie], {"_before": ("lag", F.col(clock))}, checkpoint).withColumn("_gap", seconds(clock) - seconds("_before"))
     return step.groupBy(key).agg(
         F.min(clock).alias("first"), F.max(clock).alias("last"), F.count("*").alias("n"), F.max("_gap").alias("longest"),
         F.count_if(F.col("_gap") > F.expr(longest)).alias("breaks"),
     )
 
 
-def sessions(df: DataFrame, key: str, clock: str, tie: str, seconds: float) -> DataFrame:
+def sessions(df: DataFrame, key: str, clock: str, tie: str, seconds: float, checkpoint=cut) -> DataFrame:
     """Rows with the number of their session: a new one after a gap of more than so many seconds."""
-    w = Window.partitionBy(key).orderBy(clock, tie)
-    at = F.unix_micros(F.col(clock).cast("timestamp"))
-    new = F.coalesce((at - F.lag(at).over(w) > seconds * 1e6).cast("int"), F.lit(0))
-    return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("_new")
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    step = scan(df, key, [clock, tie], {"_before": ("lag", F.col(clock))}, checkpoint)
+    new = F.coalesce((at(clock) - at("_before") > seconds * 1e6).cast("int"), F.lit(0))
+    numbered = scan(step.withColumn("_new", new), key, [clock, tie], {"_n": ("sum", F.col("_new"))}, checkpoint)
+    return numbered.withColumn("session", F.col("_n") + 1).drop("_before", "_new", "_n")
+
+
+def rolling_counts(df: DataFrame, key: str, at: str, row: str, width: int, checkpoint=cut) -> DataFrame:
+    """(row, n): rows of the key within ``width`` up to each row's time, both ends included.
+
+    A row counts what has come up to its time and what had come before the window; both are running counts at
+    a mark in one order of rows and marks."""
+    mark = lambda shift, kind, one: F.struct((F.col(at) + shift).alias("at"), F.lit(kind).alias("kind"), F.lit(one).alias("one"))
+    marks = df.select(key, F.col(row).alias("_row"), F.explode(F.array(mark(-width, 0, 0), mark(0, 1, 1), mark(0, 2, 0))).alias("m")).select(key, "_row", "m.*")
+    counted = scan(marks, key, ["at", "kind", "_row"], {"n": ("sum", F.col("one"))}, checkpoint).where("kind != 1")
+    return counted.groupBy("_row").agg((F.max("n") - F.min("n")).alias("n")).select(F.col("_row").alias(row), "n")
 
 
 def full_comparison(a: DataFrame, b: DataFrame, key: list[str], content: list[str]) -> DataFrame:

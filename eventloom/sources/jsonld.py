@@ -2,38 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_html
+from ..scratch import cut
 
 BLOCK = r"(?is)<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
-#: How deep arrays, @graph and subEvent are followed.
-DEPTH = 3
 
 
 def _get(path: str, kind: str, of: str = "v") -> Column:
     return F.expr(f"""try_variant_get({of}, '{path}', '{kind}')""")
 
 
-def _members(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Objects of a variant column v: array members, and what @graph and subEvent hold."""
-    own = df.select(*keep, F.explode(F.expr("coalesce(try_variant_get(v, '$', 'array<variant>'), array(v))")).alias("v"))
-    more = own.select(*keep, "v", F.expr("""concat(coalesce(try_variant_get(v, '$["@graph"]', 'array<variant>'), array()),
-        coalesce(try_variant_get(v, '$.subEvent', 'array<variant>'), array()))""").alias("inner"))
-    return more
+def _inner(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Members of arrays, and what @graph and subEvent of objects hold, of a variant column v."""
+    held = """CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN try_variant_get(v, '$', 'array<variant>') ELSE
+        concat(coalesce(try_variant_get(v, '$["@graph"]', 'array<variant>'), array_compact(array(try_variant_get(v, '$["@graph"]', 'variant')))),
+               coalesce(try_variant_get(v, '$.subEvent', 'array<variant>'), array_compact(array(try_variant_get(v, '$.subEvent', 'variant'))))) END"""
+    return df.select(*keep, F.explode(F.expr(held)).alias("v"))
+
 
+def jsonld_objects(pages: DataFrame, keep: list[str], html: str = "html", checkpoint: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """(keep..., v): every object in JSON-LD blocks, at any depth of arrays, @graph and subEvent.
 
-def jsonld_objects(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
-    """(keep..., v): every object in JSON-LD blocks.  Blocks that aren't JSON are left out."""
+    Each level is written (checkpoint) and read by the next, so the text of a page is parsed once and there are
+    as many rounds as levels.  Blocks that aren't JSON are left out."""
     blocks = pages.select(*keep, F.explode(F.regexp_extract_all(html, F.lit(BLOCK), 1)).alias("b"))
-    level = blocks.select(*keep, F.try_parse_json("b").alias("v")).where("v IS NOT NULL")
-    out = None
-    for _ in range(DEPTH):
-        found = _members(level, keep)
-        out = found.select(*keep, "v") if out is None else out.unionByName(found.select(*keep, "v"))
-        level = found.select(*keep, F.explode("inner").alias("v"))
-    return out
+    level = checkpoint(blocks.select(*keep, F.try_parse_json("b").alias("v")).where("v IS NOT NULL"))
+    found = [level]
+    while not level.isEmpty():
+        level = checkpoint(_inner(level, keep))
+        found.append(level)
+    out = found[0]
+    for deeper in found[1:]:
+        out = out.unionByName(deeper)
+    return out.where("schema_of_variant(v) LIKE 'OBJECT%'")
 
 
 def events(objects: DataFrame, keep: list[str]) -> DataFrame:
