@@ -109,6 +109,33 @@ SELECT word, entry, damerau_levenshtein(word, entry)::INT AS distance FROM b, w
 """
 
 
+def spelling_suggestions(spark, sf_dir):
+    """Words of conversations with the benchmark words that they may have been meant to be, by length, ending and alias."""
+    words = lambda df: df.select(F.explode(F.split(text.identity_text(F.col("text")), " ")).alias("w")).distinct()
+    lexicon = words(load(spark, sf_dir, "benchmark")).where("length(w) >= 4")
+    alias = F.when(F.startswith("w", F.lit("t")), F.array(F.concat("w", F.lit("lar")), F.reverse("w")))
+    lexicon = lexicon.select(F.col("w").alias("entry"), F.when(F.length("w") >= 8, "long").when(F.length("w") == 4, "companion").otherwise("short").alias("kind"), alias.alias("aliases"))
+    return spelling.suggestions(words(load(spark, sf_dir, "conversations")).select(F.col("w").alias("token")), lexicon)
+
+
+_ENDS = ", ".join(f"'{s}'" for s in spelling.SUFFIXES)
+#: Optimal string alignment by rows, for pairs that the library's distance leaves.
+_OSA = """list_reduce(list_prepend({'r': range(0, length(target) + 1), 'b': range(0, length(target) + 1), 'i': 0::BIGINT}, list_transform(range(1, length(form) + 1), lambda i: {'r': []::BIGINT[], 'b': []::BIGINT[], 'i': i})),
+  lambda acc, s: {'r': list_reduce(list_prepend([s.i], list_transform(range(1, length(target) + 1), lambda j: [j])), lambda d, jj: list_append(d, least(acc.r[jj[1] + 1] + 1, d[jj[1]] + 1, acc.r[jj[1]] + CASE WHEN form[s.i] = target[jj[1]] THEN 0 ELSE 1 END,
+    CASE WHEN s.i > 1 AND jj[1] > 1 AND form[s.i] = target[jj[1] - 1] AND form[s.i - 1] = target[jj[1]] THEN acc.b[jj[1] - 1] + 1 ELSE 99 END))), 'b': acc.r, 'i': s.i}).r[-1]"""
+_SUGGESTIONS = f"""
+WITH b AS (SELECT DISTINCT unnest(string_split({sql_identity('text')}, ' ')) AS entry FROM benchmark),
+l AS (SELECT entry, CASE WHEN length(entry) >= 8 THEN 'long' WHEN length(entry) = 4 THEN 'companion' ELSE 'short' END AS kind FROM b WHERE length(entry) >= 4),
+t AS (SELECT entry, kind, entry AS target FROM l UNION SELECT entry, kind, unnest([entry || 'lar', reverse(entry)]) FROM l WHERE starts_with(entry, 't')),
+e AS (SELECT *, CASE WHEN length(target) >= 8 THEN 2 WHEN length(target) >= 5 OR kind = 'companion' THEN 1 ELSE 0 END AS most FROM t),
+w AS (SELECT DISTINCT unnest(string_split({sql_identity('text')}, ' ')) AS token FROM conversations),
+f AS (SELECT token, token AS form FROM w UNION SELECT token, substr(token, 1, length(token) - length(s)) FROM w, (SELECT unnest([{_ENDS}]) AS s) WHERE ends_with(token, s) AND length(token) - length(s) >= 4),
+near AS (SELECT * FROM f, e WHERE abs(length(form) - length(target)) <= most AND form <> '' AND CASE WHEN most = 0 THEN form = target ELSE damerau_levenshtein(form, target) <= most END),
+met AS (SELECT DISTINCT token, entry, kind FROM near WHERE (form = target AND target <> entry) OR (form <> entry AND {_OSA} <= most))
+SELECT token, entry, kind FROM met WHERE NOT EXISTS (SELECT 1 FROM f JOIN l ON l.entry = f.form WHERE f.token = met.token AND l.kind = met.kind)
+"""
+
+
 def earliest_representative(spark, sf_dir):
     """Each recent line with the earliest line of its part."""
     line = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
@@ -299,14 +326,14 @@ FROM customer GROUP BY 1
 QUERIES = {
     f.__name__: f
     for f in (
-        tolerance_pairs, window_overlap, pending_work, null_safe_changes, coverage_check, insert_once, spelling_candidates, earliest_representative,
+        tolerance_pairs, window_overlap, pending_work, null_safe_changes, coverage_check, insert_once, spelling_candidates, spelling_suggestions, earliest_representative,
         stable_partition, tag_coverage, offer_selection, time_versions, pair_decisions, plan_kind_prf, contamination_audit, month_periods, money_values,
         url_parts, address_districts,
     )
 }
 ORACLE = {
     "tolerance_pairs": _TOLERANCE, "window_overlap": _OVERLAP, "pending_work": _PENDING, "null_safe_changes": _CHANGES, "coverage_check": _COVER, "insert_once": _INSERT,
-    "spelling_candidates": _SPELLING, "earliest_representative": _EARLIEST, "stable_partition": _PARTITION, "tag_coverage": _TAGS, "offer_selection": _SELECTION,
+    "spelling_candidates": _SPELLING, "spelling_suggestions": _SUGGESTIONS, "earliest_representative": _EARLIEST, "stable_partition": _PARTITION, "tag_coverage": _TAGS, "offer_selection": _SELECTION,
     "time_versions": _PIECES, "pair_decisions": _DECISIONS, "plan_kind_prf": _PRF, "contamination_audit": _AUDIT, "month_periods": _PERIODS, "money_values": _MONEY,
     "url_parts": _URL, "address_districts": _DISTRICTS,
 }

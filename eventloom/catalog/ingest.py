@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import location, timing
-from ..sources import ingest
+from ..sources import ingest, jsonld
 from .base import load, r6
 
 
@@ -115,8 +115,36 @@ _DOORS = """
 SELECT o_orderkey, lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':00' AS door, o_orderkey % 24 <> 21 AND (o_orderkey * 5 + 3) % 24 = o_orderkey % 24 AS conflict FROM orders
 """
 
-QUERIES = {f.__name__: f for f in (performances, session_reasons, import_outcomes, publication_gates, coverage_state, location_resolve, door_times)}
+def jsonld_events(spark, sf_dir):
+    """Orders as pages whose lines are nested events, each inside the one before: every event, however deep, as a checked listing."""
+    line = load(spark, sf_dir, "lineitem")
+    own = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
+    orders = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(own)).alias("lines"))
+    stock = lambda x: F.when(x["l_returnflag"] == "R", "SoldOut").otherwise("InStock")
+
+    def event(inner, x):
+        sub = F.when(inner == "", "").when(x["l_linenumber"] % 2 == 0, F.concat(F.lit(', "subEvent": '), inner)).otherwise(F.concat(F.lit(', "subEvent": [['), inner, F.lit("]]")))
+        return F.concat(
+            F.lit('{"@type": "MusicEvent", "name": "Part <b>'), x["l_partkey"], F.lit('</b>", "startDate": "'), x["day"], F.when(x["l_linenumber"] % 3 == 0, "T20:00:00").otherwise("T20:00:00+03:00"),
+            F.lit('", "location": {"name": "Hall '), x["l_suppkey"], F.lit('"}, "offers": {"price": '), F.round(x["l_extendedprice"], 2).cast("decimal(18,2)").cast("string"),
+            F.lit(', "priceCurrency": "TRY", "availability": "https://schema.org/'), stock(x), F.lit('"}'), sub, F.lit("}"),
+        )
+
+    html = F.concat(F.lit('<html><script type="application/ld+json">{"@graph": ['), F.aggregate(F.reverse("lines"), F.lit(""), event), F.lit("]}</script><script type='application/ld+json'>{broken</script></html>"))
+    objects = jsonld.jsonld_objects(orders.select("l_orderkey", html.alias("html")), ["l_orderkey"])
+    listed = jsonld.validate_listing(jsonld.events(objects, ["l_orderkey"]), F.expr("TIMESTAMP '1995-01-01 00:00:00'"))
+    return listed.select("l_orderkey", "title", "start_text", "venue", r6(F.col("price"), "price"), "availability", F.array_join("errors", ",").alias("errors"))
+
+
+_JSONLD = """
+WITH l AS (SELECT *, strftime(l_shipdate, '%Y-%m-%d') || CASE WHEN l_linenumber % 3 = 0 THEN 'T20:00:00' ELSE 'T20:00:00+03:00' END AS start_text FROM lineitem)
+SELECT l_orderkey, 'Part ' || l_partkey AS title, start_text, 'Hall ' || l_suppkey AS venue, CASE WHEN l_returnflag <> 'R' THEN round(round(l_extendedprice, 2), 6) END AS price,
+  CASE WHEN l_returnflag = 'R' THEN 'sold_out' ELSE 'available' END AS availability,
+  CASE WHEN l_linenumber % 3 = 0 THEN 'start_offset' WHEN l_shipdate::DATE + INTERVAL 17 HOUR < TIMESTAMP '1995-01-01' THEN 'past' ELSE '' END AS errors FROM l
+"""
+
+QUERIES = {f.__name__: f for f in (jsonld_events, performances, session_reasons, import_outcomes, publication_gates, coverage_state, location_resolve, door_times)}
 ORACLE = {
-    "performances": _PERFORMANCES, "session_reasons": _REASONS, "import_outcomes": _IMPORT, "publication_gates": _GATE, "coverage_state": _STATE,
+    "jsonld_events": _JSONLD, "performances": _PERFORMANCES, "session_reasons": _REASONS, "import_outcomes": _IMPORT, "publication_gates": _GATE, "coverage_state": _STATE,
     "location_resolve": _PLACE, "door_times": _DOORS,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import numeric, text
+from ..functions import numeric, spelling, text
 from ..operators import ranking, resolve, scans
 from ..scratch import cut
 from .base import load, r6, sql_identity
@@ -114,8 +114,7 @@ FROM lineitem GROUP BY 1, 2
 def block_pairs(spark, sf_dir):
     """Customers of one nation and segment whose names' keys are near."""
     c = load(spark, sf_dir, "customer").withColumn("k", text.compact_key(F.col("c_name")))
-    pairs = resolve.block_pairs(c, ["c_nationkey", "c_mktsegment"], "c_custkey", ["k"])
-    return pairs.where(F.levenshtein("k", "k2", 1) >= 0).select("c_custkey", "c_custkey2")
+    return spelling.near_pairs(c, ["c_nationkey", "c_mktsegment"], "c_custkey", "k")
 
 
 _BLOCKS = f"""

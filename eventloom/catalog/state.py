@@ -252,6 +252,25 @@ SELECT sha256(sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR || '|' || sum(('0
 """
 
 
+def chunk_tree(spark, sf_dir):
+    """Merkle tree over chunks of 1000 order keys, every level."""
+    return revisions.chunk_tree(load(spark, sf_dir, "orders"), "o_orderkey", 1000, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+
+
+_TREE = """
+WITH RECURSIVE h AS (SELECT o_orderkey // 1000 AS n, sha256(o_orderkey || chr(31) || o_custkey || chr(31) || o_orderstatus || chr(31) || o_orderpriority) AS h FROM orders),
+c AS (SELECT n, sha256(sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR || '|' || sum(('0x' || substr(h, 16, 15))::BIGINT)::VARCHAR || '|' ||
+  sum(('0x' || substr(h, 31, 15))::BIGINT)::VARCHAR || '|' || sum(('0x' || substr(h, 46, 15))::BIGINT)::VARCHAR || '|' || count(*)) AS digest, count(*) AS rows FROM h GROUP BY 1),
+t(level, tree) AS (
+  SELECT 0, list({'n': n, 'd': digest, 'r': rows} ORDER BY n) FROM c
+  UNION ALL
+  SELECT level + 1, list_transform(list_sort(list_distinct(list_transform(tree, lambda x: x.n // 2))), lambda p: {'n': p,
+    'd': sha256(list_filter(tree, lambda x: x.n // 2 = p)[1].d || '|' || CASE WHEN len(list_filter(tree, lambda x: x.n // 2 = p)) = 2 THEN list_filter(tree, lambda x: x.n // 2 = p)[2].d ELSE '' END),
+    'r': list_sum(list_transform(list_filter(tree, lambda x: x.n // 2 = p), lambda x: x.r))::BIGINT}) FROM t WHERE list_max(list_transform(tree, lambda x: x.n)) > 0)
+SELECT level, x.n AS n, x.d AS digest, x.r AS rows FROM (SELECT level, unnest(tree) AS x FROM t)
+"""
+
+
 def projection_boundaries(spark, sf_dir):
     """Next instant at which anything of a user changes after a fixed now."""
     e = load(spark, sf_dir, "events")
@@ -284,7 +303,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reconcile_snapshot, version_intervals, asof_read, latest_wins, page_head_machine, offer_revision_log, revalidate_heads, occurrence_inherit,
-        rate_window, rolling_pacer, budget_window, soak_gaps, event_sessions, batch_seal_checks, cohort_publish, publication_integrity, content_root,
+        rate_window, rolling_pacer, budget_window, soak_gaps, event_sessions, batch_seal_checks, cohort_publish, publication_integrity, content_root, chunk_tree,
         projection_boundaries, readiness_reasons,
     )
 }
@@ -293,6 +312,6 @@ ORACLE = {
     "version_intervals": f"WITH {_VERSIONS} SELECT user_id, event_id, event_type, CAST(ts AS VARCHAR) AS \"from\", CAST(stop AS VARCHAR) AS \"to\" FROM k",
     "asof_read": _ASOF, "latest_wins": _LATEST, "page_head_machine": _HEADS, "offer_revision_log": _LOG, "revalidate_heads": _REVALIDATE,
     "occurrence_inherit": _INHERIT, "rate_window": _RATE, "rolling_pacer": _PACER, "budget_window": _BUDGET, "soak_gaps": _SOAK, "event_sessions": _SESSIONS,
-    "batch_seal_checks": _SEAL, "cohort_publish": _COHORT, "publication_integrity": _INTEGRITY, "content_root": _ROOT,
+    "batch_seal_checks": _SEAL, "cohort_publish": _COHORT, "publication_integrity": _INTEGRITY, "content_root": _ROOT, "chunk_tree": _TREE,
     "projection_boundaries": _BOUNDARIES, "readiness_reasons": _READY,
 }

@@ -54,8 +54,9 @@ def subset_extensions(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
     own = base.select(F.col(id_col), F.array_join("t", " ").alias("k"))
     drop = base.where("size(t) > 1").select(F.col(id_col).alias(f"{id_col}2"), "t", F.explode("t").alias("x"))
     drop = drop.select(f"{id_col}2", F.array_join(F.array_remove("t", F.col("x")), " ").alias("k"))
-    pairs = own.join(drop, "k")
-    return pairs.groupBy(id_col).agg(F.count("*").alias("n"), F.min(f"{id_col}2").alias(f"{id_col}2")).where("n = 1").select(id_col, f"{id_col}2")
+    # the longer sets are counted by what is left of them first, so equal sets don't multiply
+    only = drop.groupBy("k").agg(F.count("*").alias("n"), F.min(f"{id_col}2").alias(f"{id_col}2")).where("n = 1")
+    return own.join(only, "k").select(id_col, f"{id_col}2")
 
 
 def components(edges: DataFrame, nodes: DataFrame, id_col: str, checkpoint, max_rounds: int = 60) -> DataFrame:

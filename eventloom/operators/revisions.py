@@ -85,3 +85,27 @@ def content_root(df: DataFrame, columns: list[str]) -> DataFrame:
     part = lambda i: F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
     sums = df.select(row.alias("h")).agg(*(F.coalesce(F.sum(part(i)), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i in range(4)), F.count("*").alias("rows"))
     return sums.select(F.sha2(F.concat_ws("|", *(F.col(f"s{i}").cast("string") for i in range(4)), F.col("rows").cast("string")), 256).alias("root"), "rows")
+
+
+def chunk_tree(df: DataFrame, key: str, width: int, columns: list[str], checkpoint=cut) -> DataFrame:
+    """(level, n, digest, rows) of the Merkle tree over chunks of ``width`` keys each.
+
+    Level 0 has the content root of each chunk (key from n * width on); a digest above is that of the two below it, or of
+    the one where the second is missing.  The last level has one row, the root of the table."""
+    row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
+    part = lambda i: F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
+    sums = df.select(F.floor(F.col(key) / width).cast("long").alias("n"), row.alias("h")).groupBy("n").agg(*(F.sum(part(i)).cast("decimal(38,0)").alias(f"s{i}") for i in range(4)), F.count("*").alias("rows"))
+    level = checkpoint(sums.select("n", F.sha2(F.concat_ws("|", *(F.col(f"s{i}").cast("string") for i in range(4)), F.col("rows").cast("string")), 256).alias("digest"), "rows"))
+    out, depth = level.withColumn("level", F.lit(0)), 0
+    while (level.agg(F.max("n")).first()[0] or 0) > 0:
+        depth += 1
+        pair = level.groupBy(F.expr("n div 2").alias("n")).agg(F.min_by("digest", "n").alias("a"), F.max_by("digest", "n").alias("b"), F.count("*").alias("k"), F.sum("rows").alias("rows"))
+        level = checkpoint(pair.select("n", F.sha2(F.concat_ws("|", "a", F.when(F.col("k") == 2, F.col("b")).otherwise("")), 256).alias("digest"), "rows"))
+        out = out.unionByName(level.withColumn("level", F.lit(depth)))
+    return out.select("level", "n", "digest", "rows")
+
+
+def damaged_chunks(chunks: DataFrame, tree: DataFrame, key: str, width: int, columns: list[str], checkpoint=cut) -> DataFrame:
+    """(n) of the chunks among the given rows whose digest isn't the tree's; no other chunk is read."""
+    own = chunk_tree(chunks, key, width, columns, checkpoint).where("level = 0").select("n", F.col("digest").alias("found"))
+    return own.join(tree.where("level = 0").select("n", "digest"), "n", "left").where("digest IS NULL OR digest != found").select("n")

@@ -60,14 +60,41 @@ def test_calendar_and_days(spark):
     assert [str(x) for x in row] == ["2024-02-21", "2024-02-29"]
 
 
+def osa(a, b):
+    """Optimal string alignment by the whole table."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+        d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+        if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+            d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
 def test_osa_and_candidates(spark):
-    assert [spelling.osa(*p) for p in (("abcd", "abdc"), ("ca", "abc"), ("", "ab"), ("same", "same"))] == [1, 3, 2, 0]
     rng = random.Random(3)
+    pairs = [("abcd", "abdc"), ("ca", "abc"), ("", "ab"), ("ab", ""), ("", ""), ("same", "same")] + [("".join(rng.choice("abc") for _ in range(rng.randrange(7))), "".join(rng.choice("abc") for _ in range(rng.randrange(7)))) for _ in range(200)]
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    assert all(r.d == osa(r.a, r.b) for r in frame.select("a", "b", spelling.osa_distance(F.col("a"), F.col("b")).alias("d")).collect())
     lexicon = {"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 8))) for _ in range(60)}
     words = {"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 8))) for _ in range(60)}
     frame = lambda x, n: spark.createDataFrame([(w,) for w in sorted(x)], f"{n} string")
     got = {(r.word, r.entry, r.distance) for r in spelling.candidates(frame(words, "word"), frame(lexicon, "entry"), "word", "entry").collect()}
-    assert got == {(w, e, 1) for w in words for e in lexicon if w != e and spelling.osa(w, e) == 1}
+    assert got == {(w, e, 1) for w in words for e in lexicon if w != e and osa(w, e) == 1}
+    got = {(r.word, r.entry, r.distance) for r in spelling.candidates(frame(words, "word"), frame(lexicon, "entry"), "word", "entry", 2).collect()}
+    assert got == {(w, e, osa(w, e)) for w in words for e in lexicon if w != e and osa(w, e) <= 2}
+
+
+def test_suggestions_by_length_ending_and_alias(spark):
+    lexicon = spark.createDataFrame([("tiyatro", "category", ["oyun"]), ("beyoglu", "district", None), ("yalniz", "companion", None), ("cift", "companion", None), ("komedi", "mood", None), ("festivaller", "category", None), ("caz", "mood", None)], "entry string, kind string, aliases array<string>")
+    words = ["tiytaro", "oyun", "oyum", "beyogluda", "beyoglunda", "beyogludan", "bejoglunda", "cfit", "cif", "fesivaler", "komed", "caz", "cax", "tiyatro", None]
+    got = {(r.token, r.entry) for r in spelling.suggestions(spark.createDataFrame([(w,) for w in words], "token string"), lexicon).collect()}
+    assert got == {("tiytaro", "tiyatro"), ("oyun", "tiyatro"), ("bejoglunda", "beyoglu"), ("cfit", "cift"), ("cif", "cift"), ("fesivaler", "festivaller"), ("komed", "komedi")}
+
+
+def test_near_pairs_of_a_block(spark):
+    rows = [(1, "x", "abc"), (2, "x", "abd"), (3, "x", "abc"), (4, "x", "zzz"), (5, "y", "abc"), (6, "x", "ab")]
+    got = {tuple(r) for r in spelling.near_pairs(spark.createDataFrame(rows, "id int, b string, t string"), ["b"], "id", "t").collect()}
+    assert got == {(1, 2), (1, 3), (2, 3), (1, 6), (2, 6), (3, 6)}
 
 
 def test_kleene_truth_tables(spark):
