@@ -52,7 +52,7 @@ FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT {TOP}
 
 def _query_vector(spark, sf_dir):
     row = load(spark, sf_dir, "embeddings").where(F.col("vec_id") == QUERY_VECTOR_ID).select("embedding").first()
-    return list(row[0])
+    return list(row[0]) if row and row[0] else None
 
 
 def dense_topk(spark, sf_dir):
@@ -74,7 +74,7 @@ sim AS (
 def rrf_hybrid(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lexical = cut(search.bm25(docs, "doc_id", search.tokens_of("text"), TERMS))
+    lexical = search.bm25(docs, "doc_id", search.tokens_of("text"), TERMS, cut)
     lexical = search.ranked(lexical, [F.desc(F.round("score", 9)), F.asc("doc_id")], parts, cut)
     dense = cut(search.dense_scores(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir)))
     dense = search.ranked(dense, [F.desc(F.round("similarity", 9)), F.asc("vec_id")], parts, cut).withColumnRenamed("vec_id", "doc_id")
@@ -112,7 +112,7 @@ def hybrid_order(spark, sf_dir):
     """Scores that put the whole table in order: of fused ranks, and without a vector in the catalog."""
     docs, vectors = load(spark, sf_dir, "documents"), load(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lexical = cut(search.bm25(docs, "doc_id", search.tokens_of("text"), TERMS))
+    lexical = search.bm25(docs, "doc_id", search.tokens_of("text"), TERMS, cut)
     lexical = cut(search.ranked(lexical, [F.desc(F.round("score", 9)), F.asc("doc_id")], parts, cut))
     out = None
     for mode, own in (("dense", vectors), ("none", vectors.where("false"))):

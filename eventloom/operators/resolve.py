@@ -77,6 +77,25 @@ def components(edges: DataFrame, nodes: DataFrame, id_col: str, checkpoint, max_
     raise RuntimeError("components did not settle")
 
 
+def quarantine(members: DataFrame, flagged: DataFrame, id_col: str, group: str, checkpoint) -> DataFrame:
+    """(id, round): what is flagged (round 0), and whatever shares a group with it, and so on until nothing new comes.
+
+    members: (id, group); flagged: (id).  Each round only takes up the groups of what was new in the last, so a
+    group is opened once; ids of no group are kept if flagged."""
+    new = checkpoint(flagged.select(id_col).where(F.col(id_col).isNotNull()).distinct())
+    pairs = members.select(id_col, group).where(F.col(id_col).isNotNull() & F.col(group).isNotNull())
+    closed = checkpoint(new.withColumn("round", F.lit(0)))
+    opened = checkpoint(pairs.where("false").select(group))
+    number = 0
+    while not new.isEmpty():
+        number += 1
+        groups = checkpoint(pairs.join(new, id_col, "left_semi").select(group).distinct().join(opened, group, "left_anti"))
+        new = checkpoint(pairs.join(groups, group, "left_semi").select(id_col).distinct().join(closed, id_col, "left_anti"))
+        opened = checkpoint(opened.unionByName(groups))
+        closed = checkpoint(closed.unionByName(new.withColumn("round", F.lit(number))))
+    return closed
+
+
 def agreement(value: Column, fallback) -> Column:
     """Aggregate: the one distinct value of a group, else the fallback."""
     return F.when(F.min(value) == F.max(value), F.min(value)).otherwise(fallback)

@@ -19,16 +19,18 @@ RRF_K = 60
 LEXICAL_SHARE, COSINE_SHARE = 0.35, 0.65
 
 
-def bm25(docs: DataFrame, key: str, tokens: Column, query: Sequence[str]) -> DataFrame:
+def bm25(docs: DataFrame, key: str, tokens: Column, query: Sequence[str], checkpoint=None) -> DataFrame:
     """(key, score) of the documents with a score above 0.  Statistics are over the given documents.
 
     One pass counts the query's terms in each document, so what is shuffled is one row of sums for each
-    task: document frequencies come from the same counts, not from an explosion of all tokens."""
+    task: document frequencies come from the same counts, not from an explosion of all tokens.  With
+    checkpoint(df) the counts are written once, and statistics and scores don't read the texts again."""
     terms = list(dict.fromkeys(query))
     own = docs.select(key, tokens.alias("tokens"))
     count = lambda term: F.size(F.filter("tokens", lambda t: t == F.lit(term)))
     counts = [count(w).alias(f"tf{i}") for i, w in enumerate(terms)]
     own = own.select(key, F.size("tokens").alias("len"), *counts)
+    own = checkpoint(own) if checkpoint else own
     stats = own.agg(
         F.count("*").alias("n"), F.avg("len").alias("avg_len"),
         *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))),
@@ -46,8 +48,10 @@ def lexical_score(content: Column, query: Sequence[str]) -> Column:
     return sum((F.contains(content, F.lit(t)).cast("int") for t in query), F.lit(0)) / float(len(query))
 
 
-def dense_scores(vectors: DataFrame, key: str, vector: str, query: Sequence[float]) -> DataFrame:
-    """(key, similarity) of the valid vectors of the query's dimension."""
+def dense_scores(vectors: DataFrame, key: str, vector: str, query: Sequence[float] | None) -> DataFrame:
+    """(key, similarity) of the valid vectors of the query's dimension; none without a query vector."""
+    if query is None:
+        return vectors.where("false").select(key, F.lit(None).cast("double").alias("similarity"))
     q = F.array(*(F.lit(float(x)) for x in query))
     valid = vectors.where(numeric.valid_vector(F.col(vector), len(query)))
     return valid.select(key, numeric.cosine(F.col(vector), q).alias("similarity"))
