@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..scratch import cut, scratch_root
+from ..sources import refresh
 from ..streaming import acceptance, streams
 from .base import load
 from .state import ORACLE as STATE
@@ -133,8 +134,34 @@ WITH l AS (SELECT user_id, arg_max(event_type, (epoch_us(ts) // 1000, event_id))
 SELECT user_id, seen + 7 * 86400000 AS due FROM l WHERE last = 'error'
 """
 
-QUERIES = {f.__name__: f for f in (stream_rate_window, stream_page_heads, stream_acceptance, stream_pacer, stream_recheck)}
+def stream_refresh(spark, sf_dir):
+    """Parts as a publication that two batches of a stream change: its rows, and which refresh wrote the partition of each."""
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
+    root = f"{scratch_root(spark)}/refresh-{uuid.uuid4().hex[:12]}"
+    part = F.floor(F.col("p_partkey") / 100) % 64
+    refresh.publish_whole(p.where("p_partkey % 31 != 30"), root, "whole", part)
+    k = F.col("p_partkey")
+    batches = (
+        p.where("p_partkey % 7 = 0 AND p_partkey % 31 != 30 AND p_partkey < 1900").withColumn("p_size", F.when(k % 490 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))),
+        p.where("p_partkey % 620 = 30 OR p_partkey % 900 = 5").withColumn("p_brand", F.when(k % 900 == 5, F.lit("Brand#0")).otherwise(F.col("p_brand"))),
+    )
+    for b in batches:
+        b.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        streams.run(stream, refresh.refresh_sink(root, "whole", "p_partkey", part), f"{root}/state", "append")
+    return refresh.read(spark, root, "refresh-1", p.schema).select("p_partkey", "p_size", "p_brand", "publication")
+
+
+_REFRESH = """
+WITH p AS (SELECT p_partkey, p_partkey // 100 % 64 AS part, p_partkey % 490 = 0 AND p_partkey % 31 <> 30 AND p_partkey < 1900 AS first, p_partkey % 620 = 30 OR p_partkey % 900 = 5 AS second,
+    p_size + CASE WHEN p_partkey % 490 = 0 AND p_partkey % 31 <> 30 AND p_partkey < 1900 AND NOT p_partkey % 900 = 5 THEN 1 ELSE 0 END AS p_size, CASE WHEN p_partkey % 900 = 5 THEN 'Brand#0' ELSE p_brand END AS p_brand,
+    p_partkey % 31 = 30 AND NOT (p_partkey % 620 = 30 OR p_partkey % 900 = 5) AS missing FROM part),
+w AS (SELECT part, CASE WHEN bool_or(second) THEN 'refresh-1' WHEN bool_or(first) THEN 'refresh-0' ELSE 'whole' END AS publication FROM p GROUP BY 1)
+SELECT p_partkey, p_size, p_brand, publication FROM p JOIN w USING (part) WHERE NOT missing
+"""
+
+QUERIES = {f.__name__: f for f in (stream_refresh, stream_rate_window, stream_page_heads, stream_acceptance, stream_pacer, stream_recheck)}
 ORACLE = {
-    "stream_page_heads": HEADS, "stream_acceptance": _ACCEPT, "stream_pacer": _PACE, "stream_recheck": _RECHECK,
+    "stream_refresh": _REFRESH, "stream_page_heads": HEADS, "stream_acceptance": _ACCEPT, "stream_pacer": _PACE, "stream_recheck": _RECHECK,
     "stream_rate_window": "SELECT user_id, CAST(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS VARCHAR) AS start, count(*) AS n FROM events GROUP BY 1, 2",
 }
