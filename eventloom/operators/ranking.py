@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..scratch import cut
 from . import scans
 from .scans import scan
+from .search import ranked
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -58,6 +59,32 @@ def interleave(df: DataFrame, first: Sequence[Column], second: Sequence[Column],
     return both.groupBy(key).agg(F.min("position").alias("position")).orderBy("position").limit(k)
 
 
+def interleave_unique(df: DataFrame, first: Sequence[Column], second: Sequence[Column], id_col: str, uniques: Sequence[str], k: int, checkpoint=cut, max_rounds: int = 1000) -> DataFrame:
+    """(id, position): two orders dealt in turn, as many as k; a row is passed over if one that was taken has the same value in
+    any of the unique columns (production, then show).
+
+    Rows that are the first of all their values are taken at once, what shares a value with them goes, and so
+    on: the same rows as one by one, in a few rounds of aggregations.  Orders must end in a unique key."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = ranked(df, first, parts, checkpoint).select(id_col, *uniques, (2 * F.col("rank") - 1).alias("position"))
+    two = ranked(df, second, parts, checkpoint).select(id_col, *uniques, (2 * F.col("rank")).alias("position"))
+    left = checkpoint(one.unionByName(two).groupBy(id_col, *uniques).agg(F.min("position").alias("position")))
+    taken = checkpoint(left.where("false"))
+    for _ in range(max_rounds):
+        heads = left
+        for c in uniques:
+            heads = heads.join(left.groupBy(F.col(c).alias("_c")).agg(F.min("position").alias("_p")), F.col(c).eqNullSafe(F.col("_c"))).where("position = _p").drop("_c", "_p")
+        heads = checkpoint(heads.select(*left.columns))
+        taken = checkpoint(taken.unionByName(heads).orderBy("position").limit(k))  # later rounds may still bring earlier ones
+        for c in uniques:
+            left = left.join(heads.select(F.col(c).alias("_c")).distinct(), F.col(c).eqNullSafe(F.col("_c")), "left_anti")
+        last = taken.agg(F.count("*").alias("n"), F.max("position").alias("p")).first()
+        left = checkpoint(left.where(F.col("position") < last["p"]) if last["n"] == k else left)
+        if left.isEmpty():
+            return taken.select(id_col, "position")
+    raise RuntimeError("the interleaving did not settle")
+
+
 def fair_round_robin(df: DataFrame, source: str, order: Sequence[Column], turns: int) -> DataFrame:
     """The first ``turns`` rows of every source with their turn, for taking sources in rotation.
 
