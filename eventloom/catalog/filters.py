@@ -242,13 +242,18 @@ SELECT l_orderkey, l_linenumber, kind, round(base_total, 6) AS base_total, round
 
 
 def calendar_dimension(spark, sf_dir):
-    return clock.calendar(spark, "1995-01-01", 120).select(F.col("day").cast("string").alias("day"), "offset", "weekday", "nth", "is_last", F.col("week_start").cast("string").alias("week_start"), "weekend")
+    """The 120 days from the first order on, with the orders of each."""
+    o = load(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"))
+    first = o.agg(F.min("day").cast("string")).first()[0]
+    n = o.groupBy("day").agg(F.count("*").alias("orders"))
+    days = clock.calendar(spark, first or "1970-01-01", 120).join(n, "day", "left")
+    return days.select(F.col("day").cast("string").alias("day"), "offset", "weekday", "nth", "is_last", F.col("week_start").cast("string").alias("week_start"), "weekend", F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
 _CALENDAR = """
-WITH d AS (SELECT (DATE '1995-01-01' + i::INT)::DATE AS day, i::INT AS "offset" FROM range(120) t(i))
+WITH f AS (SELECT min(o_orderdate)::DATE AS first FROM orders), d AS (SELECT (first + i::INT)::DATE AS day, i::INT AS "offset" FROM f, range(120) t(i))
 SELECT CAST(day AS VARCHAR) AS day, "offset", isodow(day)::INT AS weekday, ceil(day(day) / 7.0)::INT AS nth, month((day + 7)::DATE) <> month(day) AS is_last,
-  CAST((day - (isodow(day) - 1)::INT)::DATE AS VARCHAR) AS week_start, isodow(day) >= 6 AS weekend FROM d
+  CAST((day - (isodow(day) - 1)::INT)::DATE AS VARCHAR) AS week_start, isodow(day) >= 6 AS weekend, (SELECT count(*) FROM orders WHERE o_orderdate::DATE = day) AS orders FROM d
 """
 
 

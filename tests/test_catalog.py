@@ -10,7 +10,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 import __spark_entry__  # noqa: E402
 
-QUERIES, ORACLE = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+from eventloom.catalog import ORACLE, QUERIES  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -38,10 +38,11 @@ def test_query_equals_sql(spark, duck, name):
     assert plain(df.collect(), df.columns) == plain(result.fetchall(), names)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ORACLE and not n.startswith(("op", "pipeline"))))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
 def test_entry(spark):
+    assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE) <= set(__spark_entry__.oracle_sql())
     assert __spark_entry__.entry(spark).count() > 0

@@ -274,3 +274,46 @@ def test_streams(spark, tmp_path):
     streams.run(streams.session_windows(streams.read_events(spark, src, df.schema, 99), "k", "90 minutes", "1 day"), lambda b, n: seen.append(b.count()), str(tmp_path / "cp2"), "append")
     streams.run(streams.fresh_once(streams.read_events(spark, src, df.schema, 99), "k", "1 day"), lambda b, n: seen.append(b.count()), str(tmp_path / "cp3"), "append")
     assert 3 in seen
+
+
+def test_venue_names(spark):
+    from eventloom.functions import venues
+
+    names = ["Zorlu PSM Turkcell Sahnesi", "B-B-S Kadıköy Kültür Merkezi", "Moda Sahnesi Büyük Salon", "Eyüp Sultan Sahne", "Salon", None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    got = [r.t for r in df.orderBy("i").select(venues.distinctive_tokens(F.col("n")).alias("t")).collect()]
+    assert got == [["zorlu", "psm", "turkcell"], ["bbs"], ["moda", "buyuk"], ["eyupsultan"], [], []]
+    titles = [("HABITAT X Evgeny Grinko", "Habitat Hilltown"), ("Anka Workshop: Mum Atölyesi", "Ankaworkshop"), ("Mozaik Workshop: Mum", "Ankaworkshop"), ("Club: Night", "Club"), ("Habitat", "Habitat"), ("Habitat: ", "Habitat")]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(titles)], "i int, t string, n string")
+    got = [r.x for r in rows.orderBy("i").select(venues.without_venue_prefix(F.col("t"), F.col("n")).alias("x")).collect()]
+    assert got == ["Evgeny Grinko", "Mum Atölyesi", "Mozaik Workshop: Mum", "Club: Night", "Habitat", "Habitat: "]
+    assert [list(r.d) for r in df.orderBy("i").select(venues.name_districts(F.col("n")).alias("d")).collect()] == [[], ["kadikoy"], ["kadikoy"], ["eyupsultan"], [], []]
+
+
+def test_quarantine_reaches_through_groups(spark):
+    members = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, "c"), (5, "c"), (None, "a"), (6, None)], "id int, g string")
+    flagged = spark.createDataFrame([(1,), (6,), (None,)], "id int")
+    assert {(r.id, r.round) for r in resolve.quarantine(members, flagged, "id", "g", cut).collect()} == {(1, 0), (6, 0), (2, 1), (3, 2)}
+
+
+def test_interleaving_without_repeats(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.randrange(400), rng.randrange(400), rng.choice("abcdefghij"), rng.choice([*"stuvwxyz", None])) for i in range(200)]
+    one, two = sorted(rows, key=lambda r: (r[1], r[0])), sorted(rows, key=lambda r: (-r[2], r[0]))
+    taken, seen_p, seen_s = [], set(), set()
+    for pair in zip(one, two):
+        for r in pair:
+            if r[3] not in seen_p and r[4] not in seen_s and len(taken) < 6:
+                taken.append(r[0])
+                seen_p.add(r[3])
+                seen_s.add(r[4])
+    df = spark.createDataFrame(rows, "id int, a int, b int, p string, s string")
+    got = ranking.interleave_unique(df, [F.asc("a"), F.asc("id")], [F.desc("b"), F.asc("id")], "id", ["p", "s"], 6)
+    assert [r.id for r in got.orderBy("position").collect()] == taken
+
+
+def test_search_without_a_query_vector(spark):
+    from eventloom.operators import search
+
+    docs = spark.createDataFrame([(1, [1.0, 2.0])], "id int, v array<double>")
+    assert search.dense_scores(docs, "id", "v", None).count() == 0
