@@ -113,5 +113,62 @@ g(n, customers, months, id, taken) AS (
 SELECT id AS o_orderkey, n AS position FROM g WHERE id IS NOT NULL
 """
 
-QUERIES = {f.__name__: f for f in (age_rules, schedule_gates, attendance_kinds, grade_faults, interleave_shows)}
-ORACLE = {"age_rules": _AGES, "schedule_gates": _GATES, "attendance_kinds": _KINDS, "grade_faults": _GRADES, "interleave_shows": _SHOWS}
+#: (title, description, the format it states, whether it is for children).
+_TOLD = (
+    ("Mum", "Mum atölyesi: katılımcılar kendi mumunu yapacak. Canlı konser de var", "Workshop", False), ("Gece", "Canlı konser ve ardından söyleşi", None, False), ("Panel", "Seminer: moderatör eşliğinde. Kurs", "Söyleşi", False),
+    ("Resim", "Yeni dönem kurs kayıtları", "Eğitim", False), ("Ali Veli", "Ali Veli Stand Up Show sahnede", "Stand-up", False), ("Haliç", "Profesyonel rehberle tur boyunca kiliseler ziyaret edilir", "Gezi", False),
+    ("Yaz Konseri", "", "Konser", False), ("Çocuk Oyunu", "Çocuklar için", "Tiyatro", True), ("Akşam", "Çocuklar için uygun değildir", None, False), ("Seramik Atölyesi", "Canlı konser", None, False), ("Seramik Workshop", None, "Workshop", False),
+    ("Sirk", "4 - 9 yaş arası tüm çocuklar", None, True), ("Kids Show", "Not for adults", None, True),
+)
+
+
+def program_formats(spark, sf_dir):
+    """Orders with made-up titles and texts: the format that they state themselves, and whether children are meant."""
+    o = load(spark, sf_dir, "orders")
+    pick = lambda n: F.element_at(F.array(*(F.lit(t[n]) for t in _TOLD)), (F.col("o_orderkey") % len(_TOLD) + 1).cast("int"))
+    return o.select("o_orderkey", evidence.program_format(pick(0), pick(1)).alias("format"), evidence.child_audience(pick(0), pick(1)).alias("children"))
+
+
+_FORMATS = f"""
+SELECT o_orderkey, [{', '.join("NULL" if t[2] is None else f"'{t[2]}'" for t in _TOLD)}][o_orderkey % {len(_TOLD)} + 1] AS format, [{', '.join(str(t[3]).lower() for t in _TOLD)}][o_orderkey % {len(_TOLD)} + 1] AS children FROM orders
+"""
+
+
+def district_veto(spark, sf_dir):
+    """Orders as listings with a label, an address and a venue: which lie in Kadıköy."""
+    o = load(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    label = F.when(k % 4 == 0, "Kadıköy").when(k % 4 == 1, "Beşiktaş").when(k % 4 == 2, "İstanbul Anadolu").otherwise(None)
+    address = F.when(k % 3 == 0, "Moda Cd. 5, Kadıköy/İstanbul").when(k % 3 == 1, "Barbaros Blv., Beşiktaş/İstanbul").otherwise("")
+    venue = F.when(k % 5 == 0, "Kadıköy Sahnesi").otherwise("Kadıköylü Sahne")
+    return o.where(evidence.in_district(label, address, venue, "kadikoy")).select("o_orderkey")
+
+
+_VETO = """
+SELECT o_orderkey FROM orders WHERE CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 3 <> 1 WHEN 1 THEN false
+  ELSE CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE o_orderkey % 5 = 0 END END
+"""
+
+
+def listing_conflicts(spark, sf_dir):
+    """Orders as listings whose text names another venue for their date, or says that they are sold out."""
+    o = load(spark, sf_dir, "orders")
+    k, date = F.col("o_orderkey"), evidence.day_month(F.col("o_orderdate").cast("timestamp"))
+    title, venue = F.lit("Uzun İnce Bir Yol"), F.when(k % 3 == 0, "Moda Sahnesi").otherwise("Zorlu PSM")
+    other = F.when(k % 2 == 0, date).otherwise("31 şubat")
+    text = F.when(k % 5 < 2, F.concat(title, F.lit(" konseri "), other, F.lit(" Cuma günü Zorlu Salonu'nda"))).when(
+        k % 5 < 4, F.concat(title, F.lit(". "), other, F.lit(" de "), venue, F.lit("'nde gerçekleşecek. "), other, F.lit(" "), venue, F.lit(" da gerçekleşecek İstanbul konserinin biletleri tükendi"))).otherwise(None)
+    start, city = F.col("o_orderdate").cast("timestamp"), F.when(k % 7 == 0, "Ankara").otherwise("İstanbul")
+    return o.select(
+        "o_orderkey", evidence.venue_conflict(title, text, start, venue, city).alias("venue"),
+        evidence.sold_out_conflict(title, text, start, venue, city, F.when(k % 11 == 0, "sold_out").otherwise("available")).alias("sold_out"),
+    )
+
+
+_CONFLICTS = """
+SELECT o_orderkey, o_orderkey % 5 < 2 AND o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0 AS venue,
+  o_orderkey % 5 IN (2, 3) AND o_orderkey % 2 = 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AS sold_out FROM orders
+"""
+
+QUERIES = {f.__name__: f for f in (program_formats, district_veto, listing_conflicts, age_rules, schedule_gates, attendance_kinds, grade_faults, interleave_shows)}
+ORACLE = {"program_formats": _FORMATS, "district_veto": _VETO, "listing_conflicts": _CONFLICTS, "age_rules": _AGES, "schedule_gates": _GATES, "attendance_kinds": _KINDS, "grade_faults": _GRADES, "interleave_shows": _SHOWS}

@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold
+from .clock import MONTHS
+from .location import address_place
+from .text import DISTRICTS, fold, identity_text
+from .venues import GENERIC
 
 #: (pattern on folded text, least age: a group or a number, greatest age: a group or 120).  Fixed values.
 AGE_RULES = (
@@ -104,3 +107,98 @@ def distribution_fault(p: Column, score: Column, support: Column) -> Column:
         .when(score.isNull() | F.isnan(score) | (score < 0) | (score > 3), "score").when(F.abs(score - expected) > SCORE_SLACK, "score_contradicts_probabilities")
         .when(support.isNull() | F.isnan(support) | (support > 1) | (F.abs(support - (F.get(p, 2) + F.get(p, 3))) > SUPPORT_SLACK), "support")
     )
+
+
+#: What a listing's own text says of its format, on folded words.  Fixed values.
+PERFORMANCE = r"\b(?:tiyatro oyunu|stand up gosterisi|canli konser)\b"
+WORKSHOP = r"\b(?:atolye(?:si|de|den|ye|nin|miz(?:de)?)?|workshop)\b"
+TAKING_PART = r"\b(?:katilimci|katilimcilar|egitmen|ogren|uretir|uretecek|yapacak|tasarla|uygulama|malzeme|kontenjan|kayit)\w*\b"
+TALK, COURSE = r"\b(?:soylesi(?:si|de)?|panel(?:ist(?:ler)?)?|moderator|seminer)\b", r"\b(?:kurs|egitim programi)\b"
+GUIDE = r"\b(?:uzman|profesyonel) rehber\w*\b|\bguided (?:tour|visit|walk)\b"
+STOPS = (
+    r"\b(?:kiliseler\w*|yapilar\w*|mekanlar\w*|duraklar\w*|churches|sites|venues)\b.{0,80}\b(?:ziyaret|visit)\w*\b"
+    r"|\b(?:ziyaret edilecek|visiting)\b.{0,80}\b(?:kiliseler\w*|yapilar\w*|mekanlar\w*|duraklar\w*|churches|sites|venues)\b"
+)
+ITINERARY = r"\b(?:program|tur) boyunca\b|\b(?:ozel aracla ulasim|meeting point)\b"
+TITLE_FORMATS = (
+    (r"\b(?:konser(?:i)?|concert)\b", "Konser"), (r"\b(?:tiyatro oyunu|cocuk oyunu|muzikal(?:i)?|theatre play|theater play)\b", "Tiyatro"), (r"\b(?:stand up|standup)\b", "Stand-up"),
+    (None, None), (r"\b(?:atolye(?:si|leri)?|workshop)\b", "Workshop"), (r"\b(?:soylesi(?:si)?|seminer|konferans)\b", "Söyleşi"),
+)
+#: How far into a description its opening and its programme reach, and what stands around a workshop.  Fixed values.
+OPENING, OPENING_WORDS, PROGRAMME, AROUND = 512, 240, 4096, (80, 120)
+
+
+def program_format(title: Column, description: Column) -> Column:
+    """The category that a listing's own title and programme state, or null: what its opening names first, ahead of a performance;
+    then a stand-up show, a guided tour of several stops, and what the title says."""
+    said = F.coalesce(description, F.lit(""))
+    name, opening = identity_text(title), F.substring(identity_text(F.substring(said, 1, OPENING)), 1, OPENING_WORDS)
+    programme = identity_text(F.substring(said, 1, PROGRAMME))
+    at = lambda p: F.regexp_instr(opening, F.lit(p))
+    show, shop = at(PERFORMANCE), at(WORKSHOP)
+    size = F.length(F.regexp_extract(opening, WORKSHOP, 0))
+    from_ = F.greatest(shop - AROUND[0], F.lit(1))
+    shop = F.when(F.substring(opening, from_, shop + size + AROUND[1] - from_).rlike(TAKING_PART), shop).otherwise(0)
+    first = F.filter(F.array(*(F.struct(i.alias("at"), F.lit(n).alias("turn"), F.lit(c).alias("is")) for n, (i, c) in enumerate(((shop, "Workshop"), (at(TALK), "Söyleşi"), (at(COURSE), "Eğitim"))))), lambda x: (x["at"] > 0) & ((show == 0) | (x["at"] < show)))
+    out = F.when(F.size(first) > 0, F.array_min(first)["is"])
+    out = out.when((name != "") & (F.startswith(opening, F.concat(name, F.lit(" stand up gosterisi"))) | F.startswith(opening, F.concat(name, F.lit(" stand up show")))), "Stand-up")
+    out = out.when(programme.rlike(GUIDE) & programme.rlike(STOPS) & programme.rlike(ITINERARY), "Gezi")
+    for pattern, category in TITLE_FORMATS:
+        out = out.when(name.rlike(pattern), category) if pattern else out.when(show > 0, None)
+    return out
+
+
+#: Claims about children that are taken back, and those that stand.  Fixed values.
+NO_CHILDREN = r"\b(?:cocuk(?:lar|lara|larin)?|children|kids?)\b[^.!?\n]{0,36}\b(?:degil(?:dir)?|degildir|icermez|yok|not|isn't|is not)\b"
+CHILDREN = (
+    r"\b(?:cocuk(?:lar|lara|larin)?\s+(?:icin|oyunu|tiyatrosu|muzikali|sirki|stand[ -]?up)|cocuklara\s+yonelik|(?:children|kids?)['’s]*\s+(?:show|theatre|theater|musical|circus|comedy)|(?:show|theatre|theater|musical|circus|comedy)\s+for\s+(?:children|kids?))\b",
+    r"\b\d{1,2}\s*[–-]\s*\d{1,2}\s*yas\b[^.!?\n]{0,40}\bcocuk(?:lar|lara|larin)?\b",
+    r"\bcocuk(?:lar|lara|larin)?\b[^.!?\n]{0,32}\b(?:aileleri|aileler)\b[^.!?\n]{0,16}\bicin\b",
+    r"\b(?:merhaba\s+cocuklar|(?:cocuklar|minik\s+(?:seyirciler|izleyiciler))[^.!?\n]{0,64}(?:davet|bekliyor|bulusuyor|katil))\b",
+)
+
+
+def child_audience(title: Column, description: Column) -> Column:
+    """Whether a listing is said to be for children, after clauses that take it back."""
+    bare = lambda c: F.regexp_replace(fold(F.coalesce(c, F.lit(""))), NO_CHILDREN, " ")
+    text = F.concat_ws(" ", bare(title), bare(description))
+    return reduce(lambda a, p: a | text.rlike(p), CHILDREN[1:], text.rlike(CHILDREN[0]))
+
+
+def in_district(district: Column, address: Column, venue: Column, asked: str) -> Column:
+    """Whether a listing lies in a district: its own label, unless the address names another; without a label the address, and
+    without both the venue's name."""
+    label, want = F.trim(fold(F.coalesce(district, F.lit("")))), asked
+    known, place = label.isin(DISTRICTS), address_place(address, DISTRICTS)
+    veto = known & F.coalesce(place != label, F.lit(False))
+    named = fold(F.coalesce(venue, F.lit(""))).rlike(rf"\b{want}\b")
+    return ~veto & ((label == want) | (~known & F.when(place.isNotNull(), place == want).otherwise(named)))
+
+
+#: Words of venue names that conflict patterns pass over, and what stands between a date and a venue.  Fixed values.
+WEEKDAY = r"(?:(?:pazartesi|sali|carsamba|persembe|cuma|cumartesi|pazar)\s+)?"
+KIND = r"(?:\s+(?:konseri|gosterisi|oyunu|muzikali|etkinligi|programi))?"
+SOLD_OUT = r"(?:\s+(?:ta|te|da|de))?\s+gerceklesecek\s+istanbul\s+konserinin\s+biletleri(?:\s+kisa\s+surede)?\s+tukendi\b"
+
+
+def day_month(start: Column, zone: str = "Europe/Istanbul") -> Column:
+    """Day and folded month name of an instant, as texts write it."""
+    local = F.from_utc_timestamp(start, zone)
+    return F.concat_ws(" ", F.dayofmonth(local), identity_text(F.get(F.array(*map(F.lit, MONTHS)), F.month(local) - 1)))
+
+
+def venue_conflict(title: Column, description: Column, start: Column, venue: Column, city: Column) -> Column:
+    """Whether a listing's own programme sentence puts its title on its date at another venue."""
+    name, said, date = identity_text(title), identity_text(description), day_month(start)
+    pattern = F.concat(F.lit(r"\b"), name, F.lit(rf"\b{KIND}\s+"), date, F.lit(rf"\s+{WEEKDAY}gunu\s+([a-z0-9]+(?:\s+[a-z0-9]+){{0,11}}?)\s*(?:nda|nde)\b"))
+    stated = F.call_function("regexp_extract", said, pattern, F.lit(1))
+    words = lambda c: F.filter(F.split(c, " "), lambda t: (F.length(t) > 1) & ~t.isin([*GENERIC, "sahnesi", "sanat", "tiyatrosu"]))
+    own, other = words(identity_text(venue)), words(stated)
+    return F.coalesce((identity_text(city) == "istanbul") & (name != "") & (stated != "") & (F.size(own) > 0) & (F.size(other) > 0) & ~F.arrays_overlap(own, other), F.lit(False))
+
+
+def sold_out_conflict(title: Column, description: Column, start: Column, venue: Column, city: Column, availability: Column) -> Column:
+    """Whether a listing on sale says of its own date and venue that the concert is sold out."""
+    name, said, place = identity_text(title), identity_text(description), identity_text(venue)
+    pattern = F.concat(F.lit(r"\b"), day_month(start), F.lit(r"\b(?:\s+(?:de|da))?\s+"), place, F.lit(SOLD_OUT))
+    return F.coalesce((availability == "available") & (identity_text(city) == "istanbul") & (name != "") & (place != "") & F.contains(said, name) & F.regexp_like(said, pattern), F.lit(False))
