@@ -88,8 +88,10 @@ def location_resolve(spark, sf_dir):
     pick = lambda n, *x: F.element_at(F.array(*map(F.lit, x)), (F.col("c_custkey") % n + 1).cast("int"))
     label = pick(7, "Kadıköy", "Anadolu Yakası", "Moda / Üsküdar", "", "Levent", "Nowhere", "Taksim")
     address = F.concat(F.lit("Sk. 1 "), pick(5, "Moda", "Şişli", "Beşiktaş", "", "Bağdat Caddesi"), F.when(F.col("c_custkey") % 2 == 0, "/İstanbul").otherwise(""))
-    at = location.resolve_location(label, address)
-    return c.select(at.alias("at")).groupBy("at.district", "at.side", "at.precision").agg(F.count("*").alias("n"))
+    # equal labels and addresses are read once
+    said = c.groupBy(label.alias("label"), address.alias("address")).agg(F.count("*").alias("n"))
+    at = location.resolve_location(F.col("label"), F.col("address"))
+    return said.select(at.alias("at"), "n").groupBy("at.district", "at.side", "at.precision").agg(F.sum("n").alias("n"))
 
 
 _PLACE = """
