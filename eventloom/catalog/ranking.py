@@ -78,7 +78,8 @@ def offer_summary(spark, sf_dir):
     price = F.round(F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount").cast("decimal(18,2)")), 2)
     return line.groupBy("l_orderkey").agg(
         F.bool_or(ok).alias("any_ok"), F.bool_and(ok).alias("all_ok"), F.min(F.when(ok, price)).cast("double").alias("least"),
-        F.min_by("l_suppkey", F.when(ok, F.struct(price, "l_linenumber"))).alias("supplier"),
+        # lines of one number and price: the least supplier, whatever the order of the rows
+        F.min_by("l_suppkey", F.when(ok, F.struct(price, "l_linenumber", "l_suppkey"))).alias("supplier"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda s: s["l_suppkey"].cast("string")), ",").alias("suppliers"),
         F.countDistinct("l_suppkey").alias("n_suppliers"),
     )
