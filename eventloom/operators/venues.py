@@ -121,7 +121,7 @@ def venue_anchors(listings: DataFrame, clusters: DataFrame) -> DataFrame:
     first point; else the least listing.  The venue's id is a hash of the anchor, and of what tells clusters
     of one anchor apart.  The name is the least by folded text, then as written, in binary order."""
     scope = F.transform("districts", lambda d: F.concat(venues.side(d), F.lit(":"), d))
-    own = listings.join(clusters, "id").withColumns({"compact": F.nullif(text.compact_key(F.col("name")), F.lit("")), "scope": F.array_min(scope)})
+    own = listings.join(clusters.hint("merge"), "id").withColumns({"compact": F.nullif(text.compact_key(F.col("name")), F.lit("")), "scope": F.array_min(scope)})
     own = own.withColumn("given", F.when(F.nullif(F.trim("venue_id"), F.lit("")).isNotNull(), F.concat_ws(":", "provider", F.trim("venue_id"))))
     point = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.concat_ws(":", F.lit("geo"), F.format_string("%.4f", "lat"), F.format_string("%.4f", "lon")))
     drafts = own.groupBy("cluster").agg(

@@ -69,3 +69,11 @@ def test_edges_of_clusters(spark):
     assert run(spark, 3, [(1, 1, 0), (None, 2, 0), (2, 1, 5), (1, 2, 1)]) == {0: 0, 1: 1, 2: 1}
     assert run(spark, 2, [(0, 1, 0)], conflicts=[(1, 0)]) == {0: 0, 1: 1}
     assert run(spark, 0, []) == {}
+
+
+def test_tables_of_clusters_are_not_sent_through_the_driver(spark):
+    from eventloom.operators import clusters
+
+    live = cut(spark.createDataFrame([(1, 2, 0), (2, 3, 1)], "a long, b long, priority int"))
+    plan = clusters._trees(clusters._live(live), lambda df: df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
