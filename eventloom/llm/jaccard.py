@@ -1,7 +1,7 @@
 """N-gram Jaccard join with grouped prefixes (operator 6).
 
 1. Texts with the same shingle set are one class, kept by its smallest id.
-2. A set's shingles are put in one global order: by how common they are, the rarest first, then by
+2. A set's shingles are put in one global order: by how many documents hold them, the rarest first, then by
    hash.  Two sets of sizes x <= y with a Jaccard similarity of t or more share a shingle among the first
    y - ceil(t*y) + 1, and k shingles among the first y - ceil(t*y) + k.
 3. Classes with the same prefix and the same size are one group (Bouros, Ge and Mamoulis, 2012).
@@ -11,7 +11,9 @@
    pairs what is left, that is groups under one shingle that are not yet in one component, and expands
    group pairs into members.  A shingle that more than ``BUCKET`` such groups hold is no key by itself:
    its groups are dealt by that and one more shared shingle, and then by a third (``EXTRA``), so that a
-   shingle of very many unlike texts makes no pairs of all with all.  A pair within a component can't
+   shingle of very many unlike texts makes no pairs of all with all.  Where they would meet more often then,
+   as near copies do that share most of their prefixes, they are paired under it, in parts.  Pairs under a
+   key of more than ``FEW`` groups are held against the prefixes within the join.  A pair within a component can't
    change a component, so no link is lost.
 5. Every pair is verified on the whole sets.  A set is sent once for each of its pairs with a leader, the
    leader's own set once for each ``FAN`` of them, and a task holds one leader's set at a time.
@@ -35,18 +37,23 @@ from .common import BATCH_BYTES, in_batches, materialize
 from .components import connected_components
 from .textnp import span_hashes, words_of
 
-#: A shingle that so many documents are known to hold is common; a level more for each LEVEL_FACTOR times as many.
-COMMON_FROM, LEVEL_FACTOR, LEVELS = 24, 4, 8
-#: Shingles that a task counts together (16 MB).
+#: A shingle that so many documents hold is common; a level more for each LEVEL_FACTOR times as many.
+COMMON_FROM, LEVEL_FACTOR, LEVELS = 4, 4, 8
+#: Shingles that a task sends to be counted together (16 MB).
 BLOCK = 1 << 21
-#: Bits of the filter on common shingles and their levels (8 MB); more shingles only make the order coarser.
-COMMON_BITS = 1 << 26
+#: Counts go by so many first bits of a hash: those that make a range, and the rest.
+RANGE_BITS, REST_BITS = 10, 26
+#: Bits of the filter on common shingles and their levels (16 MB).  It holds one shingle for COMMON_SHARE bits at most;
+#: where more are common, those of the lowest levels count as rare, and the order is coarser.
+COMMON_BITS, COMMON_SHARE = 1 << 27, 16
 #: Bits of the filter on ids whose sets verification needs (1 MB); more ids only make it weaker.
 FILTER_BITS = 1 << 23
 #: Bits of the filter on prefix shingles that are indexed (16 MB); more shingles only make it weaker.
 INDEX_BITS = 1 << 27
 #: Groups under one key that are paired with each other; more are dealt by further shingles, up to EXTRA.
 BUCKET, EXTRA = 256, 2
+#: Groups under one key whose pairs are held against their prefixes only after the pairs of all keys are put together.
+FEW = 8
 #: Pairs with one leader that are verified in a row.
 FAN = 1000
 
@@ -78,16 +85,28 @@ def _prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def _short(s: np.ndarray) -> np.ndarray:
+    """The bits of shingle hashes that counts go by."""
+    return s >> np.uint64(64 - RANGE_BITS - REST_BITS)
+
+
 def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """A bit set of common shingles, each by itself and with its level (``_levels``).
 
-    Tasks count the shingles of all their documents in blocks of about ``BLOCK`` and send on those that
-    a block holds twice or more: what stands in a large share of all documents does so in every block,
-    and what is rare everywhere is never shuffled."""
-
-    def counted(parts):
-        t, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(t[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], ["t", "n"])
+    Every shingle of every document is counted, by the first bits of its hash.  Tasks put the shingles of
+    blocks of about ``BLOCK`` in order and send the steps from one to the next by range, which takes about
+    two bytes for each; a range is counted by one task."""
+
+    def packed(parts):
+        t = _short(np.sort(np.concatenate(parts)))
+        cut = np.searchsorted(t, np.arange((1 << RANGE_BITS) + 1, dtype=np.uint64) << np.uint64(REST_BITS))
+        rest = (t & np.uint64((1 << REST_BITS) - 1)).astype(np.uint32)
+        at = np.flatnonzero(np.diff(cut))
+        data = []
+        for r in at:
+            steps = np.diff(rest[cut[r] : cut[r + 1]], prepend=np.uint32(0))
+            data.append(pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.diff(cut)[at], pa.int64()), pa.array(data, pa.binary())], ["range", "n", "data"])
 
     def emit(batches):
         parts, size = [], 0
@@ -96,20 +115,39 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
                 parts.append(s)
                 size += len(s)
                 if size >= BLOCK:
-                    yield counted(parts)
+                    yield packed(parts)
                     parts, size = [], 0
-        if parts:
-            yield counted(parts)
-
-    counts = in_batches(docs.select("text"), emit, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM)
-    level = F.least(F.lit(LEVELS), F.floor(F.log(F.col("n") / COMMON_FROM) / float(np.log(LEVEL_FACTOR))).cast("int") + 1).cast("long")
-    return build(counts.select(F.explode(F.array("t", F.col("t").bitwiseXOR(F.shiftleft(level, 56)))).alias("t")), COMMON_BITS)
+        if size:
+            yield packed(parts)
+
+    def counted(key, table):
+        parts = []
+        for n, data in zip(table.column("n").to_pylist(), table.column("data").to_pylist()):
+            steps = np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.uint8).reshape(4, -1)
+            parts.append(np.cumsum(np.ascontiguousarray(steps.T).view(np.uint32).ravel(), dtype=np.uint32))
+        t, n = np.unique(np.concatenate(parts), return_counts=True)
+        t, n = t[n >= COMMON_FROM], n[n >= COMMON_FROM]
+        t = t.astype(np.int64) + (key[0].as_py() << REST_BITS)
+        level = np.searchsorted(COMMON_FROM * LEVEL_FACTOR ** np.arange(1, LEVELS), n, side="right") + 1
+        return pa.table([pa.array(t), pa.array(level.astype(np.int64))], ["t", "level"])
+
+    blocks = in_batches(docs.select("text"), emit, "range long, n long, data binary")
+    counts = materialize(blocks.groupBy("range").applyInArrow(counted, "t long, level long"), "common")
+    # the most common ones that the bit set has room for
+    held, least = 0, LEVELS + 1
+    for row in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        held += row["count"]
+        if held > COMMON_BITS // COMMON_SHARE:
+            break
+        least = row["level"]
+    counts = counts.where(F.col("level") >= least)
+    return build(counts.select(F.explode(F.array("t", F.col("t").bitwiseXOR(F.shiftleft("level", 56)))).alias("t")), COMMON_BITS)
 
 
 def _levels(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
     """How common each shingle is: 0 for those that are not, then up with the number of documents."""
     out = np.zeros(len(s), np.int8)
-    t = s.view(np.int64)
+    t = _short(s).view(np.int64)
     at = np.flatnonzero(holds(bits, t, COMMON_BITS))
     for level in range(1, LEVELS + 1):
         out[at[holds(bits, t[at] ^ np.int64(level << 56), COMMON_BITS)]] = level
@@ -298,34 +336,56 @@ def _group_pairs(rows: DataFrame, heads: DataFrame, num: int, den: int) -> DataF
     rows: (key, at, gid, n, lo, hi), at being the place of the key's last shingle in the group's prefix."""
     least = -(-num // max(den - num, 1))  # shingles of the smallest set that can be like another one
     extra = max(0, min(EXTRA, -(-num * least // den) - 1))  # of which so many besides the first are shared
+    prefixes = heads.select(F.col("doc_id").alias("gid"), "prefix", "length")
     found = None
-    for depth in range(extra + 1):
-        keys = rows.groupBy("key").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.count("*").alias("c")).where("l != h").select("key", "c")
-        left = materialize(rows.join(materialize(keys, "open-keys"), "key"), "open")
-        now = left if depth == extra else left.where(f"c <= {BUCKET}")
-        other = now.select("key", *(F.col(c).alias(f"{c}2") for c in ("at", "gid", "n", "lo", "hi")))
+
+    def met(now, other, on, bound):
+        other = other.select(*on, *(F.col(c).alias(f"{c}2") for c in other.columns if c not in on))
         # all that two sets share stands at or after their first shared shingle, which meets this bound
         most = f"({depth} + least(n - at, n2 - at2))"
         near = f"{_alike('n', 'n2', num, den)} AND {den} * {most} >= {num} * (n + n2 - {most})"
-        pairs = now.join(other, "key").where(f"gid < gid2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2) AND {near}").select("gid", "gid2").distinct()
-        found = pairs if found is None else found.unionByName(pairs)
-        hot = left.where(f"c > {BUCKET}")
-        if depth == extra or hot.isEmpty():
-            return found.distinct() if depth else found
-        after = F.slice("prefix", F.col("at") + 2, F.greatest(F.col("length") + depth - F.col("at"), F.lit(0)))
-        hot = hot.drop("c").join(heads.select(F.col("doc_id").alias("gid"), "prefix", "length"), "gid").select("key", "at", "gid", "n", "lo", "hi", F.posexplode(after).alias("pos", "t"))
-        rows = hot.select(F.xxhash64("key", "t").alias("key"), (F.col("at") + 1 + F.col("pos")).alias("at"), "gid", "n", "lo", "hi").distinct()
-
+        apart = F.expr(f"gid < gid2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2) AND {near}")
+        return now.join(other, on).where(apart & bound).select("gid", "gid2").distinct()
 
-def _possible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
-    """The group pairs that their prefixes don't rule out.  Say x's last prefix shingle comes first
+    for depth in range(extra + 1):
+        keys = rows.groupBy("key").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.count("*").alias("c")).where("l != h").select("key", "c")
+        left = materialize(rows.join(materialize(keys, "open-keys"), "key"), "open")
+        few = left.where(f"c <= {FEW}").drop("c")
+        pairs = met(few, few, ["key"], F.lit(True))
+        found = pairs if found is None else found.unionByName(pairs)
+        hot, dealt = left.where(f"c > {BUCKET}"), None
+        if depth < extra and not hot.isEmpty():
+            after = F.slice("prefix", F.col("at") + 2, F.greatest(F.col("length") + depth - F.col("at"), F.lit(0)))
+            dealt = hot.join(prefixes, "gid").select("key", "c", "at", "gid", "n", "lo", "hi", F.posexplode(after).alias("pos", "t"))
+            dealt = dealt.select(F.col("key").alias("was"), "c", F.xxhash64("key", "t").alias("key"), (F.col("at") + 1 + F.col("pos")).alias("at"), "gid", "n", "lo", "hi")
+            # groups that share most of what comes next meet the more often for it, so they are paired here
+            sizes = dealt.groupBy("was", "c", "key").agg(F.count("*").alias("d"), F.min("lo").alias("l"), F.max("hi").alias("h"))
+            sizes = sizes.groupBy("was", "c").agg(F.coalesce(F.sum(F.expr("CASE WHEN l != h THEN d * CAST(d AS DOUBLE) END")), F.lit(0.0)).alias("then"))
+            less = materialize(sizes.where("then < c * CAST(c AS DOUBLE)").select("was"), "dealt-keys")
+            left = left.join(less.withColumnRenamed("was", "key"), "key", "left_anti")
+        many = left.where(f"c > {FEW}").join(prefixes.drop("length"), "gid")
+        parts = F.ceil(F.col("c") / (4 * BUCKET))
+        now = many.withColumn("part", F.pmod(F.xxhash64("gid"), parts)).drop("c")
+        other = many.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("c")
+        found = found.unionByName(met(now, other, ["key", "part"], _bound(num, den)))
+        if dealt is None:
+            return found.distinct()
+        rows = dealt.join(less, "was").select("key", "at", "gid", "n", "lo", "hi").distinct()
+
+
+def _bound(num: int, den: int):
+    """Whether two prefixes leave it possible that their sets are alike.  Say x's last prefix shingle comes first
     in the order.  Up to it, what x and y share is in both prefixes; after it, x has n - size(prefix)
     shingles and y has at most those outside the shared part.  Either set may be that x."""
-    heads = heads.select(F.col("doc_id").alias("gid"), "n", "prefix")
-    two = pairs.join(heads, "gid").join(heads.select(F.col("gid").alias("gid2"), F.col("n").alias("n2"), F.col("prefix").alias("prefix2")), "gid2")
     both = F.size(F.array_intersect("prefix", "prefix2"))
     most = both + F.greatest(
         F.least(F.col("n") - both, F.col("n2") - F.size("prefix2")), F.least(F.col("n") - F.size("prefix"), F.col("n2") - both)
     )
-    return two.where(den * most >= num * (F.col("n") + F.col("n2") - most)).select("gid", "gid2")
+    return den * most >= num * (F.col("n") + F.col("n2") - most)
+
 
+def _possible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """The group pairs that their prefixes don't rule out."""
+    heads = heads.select(F.col("doc_id").alias("gid"), "n", "prefix")
+    two = pairs.join(heads, "gid").join(heads.select(F.col("gid").alias("gid2"), F.col("n").alias("n2"), F.col("prefix").alias("prefix2")), "gid2")
+    return two.where(_bound(num, den)).select("gid", "gid2")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("eventloom.llm")
@@ -440,6 +441,28 @@ def test_jaccard_components(spark, monkeypatch, k, num, common_from, bucket, fan
     assert jaccard.jaccard_components(docs_of(spark, texts).where("false")).count() == 0
 
 
+def test_common_shingles_across_tasks(spark, monkeypatch):
+    """A shingle that each block holds but once is common all the same, and the most common go first into a full bit set."""
+    monkeypatch.setattr(jaccard, "BLOCK", 1)
+    texts = [f"{'often in every text ' if i % 2 else ''}here are four words own{i} words alone" for i in range(60)]
+    docs = docs_of(spark, texts).repartition(7)
+    every, half = "here are four words", "often in every text"
+
+    def level(bits, text):
+        batch = pa.RecordBatch.from_pydict({"text": pa.array([text], pa.large_string())})
+        return int(jaccard._levels(bits, next(jaccard._sets(batch, 4))[1])[0])
+
+    bits = jaccard.common_shingles(docs, 4)
+    assert level(bits, every) >= level(bits, half) > 0 and level(bits, "four words own1 words") == 0
+    monkeypatch.setattr(jaccard, "LEVEL_FACTOR", 2)
+    monkeypatch.setattr(jaccard, "COMMON_FROM", 20)
+    bits = jaccard.common_shingles(docs, 4)
+    assert level(bits, every) == 2 and level(bits, half) == 1
+    monkeypatch.setattr(jaccard, "COMMON_SHARE", jaccard.COMMON_BITS // 3)
+    bits = jaccard.common_shingles(docs, 4)
+    assert level(bits, every) == 2 and level(bits, half) == 0
+
+
 # 7 decontamination ------------------------------------------------------------------------------
 
 
