@@ -100,30 +100,41 @@ class Acceptance(InOrder):
         return Row(scope=key[0], record=record, offer=offer, status=status, reason=reason, head=head, replay=replay)
 
     def take(self, key, rows) -> Iterator[Row]:
+        # state is asked for once for all rows, since every call goes to the JVM and back
+        offers = {i: o for (i,), (o,) in self.offers.iterator()}
+        heads = {o: tuple(h) for (o,), h in self.heads.iterator()}
+        kept_offers, kept_heads = dict(offers), dict(heads)
+        known_before = self.seen.exists()
+        seen: dict[str, tuple] = {}
         for _, _, record, revision, ids, clock, observed, content in rows:
             print_ = "\x1f".join(str(x) for x in (ids, clock, observed, content))
-            if self.seen.containsKey((revision,)):
-                known, offer, status, reason = self.seen.getValue((revision,))
+            if revision not in seen and known_before and self.seen.containsKey((revision,)):
+                seen[revision] = tuple(self.seen.getValue((revision,)))
+            if revision in seen:
+                known, offer, status, reason = seen[revision]
                 if known != print_:
                     status, reason = CONFLICT, REUSED
-                head = self.heads.getValue((offer,))[0] if offer is not None and self.heads.containsKey((offer,)) else None
-                yield self.row(key, record, offer, status, reason, head, known == print_)
+                yield self.row(key, record, offer, status, reason, heads[offer][0] if offer in heads else None, known == print_)
                 continue
             own = ids.split(",")
-            found = {self.offers.getValue((i,))[0] for i in own if self.offers.containsKey((i,))}
+            found = {offers[i] for i in own if i in offers}
             if len(found) > 1:
                 offer, status, reason, head = None, CONFLICT, AMBIGUOUS, None
             else:
                 offer = found.pop() if found else f"offer:{min(own)}"
-                current = self.heads.getValue((offer,)) if self.heads.containsKey((offer,)) else None
+                current = heads.get(offer)
                 status, reason = self.verdict(current, clock, observed, content) if current else (ACCEPTED, None)
                 if status == ACCEPTED:
-                    self.heads.updateValue((offer,), (revision, clock, observed, content))
-                    for i in own:
-                        self.offers.updateValue((i,), (offer,))
+                    heads[offer] = (revision, clock, observed, content)
+                    offers.update(dict.fromkeys(own, offer))
                 head = revision if status == ACCEPTED else current[0]
-            self.seen.updateValue((revision,), (print_, offer, status, reason))
+            seen[revision] = (print_, offer, status, reason)
+            self.seen.updateValue((revision,), seen[revision])
             yield self.row(key, record, offer, status, reason, head, False)
+        for state, now, before in ((self.offers, {i: (o,) for i, o in offers.items()}, {i: (o,) for i, o in kept_offers.items()}), (self.heads, heads, kept_heads)):
+            for name, value in now.items():
+                if before.get(name) != value:
+                    state.updateValue((name,), value)
 
 
 class Pacer(InOrder):

@@ -317,3 +317,27 @@ def test_search_without_a_query_vector(spark):
 
     docs = spark.createDataFrame([(1, [1.0, 2.0])], "id int, v array<double>")
     assert search.dense_scores(docs, "id", "v", None).count() == 0
+
+
+def test_acceptance_asks_state_once():
+    """Rows of one key that arrive together ask its state for offers and heads once; a replay in a later call is known."""
+    from eventloom.streaming.acceptance import Acceptance
+
+    asked = []
+
+    class Kept(dict):
+        exists = lambda self: bool(self)
+        iterator = lambda self: asked.append("all") or iter(list(self.items()))
+        containsKey = lambda self, key: asked.append(key) or key in self  # noqa: E731, N815
+        getValue = lambda self, key: asked.append(key) or self.get(key)  # noqa: E731, N815
+        updateValue = dict.__setitem__  # noqa: N815
+
+    a = Acceptance()
+    a.offers, a.heads, a.seen = Kept(), Kept(), Kept()
+    rows = [(i, i, i, f"r{i}", f"s{i % 3}", None, i, "x") for i in range(50)]
+    assert [r.status for r in a.take((1,), rows)] == ["accepted"] * 50
+    assert asked == ["all", "all"]
+    assert len(a.seen) == 50 and a.heads[("offer:s0",)] == ("r48", None, 48, "x") and a.offers == {(f"s{i}",): (f"offer:s{i}",) for i in range(3)}
+    again = list(a.take((1,), [(60, 60, 60, "r3", "s0", None, 3, "x"), (61, 61, 61, "r4", "s1", None, 9, "y"), (62, 62, 62, "r9", "s0", None, 1, "x")]))
+    assert [(r.status, r.reason, r.head, r.replay) for r in again] == [
+        ("accepted", None, "r48", True), ("held_conflict", "revision_id_reused", "r49", False), ("held_conflict", "revision_id_reused", "r48", False)]
