@@ -61,8 +61,10 @@ def distinctive_tokens(name: Column) -> Column:
     unless only words that are never enough would be left."""
     joined = F.regexp_replace(F.array_join(place_tokens(name), " "), r"(?<=(?:^| )[a-z]) (?=[a-z](?: |$))", "")
     tokens = F.filter(F.split(joined, " "), lambda t: (F.length(t) > 1) & ~t.isin(DESCRIPTIVE))
-    named = F.filter(tokens, lambda t: token_district(t).isNull())
-    return F.when(F.exists(named, lambda t: ~t.isin(WEAK)), named).otherwise(tokens)
+    # a variable of transform is worked out once, however often it stands in the expression
+    pick = lambda own, named: F.when(F.exists(named, lambda t: ~t.isin(WEAK)), named).otherwise(own)
+    both = F.transform(F.array(tokens), lambda own: F.struct(own.alias("own"), F.filter(own, lambda t: token_district(t).isNull()).alias("named")))
+    return F.get(F.transform(both, lambda b: pick(b["own"], b["named"])), 0)
 
 
 def identifying(token: Column) -> Column:

@@ -9,6 +9,7 @@ listings of places that agree can join whatever the conflicts of others.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -50,7 +51,7 @@ def _block(listings: DataFrame, key: Column, agree: bool = False) -> DataFrame:
 def _near(listings: DataFrame) -> DataFrame:
     """Listings within GEO_METRES whose names share a word.  Listings of one point and name are linked to their
     least id, and only those are compared, by cell and word."""
-    points = listings.where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "city", "lat", "lon", F.array_distinct(venues.name_tokens(F.col("name"))).alias("words"))
+    points = listings.where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "city", "lat", "lon", "words")
     points = points.where("size(words) > 0").withColumn("key", F.concat_ws("\x1f", "city", "lat", "lon", F.array_join(F.array_sort("words"), " ")))
     heads = points.groupBy("key").agg(F.min(F.struct("id", "city", "lat", "lon", "words")).alias("h"))
     same = points.join(heads.select("key", F.col("h.id").alias("head")), "key").where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b"), "words")
@@ -67,7 +68,7 @@ def _near(listings: DataFrame) -> DataFrame:
 def _extended(listings: DataFrame) -> DataFrame:
     """Names that exactly one other name of the city extends by a single word; a name with two telling words is
     only extended by one that tells nothing."""
-    rows = listings.select("id", "districts", "city", F.array_sort(F.array_distinct(venues.distinctive_tokens(F.col("name")))).alias("t"))
+    rows = listings.select("id", "districts", "city", F.col("tokens").alias("t"))
     rows = rows.where(F.exists("t", lambda t: ~t.isin(venues.WEAK)) & (F.length(F.array_join("t", "")) >= 3))
     rows = rows.withColumn("key", F.concat_ws("\x1f", "city", F.array_join("t", " ")))
     heads = _heads(rows)
@@ -81,16 +82,20 @@ def _extended(listings: DataFrame) -> DataFrame:
     return only.join(heads, "key").join(far, "key2").select(F.col("head").alias("a"), "b", F.concat("key", F.lit(">"), "key2").alias("key"))
 
 
-def venue_edges(listings: DataFrame) -> DataFrame:
+def venue_edges(listings: DataFrame, checkpoint: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(a, b, priority, evidence) with a < b: the best evidence of each pair, priority 0 to 5 by EVIDENCE.
 
+    All kinds read what names say from one table, which checkpoint(df) may write so that it is worked out once.
     Nulls and empty names give no edge of the kinds that need them."""
     city = F.coalesce("city", F.lit(""))
-    own = listings.withColumns({"city": city, "districts": F.coalesce("districts", F.array().cast("array<string>"))})
+    said = {
+        "compact": F.nullif(text.compact_key(F.col("name")), F.lit("")), "words": F.array_distinct(venues.name_tokens(F.col("name"))),
+        "tokens": F.array_sort(F.array_distinct(venues.distinctive_tokens(F.col("name")))),
+    }
+    own = checkpoint(listings.withColumns({"city": city, "districts": F.coalesce("districts", F.array().cast("array<string>")), **said}))
     filled = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.trim(c))
     block = lambda c: F.when(c.isNotNull(), F.concat_ws("\x1f", "city", c))
-    compact = F.nullif(text.compact_key(F.col("name")), F.lit(""))
-    tokens = F.array_sort(F.array_distinct(venues.distinctive_tokens(F.col("name"))))
+    compact, tokens = F.col("compact"), F.col("tokens")
     name = F.when(F.exists(tokens, lambda t: ~t.isin(venues.WEAK)) & (F.length(F.array_join(tokens, "")) >= 3), F.array_join(tokens, " "))
     given = own.select("id", F.when(filled(F.col("venue_id")).isNotNull(), F.concat_ws("\x1f", "city", "provider", filled(F.col("venue_id")))).alias("key")).where("key IS NOT NULL")
     first = given.groupBy("key").agg(F.min("id").alias("a"))

@@ -341,3 +341,15 @@ def test_acceptance_asks_state_once():
     again = list(a.take((1,), [(60, 60, 60, "r3", "s0", None, 3, "x"), (61, 61, 61, "r4", "s1", None, 9, "y"), (62, 62, 62, "r9", "s0", None, 1, "x")]))
     assert [(r.status, r.reason, r.head, r.replay) for r in again] == [
         ("accepted", None, "r48", True), ("held_conflict", "revision_id_reused", "r49", False), ("held_conflict", "revision_id_reused", "r48", False)]
+
+
+def test_venue_edges_read_names_once(spark):
+    """What names say is worked out in one table that all kinds of evidence read; the edges are the same."""
+    from eventloom.operators.venues import venue_edges
+
+    rows = [(i, "bkt"[i % 3], "c", f"Zorlu {'Salon ' * (i % 2)}Kule{i % 4}", f"v{i % 5}", None, 41.0, 29.0 + i % 4 * 0.0001, ["kadikoy"] if i % 6 == 0 else []) for i in range(24)]
+    df = spark.createDataFrame(rows, "id long, provider string, city string, name string, venue_id string, seed string, lat double, lon double, districts array<string>")
+    kept = []
+    out = venue_edges(df, lambda t: kept.append(spark.createDataFrame(t.collect(), t.schema)) or kept[-1])
+    assert len(kept) == 1 and {"compact", "words", "tokens"} <= set(kept[0].columns)
+    assert sorted(out.collect()) == sorted(venue_edges(df).collect()) != []
