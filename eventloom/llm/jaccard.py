@@ -351,8 +351,10 @@ def _group_pairs(rows: DataFrame, heads: DataFrame, num: int, den: int) -> DataF
         keys = rows.groupBy("key").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.count("*").alias("c")).where("l != h").select("key", "c")
         left = materialize(rows.join(materialize(keys, "open-keys"), "key"), "open")
         few = left.where(f"c <= {FEW}").drop("c")
-        pairs = met(few, few, ["key"], F.lit(True))
-        found = pairs if found is None else found.unionByName(pairs)
+        if found is None:
+            found = _of_few(few, left.where(f"c > {FEW}"), num, den)
+        else:
+            found = found.unionByName(met(few, few, ["key"], F.lit(True)))
         hot, dealt = left.where(f"c > {BUCKET}"), None
         if depth < extra and not hot.isEmpty():
             after = F.slice("prefix", F.col("at") + 2, F.greatest(F.col("length") + depth - F.col("at"), F.lit(0)))
@@ -373,6 +375,22 @@ def _group_pairs(rows: DataFrame, heads: DataFrame, num: int, den: int) -> DataF
         rows = dealt.join(less, "was").select("key", "at", "gid", "n", "lo", "hi").distinct()
 
 
+def _of_few(few: DataFrame, rest: DataFrame, num: int, den: int) -> DataFrame:
+    """(gid, gid2): the pairs under keys of few groups that may be alike.  Shingles that two prefixes share are
+    open keys of both, so there are as many as keys they meet under, and of those in rest no more than the
+    one has that has fewer: prefixes themselves aren't sent for what this rules out."""
+    other = few.select("key", *(F.col(c).alias(f"{c}2") for c in ("at", "gid", "n", "lo", "hi")))
+    near = F.expr(f"{den} * least(n - at, n2 - at2) >= {num} * (n + n2 - least(n - at, n2 - at2))")
+    met = few.join(other, "key").where(F.expr(f"gid < gid2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2) AND {_alike('n', 'n2', num, den)}"))
+    met = met.groupBy("gid", "gid2", "n", "n2").agg(F.count("*").alias("both"), F.max(near).alias("near")).where("near")
+    more = rest.groupBy("gid").agg(F.count("*").alias("more"))
+    met = met.join(more, "gid", "left").join(more.select(F.col("gid").alias("gid2"), F.col("more").alias("more2")), "gid2", "left")
+    both = "(both + least(coalesce(more, 0), coalesce(more2, 0)))"
+    after = lambda n: f"(({num} * {n} + {den - 1}) DIV {den} - 1)"  # noqa: E731  what a set has after its prefix
+    most = f"greatest(least(n, {both} + {after('n2')}), least({both} + {after('n')}, n2))"
+    return met.where(f"{den} * {most} >= {num} * (n + n2 - {most})").select("gid", "gid2").distinct()
+
+
 def _bound(num: int, den: int):
     """Whether two prefixes leave it possible that their sets are alike.  Say x's last prefix shingle comes first
     in the order.  Up to it, what x and y share is in both prefixes; after it, x has n - size(prefix)
