@@ -26,7 +26,9 @@ def build(values: DataFrame, size: int) -> np.ndarray:
 
     bits = values.mapInArrow(emit, "p long").groupBy(F.bitmap_bucket_number("p").alias("b"))
     out = np.zeros(-(-size // 32768) * 4096, np.uint8)  # bitmap functions count bits and buckets from 1
-    for row in bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).toLocalIterator():
+    # a partition is a job of the driver's; half a MB each keeps these few, whatever the number of shuffle partitions
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).coalesce(max(1, len(out) >> 19))
+    for row in bits.toLocalIterator():
         out[(row.b - 1) * 4096 : row.b * 4096] = np.frombuffer(row.m, np.uint8)
     return out
 

@@ -299,7 +299,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     members = materialize(leaders.join(group_of, "pkey").select("gid", "doc_id", "n"), "groups", rows)
     length = F.expr(f"CAST(n - (({num} * n + {den - 1}) DIV {den}) + 1 AS INT)")
     heads = keyed.where("pkey IS NOT NULL").select("doc_id", F.col("n").cast("int").alias("n"), "prefix", length.alias("length"), "own")
-    index = _index(heads).join(members.where("gid = doc_id").select("gid").distinct(), "gid")
+    index = materialize(_index(heads).join(members.where("gid = doc_id").select("gid").distinct(), "gid"), "group-index")
     shared = index.groupBy("t").agg(F.min(F.struct("own", "gid", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
     shared = materialize(shared.select("t", "lead"), "shared")
     index = materialize(index.drop("own").join(shared, "t").select("t", "at", "gid", "n", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("lead_n")), "index")
@@ -315,7 +315,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     place = members.select("gid", "doc_id", "n").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     place = materialize(place, "places", rows)
     span = materialize(place.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "spans", rows)
-    open_index = index.select(F.col("t").alias("key"), "at", "gid", "n").join(span, "gid")
+    open_index = materialize(index.select(F.col("t").alias("key"), "at", "gid", "n").join(span, "gid"), "placed-index")
     pairs = materialize(_possible(_group_pairs(open_index, heads, num, den), heads, num, den), "group-pairs")
     inner = span.where("lo != hi").select("gid", F.col("gid").alias("gid2"))
     side = lambda c, s: place.select(F.col("gid").alias(f"gid{s}"), F.col("doc_id").alias(c), F.col("component").alias(f"component{s}"))
@@ -331,9 +331,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), least("rep").alias("copy_of"), least("component").alias("component_id"))
 
 
+def _of_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is one of ids, and a few others: ids are looked up in a bit set of fixed size, so that
+    rows no join would keep aren't shuffled for it."""
+    bits = build(ids, FILTER_BITS)
+
+    def emit(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(holds(bits, batch.column(column).to_numpy(), FILTER_BITS)))
+
+    return in_batches(df, emit, df.schema)
+
+
 def _group_pairs(rows: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
-    """(gid, gid2): the pairs of groups under one key that may be alike and are not in one component.
-    rows: (key, at, gid, n, lo, hi), at being the place of the key's last shingle in the group's prefix."""
+    """(gid, gid2): the pairs of groups under one key that may be alike and are not in one component, a table in
+    the scratch folder.  rows: (key, at, gid, n, lo, hi), at being the place of the key's last shingle in the
+    group's prefix.  Prefixes are read once, those of groups under keys of many; all later keys are theirs."""
     least = -(-num // max(den - num, 1))  # shingles of the smallest set that can be like another one
     extra = max(0, min(EXTRA, -(-num * least // den) - 1))  # of which so many besides the first are shared
     prefixes = heads.select(F.col("doc_id").alias("gid"), "prefix", "length")
@@ -352,9 +365,10 @@ def _group_pairs(rows: DataFrame, heads: DataFrame, num: int, den: int) -> DataF
         left = materialize(rows.join(materialize(keys, "open-keys"), "key"), "open")
         few = left.where(f"c <= {FEW}").drop("c")
         if found is None:
-            found = _of_few(few, left.where(f"c > {FEW}"), num, den)
+            found = materialize(_of_few(few, left.where(f"c > {FEW}"), num, den), "met")
+            prefixes = materialize(_of_ids(prefixes, "gid", left.where(f"c > {FEW}").select("gid")), "open-prefixes")
         else:
-            found = found.unionByName(met(few, few, ["key"], F.lit(True)))
+            found = found.unionByName(materialize(met(few, few, ["key"], F.lit(True)), "met"))
         hot, dealt = left.where(f"c > {BUCKET}"), None
         if depth < extra and not hot.isEmpty():
             after = F.slice("prefix", F.col("at") + 2, F.greatest(F.col("length") + depth - F.col("at"), F.lit(0)))
@@ -369,10 +383,10 @@ def _group_pairs(rows: DataFrame, heads: DataFrame, num: int, den: int) -> DataF
         parts = F.ceil(F.col("c") / (4 * BUCKET))
         now = many.withColumn("part", F.pmod(F.xxhash64("gid"), parts)).drop("c")
         other = many.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("c")
-        found = found.unionByName(met(now, other, ["key", "part"], _bound(num, den)))
+        found = found.unionByName(materialize(met(now, other, ["key", "part"], _bound(num, den)), "met"))
         if dealt is None:
-            return found.distinct()
-        rows = dealt.join(less, "was").select("key", "at", "gid", "n", "lo", "hi").distinct()
+            return materialize(found.distinct(), "met")
+        rows = materialize(dealt.join(less, "was").select("key", "at", "gid", "n", "lo", "hi").distinct(), "dealt")
 
 
 def _of_few(few: DataFrame, rest: DataFrame, num: int, den: int) -> DataFrame:
@@ -404,6 +418,7 @@ def _bound(num: int, den: int):
 
 def _possible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
     """The group pairs that their prefixes don't rule out."""
-    heads = heads.select(F.col("doc_id").alias("gid"), "n", "prefix")
+    ids = pairs.select("gid").unionByName(pairs.select(F.col("gid2").alias("gid")))
+    heads = materialize(_of_ids(heads.select(F.col("doc_id").alias("gid"), "n", "prefix"), "gid", ids), "pair-prefixes")
     two = pairs.join(heads, "gid").join(heads.select(F.col("gid").alias("gid2"), F.col("n").alias("n2"), F.col("prefix").alias("prefix2")), "gid2")
     return two.where(_bound(num, den)).select("gid", "gid2")

@@ -743,3 +743,33 @@ def test_walks_reach_the_end_of_their_windows():
     for c in range(6):
         depths = [decontaminate._bands(c, r)[0] for r in range(200)]
         assert max(depths) > 1.6 * decontaminate._class(c)[0]
+
+
+def test_bit_sets_take_few_jobs(spark):
+    from eventloom.llm import bits
+
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("bits", "bits")
+        found = bits.build(spark.range(0, 3000, 3), 1 << 23)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert bits.holds(found, np.arange(0, 3000, 3), 1 << 23).all() and bits.holds(found, np.arange(1, 3000, 3), 1 << 23).sum() < 50
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("bits")) < 10
+
+
+def test_pairs_send_prefixes_of_their_groups_only(spark):
+    from pyspark.sql import functions as F
+
+    prefix = F.expr("transform(sequence(0L, 5L), x -> 10 * (id DIV 2) + x)")
+    heads = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(20).alias("n"), prefix.alias("prefix"))
+    pairs = spark.createDataFrame([(6, 7), (7, 8)], "gid long, gid2 long")
+    found = jaccard._possible(pairs, heads, 85, 100)
+    assert [tuple(r) for r in found.collect()] == [(6, 7)]
+    read = {f.rsplit("/", 1)[0] for f in found.inputFiles() if "prefixes" in f}
+    assert read and 3 <= spark.read.parquet(*read).count() < 100
