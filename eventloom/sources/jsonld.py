@@ -17,29 +17,34 @@ def _get(path: str, kind: str, of: str = "v") -> Column:
     return F.expr(f"""try_variant_get({of}, '{path}', '{kind}')""")
 
 
-def _inner(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Members of arrays, and what @graph and subEvent of objects hold, of a variant column v."""
-    held = """CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN try_variant_get(v, '$', 'array<variant>') ELSE
-        concat(coalesce(try_variant_get(v, '$["@graph"]', 'array<variant>'), array_compact(array(try_variant_get(v, '$["@graph"]', 'variant')))),
-               coalesce(try_variant_get(v, '$.subEvent', 'array<variant>'), array_compact(array(try_variant_get(v, '$.subEvent', 'variant'))))) END"""
-    return df.select(*keep, F.explode(F.expr(held)).alias("v"))
+#: Levels that are taken out of a value in one pass over it; what lies deeper is another round.
+LEVELS = 16
+
+
+def _levels() -> Column:
+    """LEVELS + 1 arrays from a variant column v: itself, then level by level the members of arrays and what @graph
+    and subEvent of objects hold."""
+    held = lambda path: f"coalesce(try_variant_get(x, '{path}', 'array<variant>'), array_compact(array(try_variant_get(x, '{path}', 'variant'))))"
+    inner = f"""coalesce(try_variant_get(x, '$', 'array<variant>'), concat({held('$["@graph"]')}, {held('$.subEvent')}))"""
+    return F.expr(f"aggregate(sequence(1, {LEVELS}), array(array(v)), (s, i) -> concat(s, array(flatten(transform(element_at(s, -1), x -> {inner})))))")
 
 
 def jsonld_objects(pages: DataFrame, keep: list[str], html: str = "html", checkpoint: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(keep..., v): every object in JSON-LD blocks, at any depth of arrays, @graph and subEvent.
 
-    Each level is written (checkpoint) and read by the next, so the text of a page is parsed once and there are
-    as many rounds as levels.  Blocks that aren't JSON are left out."""
-    blocks = pages.select(*keep, F.explode(F.regexp_extract_all(html, F.lit(BLOCK), 1)).alias("b"))
-    level = checkpoint(blocks.select(*keep, F.try_parse_json("b").alias("v")).where("v IS NOT NULL"))
-    found = [level]
-    while not level.isEmpty():
-        level = checkpoint(_inner(level, keep))
-        found.append(level)
-    out = found[0]
-    for deeper in found[1:]:
-        out = out.unionByName(deeper)
-    return out.where("schema_of_variant(v) LIKE 'OBJECT%'")
+    Blocks are parsed once and written (checkpoint).  Their levels are taken out in memory: a level holds all that
+    is below it, so writing each would take the square of the depth.  Only what lies deeper than LEVELS is
+    written again, for another round.  Blocks that aren't JSON are left out."""
+    # filters stand after what is written, and explode is the outer one, which infers none: a filter that is pushed
+    # down works out once more what it asks about
+    blocks = pages.select(*keep, F.explode_outer(F.regexp_extract_all(html, F.lit(BLOCK), 1)).alias("b"))
+    top, out = checkpoint(blocks.select(*keep, F.try_parse_json("b").alias("v"))).where("v IS NOT NULL"), None
+    while out is None or not top.isEmpty():
+        levels = top.select(*keep, _levels().alias("levels"))
+        found = levels.select(*keep, F.explode_outer(F.flatten(F.slice("levels", 1, LEVELS))).alias("v"))
+        out = found if out is None else out.unionByName(found)
+        top = checkpoint(levels.select(*keep, F.explode_outer(F.element_at("levels", -1)).alias("v")).where("v IS NOT NULL"))
+    return out.where("try_variant_get(v, '$', 'struct<`@type`: variant>') IS NOT NULL")
 
 
 def events(objects: DataFrame, keep: list[str]) -> DataFrame:

@@ -238,6 +238,21 @@ def test_jsonld_events(spark):
     assert rows["Old"].errors == ["past"] and rows["Old"].lat is None and rows["Old"].availability == "unknown"
 
 
+def test_jsonld_levels(spark):
+    from eventloom.scratch import cut
+
+    depth = 40
+    text = '{"@type": "Event", "name": "0"}'
+    for k in range(1, depth):
+        text = f'{{"@type": "Event", "name": "{k}", "subEvent": ' + (f"[[{text}, null, 7]]" if k % 2 else text) + "}"
+    html = f'<script type="application/ld+json">{text}</script><script type="application/ld+json">[{{}}, "x", {{"@graph": {{"name": "g", "subEvent": null}}}}]</script>'
+    rounds = []
+    found = jsonld.jsonld_objects(spark.createDataFrame([(1, html)], "page_id int, html string"), ["page_id"], checkpoint=lambda df: rounds.append(1) or cut(df))
+    names = [r.name for r in found.select(F.expr("try_variant_get(v, '$.name', 'string')").alias("name")).collect()]
+    assert sorted(names, key=str) == sorted([*map(str, range(depth)), "g", None, None], key=str)
+    assert len(rounds) < 10  # not one for each of some 80 levels
+
+
 def test_publication(spark, tmp_path):
     root = f"file://{tmp_path}"
     df = spark.range(100).select("id", (F.col("id") % 7).alias("v"))
