@@ -19,16 +19,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import dealt
+
 #: Pointers are followed to this power of two in a round; deeper nodes wait for the next.
 JUMPS = 3
 
 
-def _join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    """A join that deals both sides out.  Tables of clusters grow with the input, and their files are so well packed
-    that they would pass for small ones, go through the driver and fill its memory."""
-    return left.join(right.hint("merge"), on, how)
-
-
 def _live(edges: DataFrame) -> DataFrame:
     """(x, y, rank) with x < y, the first edge of each pair."""
     x, y = F.least("a", "b"), F.greatest("a", "b")
@@ -47,11 +43,11 @@ def _key_sets(held: DataFrame) -> DataFrame:
 def _without_conflicts(live: DataFrame, held: DataFrame, pairs: DataFrame | None) -> DataFrame:
     sets = _key_sets(held)
     side = lambda c: sets.select(F.col("cluster").alias(c), F.col("values").alias(f"v{c}"), F.col("once").alias(f"o{c}"))
-    both = _join(_join(live, side("x"), "x", "left"), side("y"), "y", "left")
+    both = dealt(dealt(live, side("x"), "x", "left"), side("y"), "y", "left")
     differs = F.exists(F.map_keys("vx"), lambda k: F.try_element_at("vx", k) != F.try_element_at("vy", k))
     bad = F.coalesce(differs, F.lit(False)) | F.coalesce(F.arrays_overlap("ox", "oy"), F.lit(False))
     kept = both.where(~bad).select("x", "y", "rank")
-    return kept if pairs is None else _join(kept, pairs, ["x", "y"], "left_anti")
+    return kept if pairs is None else dealt(kept, pairs, ["x", "y"], "left_anti")
 
 
 def _trees(live: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -59,33 +55,33 @@ def _trees(live: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> Dat
     pointer, null at the root."""
     both = live.select("x", "y", "rank").unionByName(live.select(F.col("y").alias("x"), F.col("x").alias("y"), "rank"))
     first = checkpoint(both.groupBy("x").agg(F.min_by("y", "rank").alias("to"), F.min("rank").alias("r")))
-    mine = _join(first, first.select(F.col("x").alias("to"), F.col("to").alias("back")), "to")
+    mine = dealt(first, first.select(F.col("x").alias("to"), F.col("to").alias("back")), "to")
     ends, root = F.col("back") == F.col("x"), F.least("x", "to")
     at = mine.select("x", F.when(ends, root).otherwise(F.col("to")).alias("to"), F.when(~(ends & (root == F.col("x"))), F.col("r")).alias("r"), ends.alias("done"))
     at = checkpoint(at)
     for _ in range(JUMPS):
         on = at.select(F.col("x").alias("to"), F.col("to").alias("far"), F.col("done").alias("far_done"))
-        at = _join(at, on, "to").select("x", F.when(F.col("done"), F.col("to")).otherwise(F.col("far")).alias("to"), "r", (F.col("done") | F.col("far_done")).alias("done"))
+        at = dealt(at, on, "to").select("x", F.when(F.col("done"), F.col("to")).otherwise(F.col("far")).alias("to"), "r", (F.col("done") | F.col("far_done")).alias("done"))
     return checkpoint(at.where("done").select("x", F.col("to").alias("root"), "r"))
 
 
 def _taken(trees: DataFrame, live: DataFrame, held: DataFrame, pairs: DataFrame | None) -> DataFrame:
     """(x, root) of the clusters that join their root in this round."""
     side = lambda c: trees.select(F.col("x").alias(c), F.col("root").alias(f"root_{c}"))
-    across = _join(_join(live, side("x"), "x", "left"), side("y"), "y", "left").where("root_x IS DISTINCT FROM root_y")
+    across = dealt(dealt(live, side("x"), "x", "left"), side("y"), "y", "left").where("root_x IS DISTINCT FROM root_y")
     leaves = across.select(F.explode(F.array("root_x", "root_y")).alias("root"), "rank").where("root IS NOT NULL").groupBy("root").agg(F.min("rank").alias("stop"))
     # the second place at which a key has another value, or a unique value comes again
     place = F.struct(F.col("r").isNotNull().alias("later"), "r")
-    own = _join(trees, held, F.col("x") == F.col("cluster")).select("root", "key", "value", F.when(F.col("value").isNull(), F.col("x")).alias("one"), place.alias("place"))
+    own = dealt(trees, held, F.col("x") == F.col("cluster")).select("root", "key", "value", F.when(F.col("value").isNull(), F.col("x")).alias("one"), place.alias("place"))
     each = own.groupBy("root", "key", "value", "one").agg(F.min("place").alias("place"))
     lowest = each.groupBy("root", "key", F.col("value").isNull().alias("u")).agg(F.min("place").alias("low"))
-    clash = _join(each.withColumn("u", F.col("value").isNull()), lowest, ["root", "key", "u"]).where("place > low").select("root", F.col("place.r").alias("rank"))
+    clash = dealt(each.withColumn("u", F.col("value").isNull()), lowest, ["root", "key", "u"]).where("place > low").select("root", F.col("place.r").alias("rank"))
     if pairs is not None:
         end = lambda c: trees.select(F.col("x").alias(c), F.col("root").alias(f"root_{c}"), F.col("r").alias(f"r_{c}"))
-        known = _join(_join(pairs, end("x"), "x"), end("y"), "y").where("root_x = root_y")
+        known = dealt(dealt(pairs, end("x"), "x"), end("y"), "y").where("root_x = root_y")
         clash = clash.unionByName(known.select(F.col("root_x").alias("root"), F.greatest("r_x", "r_y").alias("rank")))
     breaks = clash.groupBy("root").agg(F.min("rank").alias("clash"))
-    ahead = _join(_join(trees.where("r IS NOT NULL"), leaves, "root", "left"), breaks, "root", "left")
+    ahead = dealt(dealt(trees.where("r IS NOT NULL"), leaves, "root", "left"), breaks, "root", "left")
     return ahead.where("(stop IS NULL OR r < stop) AND (clash IS NULL OR r < clash)").select("x", "root")
 
 
@@ -120,12 +116,12 @@ def constrained_clusters(
         live = checkpoint(_without_conflicts(live, held, pairs))
         if live.isEmpty():
             named = labels.groupBy("cluster").agg(F.min("id").alias("least"))
-            return _join(labels, named, "cluster").select(F.col("id").alias(id_col), F.col("least").alias("cluster"))
+            return dealt(labels, named, "cluster").select(F.col("id").alias(id_col), F.col("least").alias("cluster"))
         trees = _trees(live, checkpoint)
         new = checkpoint(_taken(trees, live, held, pairs))
 
         def moved(df: DataFrame, column: str) -> DataFrame:
-            own = _join(df, new.select(F.col("x").alias(column), F.col("root").alias("_to")), column, "left")
+            own = dealt(df, new.select(F.col("x").alias(column), F.col("root").alias("_to")), column, "left")
             return own.withColumn(column, F.coalesce("_to", column)).drop("_to")
 
         two = moved(moved(live, "x"), "y").where("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "rank")
