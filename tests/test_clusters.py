@@ -1,6 +1,8 @@
 """Constrained clustering against the sequential process."""
 
+import os
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -77,3 +79,40 @@ def test_tables_of_clusters_are_not_sent_through_the_driver(spark):
     live = cut(spark.createDataFrame([(1, 2, 0), (2, 3, 1)], "a long, b long, priority int"))
     plan = clusters._trees(clusters._live(live), lambda df: df)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_rounds_leave_no_tables_behind(spark):
+    """Only what names the clusters stays: the tables of a round go when the next has its own."""
+    from eventloom.scratch import scratch_root
+
+    root = scratch_root(spark).removeprefix("file://")
+    tables = lambda: set(os.listdir(root)) if os.path.isdir(root) else set()
+    before, n = tables(), 40
+    edges = [(i - 1, i, (i * 7) % 5) for i in range(1, n)]
+    exclusive = [(i, "venue", str(i % 3)) for i in range(0, n, 4)]
+    assert run(spark, n, edges, exclusive) == greedy(n, edges, exclusive, [], [])
+    assert len(tables() - before) <= 1
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for f in range(found.getAllFiles().size()) if (n := found.getAllFiles().apply(f).getName()).startswith("shuffle_")}
+    before = shuffled()
+    out = cut(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count())
+    until = time.time() + 10
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and out.count() == 7
+
+
+def test_venue_links_are_dealt_out(spark):
+    from eventloom.operators import venues
+
+    rows = [(i, "pq"[i % 2], "c0", ("Salon Moda Sahnesi", "Moda Sahnesi Ek", "Zorlu")[i % 3], f"v{i % 4}", None, 40.99 + i * 1e-4, 29.02, ["kadikoy"] if i % 2 else []) for i in range(30)]
+    own = cut(spark.createDataFrame(rows, "id long, provider string, city string, name string, venue_id string, seed string, lat double, lon double, districts array<string>"))
+    edges = venues.venue_edges(own)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    links = venues.venue_links(own)
+    best = links.groupBy("a", "b").min("priority").collect()
+    assert sorted(map(tuple, best)) == sorted((r.a, r.b, r.priority) for r in edges.collect()) and best
